@@ -56,12 +56,12 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of rows i..j: ``text`` (lower-cased bytes), ``start``/``end`` in it, ``first[r]:first[r + 1]`` per row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, space: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, space: np.ndarray = SPACE, lower: bool = True):
         base = offsets[i]
         self.bounds = offsets[i : j + 1] - base
         n = int(self.bounds[-1])
         self.text = np.zeros(n + 8, np.uint8)
-        self.text[:n] = LOWER[data[base : base + n]]
+        self.text[:n] = LOWER[data[base : base + n]] if lower else data[base : base + n]
         inside = ~space[self.text[:n]]
         edge = np.zeros(n + 1, bool)
         edge[self.bounds] = True

@@ -1,22 +1,92 @@
-"""One query for each operator, over the whole of its table."""
+"""One query for each operator, over the whole of its tables."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riverbed.llm.jaccard import ngram_jaccard_join
+from riverbed.llm import decontamination, jaccard, licenses, line_dedup, lm_scores, packing, quality, secrets, token_counts, toxicity
+from riverbed.llm.common import crc32_mod
 
+#: Words that a length window of documents has at most.
+TOKEN_LIMIT = 512
+#: Rows whose crc32(doc_id) leaves this modulo 4 give no labels.
+LABEL_FOLDS, LABEL_HELD_OUT = 4, 2
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """Labels that may be learnt from."""
+    rows = _table(spark, sf_dir, "labels").select("doc_id", F.col(column).alias("label"))
+    return rows.where(crc32_mod(F.col("doc_id"), LABEL_FOLDS) != LABEL_HELD_OUT)
+
+
+def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
+    return toxicity.train(_table(spark, sf_dir, "documents"), _labels(spark, sf_dir, "toxic"))
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(_table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secrets.RULES if r.base]
+    counts = {f"n_{k}": F.size(F.filter("spans", _of_kind(k))).cast("long") for k in base}
+    listed = secrets.listed(F.filter("spans", lambda s: s["kind"].isin(base)))
+    return found.select("doc_id", *[c.alias(k) for k, c in counts.items()], F.sha2(listed.cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(_documents(spark, sf_dir), n=3, percent=90)
+    return jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1, size=2048)
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item: ``doc_id, item_id``, the item's shingles, the shared ones and their share."""
+    found = decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality.quality_verdicts(documents, quality.train(documents, _labels(spark, sf_dir, "quality")))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return line_dedup.line_digests(documents, line_dedup.line_keep_bitmaps(documents, least_docs=5, least_chars=40))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), toxicity_machine(spark, sf_dir))
+    held_out = crc32_mod(F.col("doc_id"), LABEL_FOLDS) == LABEL_HELD_OUT
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+    found = (op1_secret_scans, op2_ngram_jaccard_join, op3_packing, op4_lm_scoring, op5_benchmark_decontamination, op6_license_scans, op7_quality_rules, op8_line_dedup, op9_toxicity, op10_token_counts)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
