@@ -5,9 +5,10 @@ of fixed size; it fixes the order from rare to frequent in which a set's prefix
 shuffled. Entities that share one are compared under the length, positional and suffix filters, and what passes is
 verified once, on the whole sets.
 
-Groups of near copies don't become all their pairs: in a posting list sorted by position every entity first meets its
-predecessor and the list's first one only. What these links leave in different components of one list meets in a second
-round, where the filters run inside the task and only the pairs that pass leave it.
+Groups of near copies don't become all their pairs: first every entity meets one partner, which its posting lists,
+sorted by position, name most often as the one before it or the first one. What these links leave in different
+components of one list meets in a second round, where the filters run inside the task and only the pairs that pass
+leave it.
 """
 
 from __future__ import annotations
@@ -183,6 +184,22 @@ def _sure(a: dict, num: int, den: int):
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((1 + F.least(n - pos, m - at) - 1) * (den + num) >= num * (n + m))
 
 
+def _most_common(cx: np.ndarray, cy: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Upper bound of the intersection from the sets' cell counts (suffix filter); a full cell bounds nothing."""
+    return np.where((cx == 255) | (cy == 255), np.maximum(n, m)[:, None], np.minimum(cx, cy)).sum(1)
+
+
+def _suffix(num: int, den: int) -> Callable:
+    def run(batches):
+        for batch in batches:
+            cx, cy = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for c in ("cells", "other"))
+            n, m = (batch[c].to_numpy().astype(np.int64) for c in "nm")
+            keep = _most_common(cx, cy, n, m) * (den + num) >= num * (n + m)
+            yield batch.select(["e", "f", "k"]).filter(pa.array(keep))
+
+    return run
+
+
 def _across(num: int, den: int) -> Callable:
     """Pairs of one posting list in different components that pass the length, positional and suffix filters.
 
@@ -204,9 +221,7 @@ def _across(num: int, den: int) -> Callable:
                 x, y = np.nonzero(ok)
                 for s in range(0, len(x), 1 << 14):
                     p, q = x[s : s + (1 << 14)] + i, y[s : s + (1 << 14)] + j
-                    cx, cy = cells[p], cells[q]
-                    most = np.where((cx == 255) | (cy == 255), np.maximum(n[p], n[q])[:, None], np.minimum(cx, cy)).sum(1)
-                    good = most * (den + num) >= num * (n[p] + n[q])
+                    good = _most_common(cells[p], cells[q], n[p], n[q]) * (den + num) >= num * (n[p] + n[q])
                     yield np.minimum(e[p[good]], e[q[good]]), np.maximum(e[p[good]], e[q[good]])
 
     def run(batches):
@@ -279,13 +294,20 @@ class _Join:
         return materialize(good.join(one, ["hi_a", "a"]).join(two, ["hi_b", "b"]).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).where("a is not null and b is not null"), "edges")
 
     def near(self, lists: DataFrame) -> DataFrame:
-        """In each list, the pairs of an entity with the one before it and with the first one."""
+        """For each entity the partner that it most often meets as the one before it or the first one of a list.
+
+        At most one pair an entity, after the length, positional and suffix filters. Dense groups so link to few centres.
+        """
         w = Window.partitionBy("h").orderBy("pos", "n", "e")
         before = F.lag(F.struct("e", "n", "pos")).over(w)
         first = F.first(F.struct("e", "n", "pos")).over(w)
         rows = lists.select("e", "n", "pos", F.array_distinct(F.array(before, first)).alias("o")).where(F.col("o")[0].isNotNull())
         rows = rows.select("e", "n", "pos", F.explode("o").alias("o")).select("e", "n", "pos", F.col("o.e").alias("f"), F.col("o.n").alias("m"), F.col("o.pos").alias("at"))
-        return rows.where("e <> f").where(_sure({"n": "m", "pos": "at"}, self.num, self.den)).select(F.least("e", "f").alias("a"), F.greatest("e", "f").alias("b")).distinct()
+        met = rows.where("e <> f").where(_sure({"n": "m", "pos": "at"}, self.num, self.den)).groupBy("e", "f", "n", "m").agg(F.count("*").alias("k"))
+        met = met.join(self.cells, "e").join(self.cells.select(F.col("e").alias("f"), F.col("cells").alias("other")), "f")
+        good = met.select("e", "f", "n", "m", "k", "cells", "other").mapInArrow(_suffix(self.num, self.den), "e long, f long, k long")
+        best = good.groupBy("e").agg(F.max_by("f", F.struct("k", "f")).alias("f"))
+        return best.select(F.least("e", "f").alias("a"), F.greatest("e", "f").alias("b")).distinct()
 
     def rest(self, lists: DataFrame, components: DataFrame) -> DataFrame:
         """In each list, the filtered pairs that the links so far leave in different components."""
