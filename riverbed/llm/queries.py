@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverbed.llm import decontamination, jaccard, licenses, line_dedup, lm_scores, packing, quality, secrets, token_counts, toxicity
+from riverbed.llm import decontamination, jaccard, licenses, line_dedup, lm_scores, oracles, packing, quality, secrets, token_counts, toxicity
 from riverbed.llm.common import crc32_mod
 
 #: Words that a length window of documents has at most.
@@ -90,4 +90,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
