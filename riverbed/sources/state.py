@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def write_snapshot(df: DataFrame, path: str, run: str) -> None:
-    """Overwrites the run's own partition only, so a repeated run gives the same table."""
-    df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+    """Overwrites the run's own partition only, so a repeated run gives the same table. Runs sort as texts."""
+    df.withColumn("run", F.lit(f"run {run}")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str, before: str | None = None) -> DataFrame:
     """The latest snapshot, or the latest one before a run; no rows if there is none."""
-    table = spark.read.option("inferSchema", True).parquet(path).withColumn("run", F.col("run").cast("string"))
-    runs = table.select("run").where(F.col("run") < before) if before else table.select("run")
+    table = spark.read.parquet(path)
+    runs = table.select("run").where(F.col("run") < f"run {before}") if before else table.select("run")
     last = runs.agg(F.max("run")).first()[0]
     return table.where(F.col("run") == (last or "")).drop("run")
 
