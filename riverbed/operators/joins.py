@@ -67,3 +67,33 @@ def optional_equal(column: Column, wanted: Column) -> Column:
 
 def any_contains(text: Column, words) -> Column:
     return F.coalesce(reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in words]), F.lit(False))
+
+
+def match_previous(current: DataFrame, previous: DataFrame, key: str, ids: str, block: str, same: Column, order: str) -> DataFrame:
+    """``key`` of each current row and of its predecessor: first by a common id, for rows without one by ``same``.
+
+    ``same`` reads the structs ``a`` (current) and ``b`` (previous) of one block; the predecessor that comes first by
+    ``order`` wins. The ids are joined as an equi-join, the rest only for rows that it left over.
+    """
+    one = current.select(F.col(key).alias("key"), F.explode(ids).alias("_id")).join(previous.select(F.col(key).alias("previous"), F.col(order).alias("_o"), F.explode(ids).alias("_id")), "_id")
+    sure = one.groupBy("key").agg(F.min_by("previous", F.struct("_o", "previous")).alias("previous"))
+    left = current.join(sure.select(F.col("key").alias(key)), key, "left_anti")
+    pairs = left.select(block, F.struct(*current.columns).alias("a")).join(previous.select(block, F.struct(*previous.columns).alias("b")), block).where(same)
+    rest = pairs.groupBy(F.col(f"a.{key}").alias("key")).agg(F.min_by(F.col(f"b.{key}"), F.struct(f"b.{order}", f"b.{key}")).alias("previous"))
+    return sure.unionByName(rest)
+
+
+def single_value(text: Column, pattern: str) -> Column:
+    """Exactly one distinct match, as a text about one thing only has."""
+    return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))) == 1
+
+
+def proven_inactive(status: Column, body: Column, markers) -> Column:
+    """Gone by its answer code or by what the page says; no answer proves nothing."""
+    return F.coalesce(status.isin(404, 410), F.lit(False)) | any_contains(F.coalesce(body, F.lit("")), markers)
+
+
+def overlap_sizes(ids: Column, baseline: Column) -> dict[str, Column]:
+    """New and known ids against a baseline, and whether a page is a next one: mostly new ids, not the same again."""
+    new, known = F.size(F.array_except(ids, baseline)), F.size(F.array_intersect(ids, baseline))
+    return {"new": new, "known": known, "is_next": (F.size(ids) > 0) & (new > known)}
