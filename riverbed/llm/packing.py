@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Rests of documents that are packed together, on average.
 GROUP_PIECES = 4096
 #: Words whose ids a task remembers at most; beyond that it forgets and starts again.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot long"
 
 
@@ -27,7 +27,7 @@ class WordEncoder:
     """Token ids of texts through a cache by word.
 
     Holds for tokenizers whose pre-tokenizer drops white space and whose normalizer works character by character, so that
-    the ids of a text are those of its blank-separated words, one after the other.
+    the ids of a text are those of its blank-separated words, one after the other, in either case of their letters.
     """
 
     def __init__(self, path: str, end: int):
@@ -37,26 +37,33 @@ class WordEncoder:
         self.end = np.uint32(end).astype("<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
+        """Encodes new words as one text, which costs far less than each by itself; offsets tell whose ids are whose."""
+        for s in range(0, len(words), 2048):
+            part = [w.decode() for w in words[s : s + 2048]]
+            begin = np.cumsum([0, *(len(w) + 1 for w in part)])
+            made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(made.ids, "<u4")
+            at = np.array([a for a, _ in made.offsets], np.int64)
+            cuts = np.searchsorted(at, begin).tolist()
+            for w, x, y in zip(words[s : s + 2048], cuts[:-1], cuts[1:], strict=True):
+                self.known[w] = ids[x:y].tobytes()
+
+    def _join(self, words: list[bytes]) -> bytes:
+        return b"".join([self.known[w] for w in words])
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, the end id last. New words of all texts are learnt together."""
+        # letters' case only matters where it may tell a special string from plain text
+        lists = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if sum(map(len, lists)) > CACHE_WORDS // 2:  # long texts: one after the other, in parts
+            return [b"".join([self.ids([b" ".join(w[s : s + CACHE_WORDS // 4])])[0][:-4] for s in range(0, len(w), CACHE_WORDS // 4)]) + self.end for w in lists]
+        new = set().union(*lists).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-        for s in range(0, len(words), 4096):
-            part = words[s : s + 4096]
-            for w, x in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(x.ids, "<u4").tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids, the end id last."""
-        words = text.split()
-        try:
-            return b"".join([self.known[w] for w in words]) + self.end
-        except KeyError:
-            self._learn(list({w for w in words if w not in self.known}))
-            for s in range(0, len(words), CACHE_WORDS // 4):  # a very long text may have more words than are remembered
-                self._learn(list({w for w in words[s : s + CACHE_WORDS // 4] if w not in self.known}))
-            return b"".join([self.known.get(w) or self._one(w) for w in words]) + self.end
-
-    def _one(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            new = set().union(*lists)
+        if new:
+            self._learn(list(new))
+        return [self._join(w) + self.end for w in lists]
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
@@ -74,8 +81,9 @@ def _pieces(path: str, end: int, size: int):
         encoder, copies = _encoder(path, end), {}
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-                ids = encoder.ids(text or b"")
+            texts = batch["text"].cast(pa.binary()).to_pylist()
+            every = (x for s in range(0, len(texts), 128) for x in encoder.ids(texts[s : s + 128]))
+            for doc, ids in zip(batch["doc_id"].to_pylist(), every, strict=True):
                 n = len(ids) // 4
                 for start in range(0, n, size):
                     part = ids[4 * start : 4 * (start + size)]

@@ -179,7 +179,7 @@ def test_word_encoder_forgets(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     text = " ".join(f"word{k}, It's" for k in range(50))
     ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
-    assert packing.WordEncoder(path, 1).ids(text.encode()) == np.array([*ids, 1], "<u4").tobytes()
+    assert packing.WordEncoder(path, 1).ids([text.encode(), b""]) == [np.array([*ids, 1], "<u4").tobytes(), np.array([1], "<u4").tobytes()]
 
 
 # language model
