@@ -112,11 +112,31 @@ def floors_in(c, widest: int = 5) -> Column:
         return F.when((high >= low) & (high - low <= widest), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
     masked = F.regexp_replace(text, r"\d{1,2}\s*/\s*\d{1,2}\s*樓", " ")
-    single = ints(F.regexp_extract_all(masked, F.lit(r"(\d{1,2})\s*樓"), F.lit(1)))
+    single = ints(F.regexp_extract_all(masked, F.lit(r"(?<!\d)(\d{1,2})\s*樓"), F.lit(1)))
     spelled = F.filter(F.transform(F.regexp_extract_all(masked, F.lit(f"({_NUMERAL_CLASS}{{1,3}})樓"), F.lit(1)), lambda x: numeral(x)), lambda v: v.isNotNull())
     return F.array_sort(F.array_distinct(F.concat(of_total, F.flatten(F.transform(ranges, expand)), single, spelled)))
 
 
+def title_floors(c) -> Column:
+    """Floors named by one numeral or number right before the word, as titles give them."""
+    raw = F.regexp_extract_all(_text(c), F.lit(rf"({_NUMERAL_CLASS}|\d{{1,2}})樓"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(raw, lambda x: F.coalesce(x.try_cast("int"), numeral(x))))))
+
+
+def thousands(x: Column) -> Column:
+    return F.format_number(x, 0)
+
+
+def shortened(x: Column) -> Column:
+    """A whole number without decimals, any other with one."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(F.round(x, 1).cast("string"))
+
+
+def own_price(effective: Column, shown: Column) -> Column:
+    """The effective price where there is one, else the number in the price shown (0 counts as none)."""
+    return F.coalesce(effective.cast("double"), first_number(shown, zero_is_null=True))
+
+
 def floor_relation(a: Column, b: Column) -> Column:
     known = (F.size(a) > 0) & (F.size(b) > 0)
     return F.when(known & F.arrays_overlap(a, b), F.lit("match")).when(known, F.lit("conflict")).otherwise(F.lit("unknown"))

@@ -80,11 +80,12 @@ def lane_address(c) -> Column:
     return F.nullif(han_key(found), F.lit(""))
 
 
-def is_specific_address(c, generic=DEFAULT.generic) -> Column:
-    """A digit or a lane, alley or number; else four characters beyond generic names."""
-    text = _text(c)
-    rest = replace_in_order(han_key(text), [(g, "") for g in sorted(generic, key=len, reverse=True) if g])
-    return text.rlike(r"[0-9巷弄號]") | (F.length(rest) >= 4)
+def is_specific_address(c, lexicon: Lexicon = DEFAULT) -> Column:
+    """A digit or a lane, alley or number; else four characters beyond the names of city, district and roads."""
+    key = text_key(c)
+    roads = [g for g in lexicon.generic if g.endswith(("路", "段", "街"))]
+    rest = replace_in_order(key, [(name, "") for name in (lexicon.city, lexicon.district, *roads)])
+    return key.rlike("[0-9巷弄號]") | (F.length(rest) >= 4)
 
 
 def ngram_tokens(c, stopwords=DEFAULT.stopwords, sizes=(3, 4, 5)) -> Column:

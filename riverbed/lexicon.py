@@ -17,6 +17,16 @@ FEATURES = {
     "天然瓦斯": ("天然瓦斯",), "內外梯": ("內外梯", "內外樓梯"), "景觀": ("景觀",), "雙車位": ("雙車位", "雙平車", "雙坡平"),
     "地下室": ("地下室",), "店面": ("店面",), "透天": ("透天",), "收租": ("收租",),
 }
+HIGH_SIGNAL = (
+    "公寓", "電梯", "頂加", "三面採光", "內外梯", "雙車位", "地下室", "三房", "四房", "方正", "邊間", "前後陽台", "天然瓦斯",
+    "一樓", "二樓", "三樓", "店面", "透天", "收租",
+)
+EARLY_FEATURES = ("埔墘", "電梯", "頂加", "三面採光", "內外梯", "邊間", "景觀", "四房", "雙車位")
+STRUCTURE = ("頂加", "三面採光", "內外梯", "雙車位")
+KEYWORDS = (
+    "收租", "頂加", "露台", "露臺", "店面", "店辦", "透天", "邊間", "河景", "景觀", "採光", "三房", "四房", "兩房", "公寓",
+    "電梯", "一樓", "頂樓",
+)
 STOPWORDS = (
     "板橋", "板橋區", "新北市", "永慶房屋", "公司", "專約", "專任", "推薦", "好宅", "美寓", "美屋", "美宅", "公寓", "華廈",
     "大樓", "住宅", "捷運", "邊間", "採光", "三房", "兩房", "四房", "一樓", "二樓", "三樓", "四樓", "五樓", "全新", "裝潢",

@@ -181,16 +181,16 @@ def htm_02_05_cards(spark, sf_dir):
     return cards.groupBy("page_id").agg(F.count("*").alias("n_cards"), F.max(F.length("c.text")).cast("long").alias("longest"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END DESC NULLS LAST, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END DESC NULLS LAST, o_orderkey")
 def srt_02_nulls_last(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("shown", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")))
-    return views.sorted_by(o, "shown", True, "o_orderkey").limit(100).select("o_orderkey", "o_totalprice")
+    return views.sorted_by(o, "shown", True, "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT o_orderkey FROM orders ORDER BY list_position(['3-MEDIUM', '1-URGENT', '2-HIGH', '4-NOT SPECIFIED', '5-LOW'], o_orderpriority), o_totalprice > 400000 DESC, o_orderstatus = 'F' DESC, o_orderkey LIMIT 50")
+@query("SELECT o_orderkey FROM orders ORDER BY list_position(['3-MEDIUM', '1-URGENT', '2-HIGH', '4-NOT SPECIFIED', '5-LOW'], o_orderpriority), o_totalprice > 400000 DESC, o_orderstatus = 'F' DESC, o_orderkey")
 def srt_05_07_ranked(spark, sf_dir):
     place = F.array_position(F.array(*map(F.lit, ["3-MEDIUM", "1-URGENT", "2-HIGH", "4-NOT SPECIFIED", "5-LOW"])), F.col("o_orderpriority"))
-    return table(spark, sf_dir, "orders").orderBy(place, (F.col("o_totalprice") > 400000).desc(), (F.col("o_orderstatus") == "F").desc(), "o_orderkey").limit(50).select("o_orderkey")
+    return table(spark, sf_dir, "orders").orderBy(place, (F.col("o_totalprice") > 400000).desc(), (F.col("o_orderstatus") == "F").desc(), "o_orderkey").select("o_orderkey")
 
 
 @query("""SELECT o_custkey AS group_id, CASE WHEN o_custkey % 3 = 0 THEN 'company_match' WHEN o_custkey % 3 = 1 THEN 'review' ELSE 'missing' END AS status, CASE WHEN o_custkey % 3 < 2 THEN o_custkey * 10 END AS candidate

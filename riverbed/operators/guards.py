@@ -38,6 +38,12 @@ def acceptance(as_of, youngest: float = -10, oldest: float = 90):
     )
 
 
+def only_complete(status: DataFrame) -> DataFrame:
+    """``status`` whose partitions are available only with rows, and with all pages where there are several."""
+    whole = ~F.coalesce(F.col("pagination_expected"), F.lit(False)) | F.coalesce(F.col("pagination_complete"), F.lit(False))
+    return status.withColumn("available", F.coalesce(F.col("available"), F.lit(False)) & (F.coalesce(F.col("count"), F.lit(0)) > 0) & whole)
+
+
 def all_or_nothing(runs: DataFrame, source: str, success: str) -> DataFrame:
     """A source has succeeded only if each of its keys has."""
     return runs.groupBy(source).agg(F.bool_and(F.coalesce(F.col(success), F.lit(False))).alias("success"), F.count("*").alias("keys"), F.sum(F.coalesce(F.col(success), F.lit(False)).cast("int")).alias("succeeded"))

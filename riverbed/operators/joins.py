@@ -28,6 +28,22 @@ def block_pairs(df: DataFrame, block: list[str], order: str, near: dict[str, flo
     return pairs.where(reduce(lambda x, y: x & y, tests)).select(*block, "a", "b")
 
 
+def block_matches(left: DataFrame, right: DataFrame, block: list[str], band: str, width: float, with_unknown: bool = False) -> DataFrame:
+    """Pairs ``a`` (of ``left``), ``b`` (of ``right``) of one block whose ``band`` differs by ``width`` at most.
+
+    ``with_unknown`` adds the pairs of which one row has no value there; those are joined by the block alone.
+    """
+    one, two = left.select(*block, F.struct(*left.columns).alias("a")), right.select(*block, F.struct(*right.columns).alias("b"))
+    cell = lambda side: F.floor(F.col(f"{side}.{band}") / width)
+    cells = two.withColumn("_cell", F.explode(F.array(cell("b") - 1, cell("b"), cell("b") + 1)))
+    pairs = one.withColumn("_cell", cell("a")).join(cells, [*block, "_cell"]).where(F.abs(F.col(f"a.{band}") - F.col(f"b.{band}")) <= width).select(*block, "a", "b")
+    if not with_unknown:
+        return pairs
+    blank = lambda side: F.col(f"{side}.{band}").isNull()
+    without = one.where(blank("a")).join(two, block).union(one.where(~blank("a")).join(two.where(blank("b")), block))
+    return pairs.union(without.select(*block, "a", "b"))
+
+
 def overlapping(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_ids: str, right_ids: str) -> DataFrame:
     """Pairs of keys whose id lists have an id in common, by an equi-join of the ids."""
     one = left.select(F.col(left_key).alias("left_key"), F.explode(left_ids).alias("_id"))
@@ -52,6 +68,16 @@ def in_list_order(lists: DataFrame, rows: DataFrame, ids: str, key: str, owner:
     return lists.select(owner, F.posexplode(ids).alias("place", key)).join(rows, key)
 
 
+def fill_from(df: DataFrame, details: DataFrame, key: str, column: str, origin: str) -> DataFrame:
+    """``df`` with missing values of ``column`` taken from ``details`` (one row a key); ``origin``: own, detail or none.
+
+    Only rows that lack the value take part in the join.
+    """
+    have, lack = df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull())
+    found = lack.drop(column).join(details.select(key, column), key, "left").withColumn(origin, F.when(F.col(column).isNotNull(), "detail").otherwise("none"))
+    return have.withColumn(origin, F.lit("own")).unionByName(found)
+
+
 def subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 

@@ -39,6 +39,17 @@ def merge_snapshot(previous: DataFrame, current: DataFrame, runs: DataFrame, gon
     )
 
 
+def reset_sources(previous: DataFrame, runs: DataFrame) -> DataFrame:
+    """``previous`` without the sources that are ``complete`` now but weren't in their last run (``was_complete``)."""
+    upgraded = runs.where(F.col("complete") & ~F.coalesce("was_complete", F.lit(False))).select("source")
+    return previous.join(F.broadcast(upgraded), "source", "left_anti").select(previous.columns)
+
+
+def of_version(previous: DataFrame, stored: int | None, wanted: int) -> DataFrame:
+    """The previous state, or none of its rows if it was kept by another version, so that a new baseline begins."""
+    return previous if stored == wanted else previous.where(F.lit(False))
+
+
 def run_summary(merged: DataFrame) -> DataFrame:
     """Counts of a run by source."""
     at = lambda test: F.count_if(test)
@@ -60,12 +71,12 @@ def track_price(current: DataFrame, previous: DataFrame, as_of: Column, least: f
     begins = before.isNull()
     direction = F.when(diff > 0, "up").otherwise("down")
     seeded = F.when(F.size("p_history") > 0, F.col("p_history")).otherwise(entry(before, F.lit(None), F.lit(None)))
-    history = F.when(price.isNull(), F.array().cast(HISTORY)).when(begins, entry(price, F.lit(None), F.lit(None))).when(moved, last_entries(F.concat(seeded, entry(price, direction, diff)), entries)).otherwise(last_entries(seeded, entries))
+    history = F.when(price.isNull(), F.array().cast(HISTORY)).when(begins, entry(price, F.lit(None), F.lit(None))).when(moved, last_entries(F.concat(seeded, entry(price, direction, F.abs(diff))), entries)).otherwise(last_entries(seeded, entries))
     keep = price.isNotNull() & ~begins
     return rows.select(
         *current.columns, history.alias("history"),
         F.when(keep & moved, before).alias("previous_price"),
-        F.when(keep, F.when(moved, diff).otherwise(F.col("p_change"))).alias("change"),
+        F.when(keep, F.when(moved, F.abs(diff)).otherwise(F.col("p_change"))).alias("change"),
         F.when(keep, F.when(moved, direction).otherwise(F.col("p_direction"))).alias("direction"),
         F.when(keep, F.when(moved, as_of).otherwise(F.col("p_changed_at"))).alias("changed_at"),
     )

@@ -27,6 +27,13 @@ def until_stop(df: DataFrame, group: list, order: list, stop: Column) -> DataFra
     return df.withColumn("_s", F.coalesce(F.max(stop.cast("int")).over(before), F.lit(0))).where("_s = 0").drop("_s")
 
 
+def until_nothing_new(df: DataFrame, group: list, page: str, item: str) -> DataFrame:
+    """``page, n, n_new`` of each group's pages up to the first one that shows no item for the first time."""
+    seen = df.select(*group, page, item).distinct().withColumn("_f", F.min(page).over(Window.partitionBy(*group, item)))
+    pages = seen.groupBy(*group, page).agg(F.count("*").alias("n"), F.count_if(F.col(page) == F.col("_f")).alias("n_new"))
+    return until_stop(pages, group, [page], F.col("n_new") == 0)
+
+
 def with_previous(df: DataFrame, key: list, order: list, value: str, least: float) -> DataFrame:
     """``previous``, ``change`` and ``direction`` against the row before; changes under ``least`` count as none."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverbed.functions.numbers import recency
@@ -53,6 +53,20 @@ def source_health(runs: DataFrame, as_of: Column, stale_hours: float = 6) -> Dat
     return last.withColumn("health", F.when(F.col("checked_at").isNull(), "never").when(F.col("last_status") != "ok", "error").when(age > stale_hours, "stale").otherwise("ok"))
 
 
+def matches_or_some(df: DataFrame, matched: str, order: list, rows: int, otherwise: int) -> DataFrame:
+    """The first ``rows`` that match or, if none does, the first ``otherwise`` of all. Both are a message's length."""
+    first = df.orderBy(F.desc(matched), *order).limit(max(rows, otherwise))
+    best = F.bool_or(matched).over(Window.partitionBy())  # over the few rows of a message
+    place = F.row_number().over(Window.orderBy(F.desc(matched), *order))
+    ranked = first.withColumns({"_any": best, "_p": place})
+    return ranked.where((F.col("_any") & F.col(matched) & (F.col("_p") <= rows)) | (~F.col("_any") & (F.col("_p") <= otherwise))).drop("_any", "_p")
+
+
+def header(df: DataFrame, status: str, names: dict[str, str]) -> DataFrame:
+    """One row: all groups, and those of each status under its name."""
+    return df.agg(F.count("*").alias("groups"), *[F.count_if(F.col(status) == v).alias(k) for k, v in names.items()])
+
+
 def search(left: DataFrame, right: DataFrame, wanted: Column, rows: int = 5) -> DataFrame:
     """Both sources together, one row for each address or content, matching rows first."""
     both = left.unionByName(right, allowMissingColumns=True)

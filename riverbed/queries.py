@@ -115,11 +115,11 @@ def num_01_first_number(spark, sf_dir):
     return s.select("s_suppkey", F.col("s_acctbal").alias("value"), N.first_number("t", signed=True).alias("signed"), N.first_number("t").alias("unsigned"), falsy.alias("falsy"))
 
 
-@query("""SELECT o_orderkey, regexp_replace(CAST(CAST(round(o_totalprice / 10000 / pow(10.0, -4), 0) * pow(10.0, -4) AS DECIMAL(18,4)) AS VARCHAR), '\\.?0+$', '') || '萬' AS shown, o_totalprice BETWEEN 100000 AND 450000 AS in_range
- FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 1000000""")
+@query("""WITH v AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_totalprice >= 100000 THEN o_totalprice / 10000 ELSE o_totalprice END AS x FROM orders), s AS (SELECT *, pow(10.0, floor(log10(x)) - 5) AS unit FROM v)
+ SELECT o_orderkey, regexp_replace(CAST(CAST(round(x / unit, 0) * unit AS DECIMAL(18,6)) AS VARCHAR), '\\.?0+$', '') || '萬' AS shown, o_totalprice BETWEEN 100000 AND 450000 AS in_range FROM s""")
 def num_02_price_text(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_totalprice >= 100000 AND o_totalprice < 1000000")
-    return o.select("o_orderkey", N.price_text("o_totalprice").alias("shown"), F.col("o_totalprice").between(100000, 450000).alias("in_range"))
+    """Six significant digits; 100,000 and more in units of 10,000."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.price_text("o_totalprice").alias("shown"), F.col("o_totalprice").between(100000, 450000).alias("in_range"))
 
 
 @query("""SELECT p_partkey, greatest(30.0, least(p_retailprice, 950.0) * 0.02) AS tolerance, abs(p_retailprice - 950.0) AS delta,
@@ -129,12 +129,11 @@ def num_12_13_tolerance_and_bands(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", N.tolerance(p, fixed).alias("tolerance"), N.delta(p, fixed).alias("delta"), N.banded(N.delta(p, fixed), [(1, 8), (30, 5)], beyond=-2).alias("points"))
 
 
-@query("""SELECT p_partkey, CASE WHEN 1 + p_partkey % 30 <= 20 THEN CAST(1 + p_partkey % 30 AS VARCHAR) || '/20樓' END AS floor,
- CASE WHEN 1 + p_partkey % 30 < 100 THEN [CAST(1 + p_partkey % 30 AS INTEGER)] END AS floors,
- CASE WHEN 1 + p_partkey % 30 = 7 THEN 'match' ELSE 'conflict' END AS relation FROM part WHERE p_partkey % 30 < 9 OR p_partkey % 30 BETWEEN 9 AND 19""")
+@query("""SELECT p_partkey, CAST(1 + p_partkey % 30 AS VARCHAR) || '/30樓' AS floor, [CAST(1 + p_partkey % 30 AS INTEGER)] AS floors,
+ CASE WHEN 1 + p_partkey % 30 = 7 THEN 'match' ELSE 'conflict' END AS relation FROM part""")
 def flr_01_06_floors(spark, sf_dir):
     n = F.lit(1) + F.col("p_partkey") % 30
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") % 30 <= 19).withColumn("t", F.concat(F.lit("美寓 "), n.cast("string"), F.lit("/20樓")))
+    p = table(spark, sf_dir, "part").withColumn("t", F.concat(F.lit("美寓 "), n.cast("string"), F.lit("/30樓")))
     floors = N.floors_in("t")
     return p.select("p_partkey", N.floor_of("t").alias("floor"), floors.alias("floors"), N.floor_relation(floors, F.array(F.lit(7))).alias("relation"))
 
@@ -157,12 +156,12 @@ def cry_01_02_round_trip(spark, sf_dir):
     return c.select("c_custkey", N.decrypt_cbc(F.col("code"), key).alias("plain"), N.is_cipher_text(F.col("code")).alias("looks_right"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '/([a-z]+)/([0-9]+)', 2) AS number, CASE WHEN contains(url, 'page=2') THEN 'page=3&ref=x' ELSE 'page=3' END AS query
- FROM pages WHERE NOT contains(url, '#') AND (contains(url, '?page=2&ref=x') OR NOT contains(url, '?'))""")
+@query("""SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS number, CASE WHEN o_orderkey % 2 = 0 THEN 'page=3&ref=x' ELSE 'page=3' END AS query FROM orders""")
 def url_01_02_addresses(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where("NOT contains(url, '#') AND (contains(url, '?page=2&ref=x') OR NOT contains(url, '?'))")
-    merged = N.merge_query(F.col("url"), {"page": 3})
-    return pages.select("page_id", F.coalesce(N.id_of_url("url", r"/[a-z]+/(\d+)"), F.lit("")).alias("number"), F.substring_index(merged, "?", -1).alias("query"))
+    """Ids out of addresses, and addresses with a parameter set; even ones have a query already."""
+    url = F.concat(F.lit("https://host/house/"), "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "?page=2&ref=x").otherwise(""))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", url.alias("url"))
+    return o.select("o_orderkey", N.id_of_url("url").alias("number"), F.substring_index(N.merge_query(F.col("url"), {"page": 3}), "?", -1).alias("query"))
 
 
 # keyed dedupe
@@ -290,12 +289,11 @@ def joi_06_07_block_pairs(spark, sf_dir):
     return joins.block_pairs(p, ["p_brand"], "p_partkey", {"p_retailprice": 0.5, "p_size": 10}).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.col("p_brand").alias("road"))
 
 
-@query("""WITH l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey % 10 = 3), r AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey % 10 = 7)
- SELECT DISTINCT l.l_suppkey AS left_key, r.l_suppkey AS right_key FROM l JOIN r USING (l_partkey)""")
+@query("""WITH l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT DISTINCT a.l_suppkey AS left_key, b.l_suppkey AS right_key FROM l a JOIN l b USING (l_partkey) WHERE a.l_suppkey % 2 = 0 AND b.l_suppkey % 2 = 1""")
 def joi_10_overlaps(spark, sf_dir):
-    """Suppliers ending in 3 and in 7 with a part in common."""
+    """Even suppliers and odd ones with a part in common."""
     sets = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("ids"))
-    return joins.overlapping(sets.where("l_suppkey % 10 = 3"), sets.where("l_suppkey % 10 = 7"), "l_suppkey", "l_suppkey", "ids", "ids")
+    return joins.overlapping(sets.where("l_suppkey % 2 = 0"), sets.where("l_suppkey % 2 = 1"), "l_suppkey", "l_suppkey", "ids", "ids")
 
 
 @query("""SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_totalprice DESC, o_orderkey) > 1 THEN 'review' ELSE 'match' END AS status FROM orders""")
@@ -348,34 +346,52 @@ def er_04_first_fit_clusters(spark, sf_dir):
 
 @query()
 def er_01_06_same_property(spark, sf_dir):
-    """Listings of a road that the pair rule takes for one property, as clusters with their records."""
+    """Listings of a source that the pair rule takes for one property, as clusters with their records; other sources stay."""
     rows = entities.with_keys(listings(spark, sf_dir))
-    made = entities.clusters(rows, entities.match_edges(rows, ["road"], entities.same_property(), 0.2))
+    made = entities.clusters(rows, entities.match_edges(rows, ["road"], entities.same_property(entities.MatchRules(source="s1")), 0.2))
     return entities.cluster_records(made).select("cluster", "ord", "id", "member_count", "effective_price", "member_ids")
 
 
+@query()
+def er_02_05_early_rule(spark, sf_dir):
+    rows = entities.with_keys(listings(spark, sf_dir))
+    return entities.clusters(rows, entities.match_edges(rows, ["road"], entities.same_property(entities.EARLY), 0.2)).select("ord", "cluster")
+
+
 @query()
 def er_08_09_fingerprint_groups(spark, sf_dir):
     rows = entities.with_keys(listings(spark, sf_dir))
-    return entities.clusters(rows, entities.match_edges(rows, ["road"], entities.same_fingerprint()), greedy=False).select("ord", "cluster")
+    return entities.clusters(rows, entities.match_edges(rows, ["road"], entities.same_fingerprint(), normalised=True), greedy=False).select("ord", "cluster")
+
+
+def _attached(spark, sf_dir):
+    """Listings of the trusted source s0, clusters of the ads of s1, and which of these attach to which of those."""
+    rows = entities.with_keys(listings(spark, sf_dir))
+    trusted, ads = rows.where("source = 's0'"), rows.where("source = 's1'")
+    edges = entities.match_edges(ads, ["road"], entities.same_fingerprint(), normalised=True)
+    made = entities.cluster_records(entities.clusters(ads, edges, greedy=False), oldest=False)
+    return rows, trusted, made, entities.attached(entities.attach_candidates(trusted, made))
 
 
 @query()
 def er_11_14_attached(spark, sf_dir):
-    """Rows of one source with their best partner of another, unless the two best are too close to tell."""
-    rows = entities.with_keys(listings(spark, sf_dir))
-    pairs = entities.scored_pairs(rows, ["road"], 0.8).where("a.source <> b.source")
-    scored = pairs.select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), entities.attach_score().alias("score"), entities.attach_level().alias("level")).where("level <> 'no'")
-    best = windows.with_gap(scored, ["a"], "score", ["b"])
-    return best.withColumn("attached", (F.col("level") == "strong") & F.coalesce(F.col("gap") > 1, F.lit(True)))
+    """Clusters of ads with the trusted listing they attach to, unless the two best are too close to tell; and pairs for review."""
+    return _attached(spark, sf_dir)[-1]
+
+
+@query()
+def er_15_property_groups(spark, sf_dir):
+    _, trusted, made, outcomes = _attached(spark, sf_dir)
+    return entities.property_groups(entities.group_members(trusted, made, outcomes))
 
 
 @query()
 def er_16_19_classified(spark, sf_dir):
-    rows = entities.with_keys(listings(spark, sf_dir))
+    """Groups of listings against the inventory s2 of their road; an inventory row goes to one group only."""
+    rows, trusted, made, outcomes = _attached(spark, sf_dir)
     roads = rows.select("road").distinct().withColumn("available", F.crc32(F.col("road").cast("binary")) % 5 != 0)
-    found = entities.classify(rows.where("source <> 's0'"), rows.where("source = 's0'"), roads)
-    return joins.exclusive(found, "candidate", [F.desc("score"), "ord"])
+    found = entities.classify(trusted.unionByName(made.select(trusted.columns)), rows.where("source = 's2'"), roads)
+    return entities.classify_groups(entities.group_members(trusted, made, outcomes), found, "s0")
 
 
 # snapshots
@@ -416,7 +432,7 @@ def sta_07_run_summary(spark, sf_dir):
 
 @query("""WITH s AS (SELECT p_partkey, p_retailprice AS price, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice + CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN -3 ELSE 0.04 END END AS before FROM part),
  d AS (SELECT *, round(price - before, 1) AS diff FROM s)
- SELECT p_partkey AS id, price, CASE WHEN abs(diff) >= 0.1 THEN before END AS previous_price, CASE WHEN abs(diff) >= 0.1 THEN diff END AS change,
+ SELECT p_partkey AS id, price, CASE WHEN abs(diff) >= 0.1 THEN before END AS previous_price, CASE WHEN abs(diff) >= 0.1 THEN abs(diff) END AS change,
  CASE WHEN abs(diff) >= 0.1 THEN CASE WHEN diff > 0 THEN 'up' ELSE 'down' END END AS direction, CASE WHEN abs(diff) >= 0.1 THEN 2 ELSE 1 END AS entries FROM d""")
 def sta_03_track_price(spark, sf_dir):
     p = table(spark, sf_dir, "part")

@@ -76,6 +76,12 @@ def matching_leaves(leaves: Column, key_pattern: str, value_pattern: str = ".*")
     return F.filter(leaves, lambda x: x["key"].rlike(f"(?i){key_pattern}") & x["value"].rlike(value_pattern))
 
 
+def objects_with(leaves: Column, wanted: Column) -> Column:
+    """Paths of the objects of which a scalar value holds the text, in either case."""
+    holds = F.filter(leaves, lambda x: F.contains(F.lower(x["value"]), F.lower(wanted)) & ~x["path"].rlike(r"\]$"))
+    return F.array_distinct(F.transform(holds, lambda x: F.regexp_replace(x["path"], r"\.[^.]*$", "")))
+
+
 def product_string(c, pair: str = "~", parts: str = "=") -> Column:
     """``k1=v1~k2=v2`` as a map; pieces without a value go."""
     pieces = F.filter(F.split(c, re.escape(pair)), lambda x: F.contains(x, F.lit(parts)))
