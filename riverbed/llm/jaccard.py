@@ -7,8 +7,8 @@ verified once, on the whole sets.
 
 Groups of near copies don't become all their pairs: first every entity meets one partner, which its posting lists,
 sorted by position, name most often as the one before it or the first one. What these links leave in different
-components of one list meets in a second round, where the filters run inside the task and only the pairs that pass
-leave it.
+components of one list meets again, where the filters run inside the task and only the pairs that pass leave it: in a
+second round each entity's most similar partner of another component, in a third one all pairs that are still apart.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from riverbed.llm.components import connected_components
 
 #: Counters of the frequency sketch and of a Bloom filter, in bits of their index; cells of a set's suffix signature.
 SKETCH_BITS, BLOOM_BITS, CELLS, SLICES = 20, 23, 64, 64
+#: Widths of the bitmaps of sets (eight bits a shingle; larger sets have none); rows of a list that meet in one task.
+BITMAP_WIDTHS, LIST_ROWS = (512, 1024, 2048, 4096), 4096
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -49,6 +51,15 @@ def _prints(h: np.ndarray) -> tuple[int, int]:
     return hi, lo
 
 
+def _bitmap(h: np.ndarray) -> bytes | None:
+    width = next((w for w in BITMAP_WIDTHS if w >= 8 * len(h)), 0)
+    if not width or not len(h):
+        return None
+    bits = np.zeros(width, np.uint8)
+    bits[(h & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _digest(n: int) -> Callable:
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -57,17 +68,17 @@ def _digest(n: int) -> Callable:
             for r, h in _sets(batch, n):
                 np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 cells = np.minimum(np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255) if len(h) else np.zeros(0)
-                rows.append((ids[r], *_prints(h), len(h), cells.astype(np.uint8).tobytes(), None, None))
+                rows.append((ids[r], *_prints(h), len(h), cells.astype(np.uint8).tobytes(), _bitmap(h), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in _TYPES], _NAMES)
         if counts.any():
             parts = [x.tobytes() for x in counts.reshape(SLICES, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([None] * SLICES, [None] * SLICES, [None] * SLICES, [None] * SLICES, [None] * SLICES, list(range(SLICES)), parts), _TYPES, strict=True)], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((*[[None] * SLICES] * 6, list(range(SLICES)), parts), _TYPES, strict=True)], _NAMES)
 
     return run
 
 
-_NAMES = ["doc_id", "hi", "lo", "n", "cells", "slice", "counts"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+_NAMES = ["doc_id", "hi", "lo", "n", "cells", "bitmap", "slice", "counts"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
 
 
 def _add_slices(batches):
@@ -200,20 +211,55 @@ def _suffix(num: int, den: int) -> Callable:
     return run
 
 
-def _across(num: int, den: int) -> Callable:
+class _Signatures:
+    """Cell counts and bitmaps of a run's entities, which bound how much two sets can have in common."""
+
+    def __init__(self, n: np.ndarray, cells: list[bytes], bitmaps: list[bytes | None]):
+        self.n = n
+        self.cells = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, CELLS).astype(np.int64)
+        self.width = np.array([0 if x is None else 8 * len(x) for x in bitmaps])
+        self.words, wider = {}, None
+        for width in sorted(BITMAP_WIDTHS, reverse=True):
+            made = np.zeros((len(n), width // 64), np.uint64)
+            own = np.flatnonzero(self.width == width)
+            if len(own):
+                made[own] = np.frombuffer(b"".join(bitmaps[k] for k in own), np.uint64).reshape(len(own), -1)
+            if wider is not None:  # a wider bitmap folds by its halves
+                made |= wider[:, : width // 64] | wider[:, width // 64 :]
+            self.words[width] = wider = made
+
+    def bounds(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Upper bounds of the intersections of entities ``p`` and ``q``.
+
+        A bit that only one set has stands for at least one shingle that the other one lacks.
+        """
+        n, m = self.n[p], self.n[q]
+        most, width = _most_common(self.cells[p], self.cells[q], n, m), np.minimum(self.width[p], self.width[q])
+        for w, words in self.words.items():
+            at = np.flatnonzero(width == w)
+            if len(at):
+                x, y = words[p[at]], words[q[at]]
+                only_x, only_y = np.bitwise_count(x & ~y).sum(1, dtype=np.int64), np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+                most[at] = np.minimum(most[at], np.minimum(n[at] - only_x, m[at] - only_y))
+        return most
+
+
+def _across(num: int, den: int, best: bool) -> Callable:
     """Pairs of one posting list in different components that pass the length, positional and suffix filters.
 
-    Rows come sorted by list; a run is compared block against block, so memory is bounded by the block.
+    Rows come sorted by list part (``h``); a part is compared block against block, so memory is bounded by the block. With
+    ``best`` only the partner that may be most similar is returned for each row, as ``e, f, score``.
     """
     block = 256
 
-    def pairs(part):
-        e, n, pos, comp, cells = part
-        for i in range(0, len(e), block):
-            for j in range(i, len(e), block):
+    def pairs(part, of: _Signatures, base: int):
+        n, pos, comp, blk, diagonal = part
+        for i in range(0, len(n), block):
+            for j in range(i, len(n), block):
                 a, b = slice(i, i + block), slice(j, j + block)
                 low, high = np.minimum.outer(n[a], n[b]), np.maximum.outer(n[a], n[b])
                 ok = (comp[a][:, None] != comp[b][None]) & (den * low >= num * high)
+                ok &= diagonal[a][:, None] | (blk[a][:, None] != blk[b][None])
                 need = num * np.add.outer(n[a], n[b])
                 ok &= np.minimum.outer(n[a] - pos[a], n[b] - pos[b]) * (den + num) >= need
                 if i == j:
@@ -221,42 +267,51 @@ def _across(num: int, den: int) -> Callable:
                 x, y = np.nonzero(ok)
                 for s in range(0, len(x), 1 << 14):
                     p, q = x[s : s + (1 << 14)] + i, y[s : s + (1 << 14)] + j
-                    good = _most_common(cells[p], cells[q], n[p], n[q]) * (den + num) >= num * (n[p] + n[q])
-                    yield np.minimum(e[p[good]], e[q[good]]), np.maximum(e[p[good]], e[q[good]])
-
-    def run(batches):
+                    most = of.bounds(p + base, q + base)
+                    good = most * (den + num) >= num * (n[p] + n[q])
+                    yield p[good] + base, q[good] + base, (most / np.maximum(n[p] + n[q] - most, 1))[good]
+
+    def closed(table: pa.Table, cut: int):
+        h = table["h"].to_numpy()[:cut]
+        at = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [cut]])
+        e, *cols = (table[c].to_numpy()[:cut] for c in ("e", "n", "pos", "comp", "blk", "diagonal"))
+        of = _Signatures(cols[0], table["cells"].slice(0, cut).to_pylist(), table["bitmap"].slice(0, cut).to_pylist())
+        found: set[tuple[int, int]] = set()
+        top, partner = np.full(cut, -1.0), np.full(cut, -1)
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if j - i > 1:
+                for p, q, score in pairs([c[i:j] for c in cols], of, i):
+                    if best:
+                        for x, y in ((p, q), (q, p)):
+                            order = np.lexsort((e[y], score))
+                            last = dict(zip(x[order].tolist(), order.tolist(), strict=True))
+                            rows, k = np.array(list(last), np.int64), np.array(list(last.values()), np.int64)
+                            better = score[k] > top[rows] if len(rows) else np.zeros(0, bool)
+                            top[rows[better]], partner[rows[better]] = score[k[better]], y[k[better]]
+                    else:
+                        x, y = e[p], e[q]
+                        found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+        if best:
+            have = np.flatnonzero(partner >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(e[have]), pa.array(e[partner[have]]), pa.array(top[have])], ["e", "f", "score"])
+        elif found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def closed(table: pa.Table, last: bool):
-            h = table["h"].to_numpy()
-            cut = len(h) if last else int(np.searchsorted(h, h[-1]))
-            if cut:
-                at = np.concatenate([[0], np.flatnonzero(h[1:cut] != h[: cut - 1]) + 1, [cut]])
-                cols = [table[c].to_numpy()[:cut] for c in ("e", "n", "pos", "comp")]
-                raw = np.frombuffer(b"".join(table["cells"].slice(0, cut).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64)
-                found: set[tuple[int, int]] = set()
-                for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    if j - i > 1:
-                        for x, y in pairs([c[i:j] for c in cols] + [raw[i:j]]):
-                            found.update(zip(x.tolist(), y.tolist(), strict=True))
-                if found:
-                    a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            if cut < len(h):
-                held[:] = table.slice(cut).to_batches()
-
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 if sum(b.num_rows for b in held) >= 1 << 14:
                     table = pa.Table.from_batches(held)
-                    if table["h"][0].as_py() != table["h"][-1].as_py():
-                        held.clear()
-                        yield from closed(table, False)
+                    h = table["h"].to_numpy()
+                    if cut := int(np.searchsorted(h, h[-1])):
+                        yield from closed(table, cut)
+                        held[:] = table.slice(cut).to_batches()
         if held:
             table = pa.Table.from_batches(held)
-            held.clear()
-            yield from closed(table, True)
+            yield from closed(table, table.num_rows)
 
     return run
 
@@ -265,18 +320,21 @@ class _Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int):
         self.spark, self.n, self.num, self.den = docs.sparkSession, n, num, den
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        made = materialize(self.docs.mapInArrow(_digest(n), "doc_id long, hi long, lo long, n long, cells binary, slice int, counts binary"), "digest")
+        made = materialize(self.docs.mapInArrow(_digest(n), "doc_id long, hi long, lo long, n long, cells binary, bitmap binary, slice int, counts binary"), "digest")
         self.digest = made.where("slice is null").select("doc_id", "hi", "lo", "n")
         self.counts = self.spark.sparkContext.broadcast(_gather(made.where("slice is not null").select("slice", "counts"), 1 << SKETCH_BITS))
-        self.cells = made.where("slice is null").groupBy(F.col("lo").alias("e")).agg(F.max("cells").alias("cells"))
+        self.signatures = made.where("slice is null").groupBy(F.col("lo").alias("e")).agg(F.max("cells").alias("cells"), F.max("bitmap").alias("bitmap"))
+        self.cells = self.signatures.select("e", "cells")
         #: Entities and their smallest document.
         self.entities = self.digest.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"))
 
     def lists(self) -> DataFrame:
-        """Posting lists of two entities and more, each entity once in a list."""
+        """Posting lists, each entity once in a list; entities without another one of a fitting length in the list are left out."""
         rows = self.docs.select("text").mapInArrow(_prefixes(self.n, self.num, self.den, self.counts), "h long, e long, n int, pos int").repartition("h")
         once = rows.groupBy("h", "e").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-        return materialize(once.withColumn("size", F.count("*").over(Window.partitionBy("h"))).where("size > 1").drop("size"), "lists")
+        w, n = Window.partitionBy("h").orderBy("n"), F.col("n").cast("long")
+        fits = (self.den * F.lag(n).over(w) >= self.num * n) | (self.den * n >= self.num * F.lead(n).over(w))
+        return materialize(once.withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits").drop("fits"), "lists")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Pairs ``a < b`` of entities (each once) that link, as edges between their smallest documents."""
@@ -309,21 +367,31 @@ class _Join:
         best = good.groupBy("e").agg(F.max_by("f", F.struct("k", "f")).alias("f"))
         return best.select(F.least("e", "f").alias("a"), F.greatest("e", "f").alias("b")).distinct()
 
-    def rest(self, lists: DataFrame, components: DataFrame) -> DataFrame:
-        """In each list, the filtered pairs that the links so far leave in different components."""
+    def rest(self, lists: DataFrame, components: DataFrame, best: bool) -> DataFrame:
+        """In each list, the filtered pairs that the links so far leave in different components; with ``best`` one an entity.
+
+        A long list is dealt out by pairs of parts, so that no task gets more than two parts at once.
+        """
         of = self.entities.join(components, "node", "left").groupBy(F.col("lo").alias("e")).agg(F.min(F.coalesce("component", "node")).alias("comp"))
-        rows = lists.join(of, "e").join(self.cells, "e")
         w = Window.partitionBy("h")
-        rows = rows.withColumn("mixed", F.min("comp").over(w) != F.max("comp").over(w)).where("mixed").drop("mixed")
-        rows = rows.repartition("h").sortWithinPartitions("h", "pos", "e").select("h", "e", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "comp", "cells")
-        return rows.mapInArrow(_across(self.num, self.den), "a long, b long").distinct()
+        rows = lists.join(of, "e").withColumns({"mixed": F.min("comp").over(w) != F.max("comp").over(w), "parts": F.ceil(F.count("*").over(w) / LIST_ROWS)}).where("mixed")
+        rows = rows.withColumn("blk", F.expr("pmod(xxhash64(e), parts)")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        part = F.xxhash64("h", F.least("blk", "t"), F.greatest("blk", "t"))
+        rows = rows.join(self.signatures, "e").select(part.alias("h"), "e", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "comp", "blk", (F.col("blk") == F.col("t")).alias("diagonal"), "cells", "bitmap")
+        dealt = rows.repartition("h").sortWithinPartitions("h", "pos", "e")
+        if not best:
+            return dealt.mapInArrow(_across(self.num, self.den, False), "a long, b long").distinct()
+        met = dealt.mapInArrow(_across(self.num, self.den, True), "e long, f long, score double").groupBy("e").agg(F.max_by("f", F.struct("score", "f")).alias("f"))
+        return met.select(F.least("e", "f").alias("a"), F.greatest("e", "f").alias("b")).distinct()
 
     def run(self) -> DataFrame:
         lists = self.lists()
-        edges = self.verify(materialize(self.near(lists), "pairs"))
-        more = materialize(self.rest(lists, connected_components(edges)), "pairs")
-        edges = edges.union(self.verify(more))
-        components = connected_components(edges)
+        components = connected_components(self.verify(materialize(self.near(lists), "pairs")))
+        for best in (True, False):
+            more = materialize(self.rest(lists, components, best), "pairs")
+            edges = None if more.isEmpty() else self.verify(more)
+            if edges is not None and not edges.isEmpty():
+                components = connected_components(components.select(F.col("component").alias("a"), F.col("node").alias("b")).union(edges))
         ids = self.entities.join(components, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id"))
         out = self.digest.join(ids, ["hi", "lo"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
