@@ -65,13 +65,14 @@ def fit(labels: np.ndarray, texts: list[np.ndarray], epochs: int = 60, seed: int
     if not len(y) or toxic == 0 or toxic == n:
         return machine
     every = np.concatenate(texts)
-    row = np.repeat(np.arange(n), [len(t) for t in texts])
-    with_it = np.bincount(every, minlength=1 << SLOT_BITS).astype(np.float64)
-    and_toxic = np.bincount(every, y[row], 1 << SLOT_BITS)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in texts])
+    slots, of = np.unique(every, return_inverse=True)
+    with_it, and_toxic = np.bincount(of).astype(np.float64), np.bincount(of, y[row])
+    del of
     spread = np.sqrt(with_it * prior * (1 - prior) + 1e-9)
     z = np.where(with_it >= 3, np.abs(and_toxic - with_it * prior) / spread, 0)
     best = np.argsort(-z, kind="stable")[:KEPT_SLOTS]
-    best = best[z[best] > 4.0]
+    best = slots[best[z[best] > 4.0]]
     if not len(best):
         return machine
     place[best] = np.arange(len(best))
