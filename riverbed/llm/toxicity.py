@@ -24,9 +24,9 @@ SLOT_BITS, KEPT_SLOTS, RANK, SAMPLE_TEXTS = 22, 2048, 8, 20_000
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def _slots(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _slots(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, slots and their bounds by row, a chunk of texts at a time."""
-    data, offsets = K.buffers(batch["text"])
+    data, offsets = K.buffers(text)
     for i, j in K.chunks(offsets):
         words = K.Words(data, offsets, i, j, APART)
         yield i, (words.hashes() >> np.uint64(64 - SLOT_BITS)).astype(np.int32), words.first
@@ -34,7 +34,7 @@ def _slots(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [np.unique(slots[first[r] : first[r + 1]]).tobytes() for _, slots, first in _slots(batch) for r in range(len(first) - 1)]
+        out = [np.unique(slots[first[r] : first[r + 1]]).tobytes() for _, slots, first in _slots(batch["text"]) for r in range(len(first) - 1)]
         yield pa.RecordBatch.from_arrays([batch["label"], pa.array(out, pa.binary())], ["label", "slots"])
 
 
@@ -120,23 +120,28 @@ def train(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS)
     return fit(np.array([r["label"] for r in rows]), [np.frombuffer(r["slots"], np.int32) for r in rows])
 
 
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value
-        for batch in batches:
-            out = []
-            for _, slots, first in _slots(batch):
-                feature = machine.place[slots].astype(np.int64)
-                at = np.flatnonzero(feature >= 0)
-                row = np.searchsorted(first, at, "right") - 1
-                width = max(1, len(machine.weights))
-                pair = np.unique(row * width + feature[at])
-                logit = machine.logits(pair // width, pair % width, len(first) - 1)
-                out.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-            score = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "text"), pa.array(score, pa.float64())], [*(c for c in batch.schema.names if c != "text"), "score"])
+def _scores(machine: Machine, text: pa.Array) -> pa.Array:
+    out = []
+    for _, slots, first in _slots(text):
+        feature = machine.place[slots].astype(np.int64)
+        at = np.flatnonzero(feature >= 0)
+        row = np.searchsorted(first, at, "right") - 1
+        width = max(1, len(machine.weights))
+        pair = np.unique(row * width + feature[at])
+        logit = machine.logits(pair // width, pair % width, len(first) - 1)
+        out.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+    return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
-    return run
+
+def _score_column(docs: DataFrame, machine: Machine):
+    """Only texts go to Python and only scores come back."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return _scores(shared.value, text)
+
+    return score(F.col("text").cast("string"))
 
 
 def toxicity_scores(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -144,14 +149,9 @@ def toxicity_scores(docs: DataFrame, machine: Machine) -> DataFrame:
 
     Repeated rows each give a row, a null ``doc_id`` is a value like another, other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scored(shared), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _score_column(docs, machine).alias("score"))
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their own columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
-    whole = docs.select(F.struct(*docs.columns).alias("row_"), F.col("text").cast("string").alias("text"))
-    kind = whole.schema["row_"].dataType.simpleString()
-    return whole.mapInArrow(_scored(shared), f"row_ {kind}, score double").where(F.col("score") < threshold).select("row_.*")
+    return docs.where(_score_column(docs, machine) < threshold)
