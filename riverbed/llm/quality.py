@@ -20,8 +20,10 @@ from riverbed.llm import kernels as K
 SYMBOLS = b"#*$%&|<>"
 #: Words below which a text fails, words of a repeat window, share of repeated words above which it fails (percent).
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
-#: Labelled texts that training takes at most, lines of a text it looks at, share of words in content lines to be kept.
-SAMPLE_TEXTS, SAMPLE_LINES, CONTENT_SHARE = 4000, 400, 0.5
+#: Labelled texts that training takes at most, share of words in content lines to be kept.
+SAMPLE_TEXTS, CONTENT_SHARE = 4000, 0.5
+#: Lines of texts that training passes at once, those that fill up shorter texts among them, or one longer text.
+BATCH_LINES = 1 << 18
 N_FEATURES = 14
 _UPPER, _LETTER, _DIGIT = (bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)]), bytes(range(48, 58)))
 
@@ -95,10 +97,36 @@ class Field:
         return labels
 
 
+def _expected(bits: np.ndarray, size: np.ndarray, weight: np.ndarray, scores: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected labels by set of features and expected label pairs of texts in falling length, each text by its weight.
+
+    ``bits``: (line, text), anything behind a text's end; ``scores``: by set of features.
+    """
+    most, n = bits.shape
+    alive = np.searchsorted(-size, -np.arange(most), "left").tolist()  # texts with more than t lines
+    live = (np.arange(most)[:, None] < size)[:, :, None]
+    scores = scores[bits]
+    forward, backward = np.full((most, n, 2), -np.inf), np.where(live, np.zeros(2), -np.inf)
+    forward[0] = scores[0]
+    for t in range(1, most):
+        a = alive[t]
+        forward[t, :a] = np.logaddexp(forward[t - 1, :a, :1] + move[0], forward[t - 1, :a, 1:] + move[1]) + scores[t, :a]
+    for t in range(most - 2, -1, -1):
+        a = alive[t + 1]
+        ahead = backward[t + 1, :a] + scores[t + 1, :a]
+        backward[t, :a] = np.logaddexp(ahead[:, :1] + move[:, 0], ahead[:, 1:] + move[:, 1])
+    total = np.logaddexp(*(forward[0] + backward[0]).T)
+    found = [np.bincount(bits.ravel(), (np.exp(forward[:, :, y] + backward[:, :, y] - total) * weight).ravel(), 1 << N_FEATURES) for y in (0, 1)]
+    scores += backward
+    pair = [[(np.exp(forward[:-1, :, y] + move[y, z] + scores[1:, :, z] - total) * weight).sum() for z in (0, 1)] for y in (0, 1)]
+    return np.stack(found, 1), np.array(pair)
+
+
 def fit(sequences: list[np.ndarray], labels: np.ndarray, rounds: int = 150, decay: float = 0.002) -> Field:
-    """Gradient ascent on the mean log-likelihood. ``sequences``: (line, feature) matrices; all lines have the text's label.
+    """Gradient ascent on the mean log-likelihood. ``sequences``: by text, each line's features as bits; all lines have the text's label.
 
-    With constant labels the partition sums need only forward and backward passes over two states.
+    With constant labels the partition sums need only forward and backward passes over two states. Texts of like length
+    pass together, as many as ``BATCH_LINES`` allows.
     """
     emit, move = np.zeros((N_FEATURES, 2)), np.array([[0.5, 0.0], [0.0, 0.5]])
     kinds = {int(y) for y in labels}
@@ -108,38 +136,27 @@ def fit(sequences: list[np.ndarray], labels: np.ndarray, rounds: int = 150, deca
     order = np.argsort([-len(s) for s in sequences], kind="stable")
     sequences, labels = [sequences[k] for k in order], labels[order]
     size = np.array([len(s) for s in sequences])
-    n, most = len(sequences), int(size[0])
-    lines = np.zeros((most, n, N_FEATURES), np.float32)
-    for k, s in enumerate(sequences):
-        lines[: len(s), k] = s
-    alive = [int(np.searchsorted(-size, -t, "left")) for t in range(most)]  # sequences with more than t lines
-    one_hot = np.eye(2)[labels]
+    n = len(sequences)
     weight = 1.0 / size  # a text counts once, however many lines it has
-    seen = np.einsum("tnf,n,nl->fl", lines, weight, one_hot)
-    pairs = np.zeros((2, 2))
+    table = (np.arange(1 << N_FEATURES)[:, None] >> np.arange(N_FEATURES) & 1).astype(float)
+    batches, at = [], 0
+    seen, pairs = np.zeros((1 << N_FEATURES, 2)), np.zeros((2, 2))
+    while at < n:
+        end = min(n, at + max(1, BATCH_LINES // int(size[at])))
+        bits = np.zeros((int(size[at]), end - at), np.uint16)
+        for k in range(at, end):
+            bits[: size[k], k - at] = sequences[k]
+            seen[:, labels[k]] += np.bincount(sequences[k], minlength=1 << N_FEATURES) * weight[k]
+        batches.append((bits, size[at:end], weight[at:end]))
+        at = end
+    seen = table.T @ seen
     for y in (0, 1):
         pairs[y, y] = (weight * (size - 1))[labels == y].sum()
     speed_e, speed_m = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
     for _ in range(rounds):
-        scores = lines @ emit
-        forward, backward = np.zeros((most, n, 2)), np.zeros((most, n, 2))
-        forward[0] = scores[0]
-        for t in range(1, most):
-            a = alive[t]
-            forward[t, :a] = np.logaddexp(forward[t - 1, :a, :1] + move[0], forward[t - 1, :a, 1:] + move[1]) + scores[t, :a]
-        for t in range(most - 2, -1, -1):
-            a = alive[t + 1]
-            ahead = backward[t + 1, :a] + scores[t + 1, :a]
-            backward[t, :a] = np.logaddexp(ahead[:, :1] + move[:, 0], ahead[:, 1:] + move[:, 1])
-        total = np.logaddexp(*(forward[0] + backward[0]).T)
-        expected, pair = np.zeros_like(emit), np.zeros((2, 2))
-        for t in range(most):
-            a = alive[t]
-            p = np.exp(forward[t, :a] + backward[t, :a] - total[:a, None]) * weight[:a, None]
-            expected += lines[t, :a].T @ p
-            if t:
-                joint = forward[t - 1, :a, :, None] + move[None] + (scores[t, :a] + backward[t, :a])[:, None]
-                pair += (np.exp(joint - total[:a, None, None]) * weight[:a, None, None]).sum(0)
+        scores = table @ emit
+        made = [_expected(*batch, scores, move) for batch in batches]
+        expected, pair = table.T @ sum(e for e, _ in made), sum(p for _, p in made)
         de, dm = (seen - expected) / n - decay * emit, (pairs - pair) / n - decay * 10 * move
         speed_e, speed_m = speed_e + de**2, speed_m + dm**2
         emit, move = emit + 0.3 * de / np.sqrt(speed_e), move + 0.3 * dm / np.sqrt(speed_m)
@@ -167,17 +184,13 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text in batch["text"].cast(pa.binary()).to_pylist():
-            bits = []
-            for x, _, _ in _lines_of(text):
-                if len(bits) == SAMPLE_LINES:
-                    break
-                bits.append(sum(1 << k for k in x))
+            bits = [sum(1 << k for k in x) for x, _, _ in _lines_of(text)]
             out.append(np.array(bits, np.uint16).tobytes())
         yield pa.RecordBatch.from_arrays([batch["label"], pa.array(out, pa.binary())], ["label", "lines"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Field:
-    """Fits to at most ``sample_texts`` labelled documents, chosen by the hash of their id, and their first ``SAMPLE_LINES`` lines.
+    """Fits to at most ``sample_texts`` labelled documents, chosen by the hash of their id, with all their lines.
 
     ``labels`` has ``doc_id`` and ``label`` (1 good, 0 bad; others are ignored; of repeated ones the largest counts).
     """
@@ -186,8 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     rows = rows.select("label", "text").mapInArrow(_sample_rows, "label int, lines binary").limit(2 * sample_texts).collect()
     rows = sorted(((1 - r["label"], r["lines"]) for r in rows if r["lines"]), key=lambda r: (zlib.crc32(r[1]), r))
-    bits = [np.frombuffer(x, np.uint16) for _, x in rows]
-    return fit([(b[:, None] >> np.arange(N_FEATURES) & 1).astype(np.float32) for b in bits], np.array([y for y, _ in rows], np.int64))
+    return fit([np.frombuffer(x, np.uint16) for _, x in rows], np.array([y for y, _ in rows], np.int64))
 
 
 def _repeated(words: K.Words) -> np.ndarray:

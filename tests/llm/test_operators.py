@@ -325,6 +325,26 @@ def test_quality_learns(spark):
     assert all(r.content_share == 1 for r in quality.quality_verdicts(docs, nothing).collect())
 
 
+def test_quality_learns_from_late_lines(spark):
+    """Good and bad texts differ only behind their first 450 lines."""
+    plain, junk = [f"Plain sentence {k} with some words." for k in range(900)], ["BUY!! NOW!! $$$ ### CHEAP!!"]
+    rows = [(k, "\n".join(plain[:450] + (plain[450:] if k % 2 else junk * 450))) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, label int")
+    shares = {r.doc_id: r.content_share for r in quality.quality_verdicts(docs, quality.train(docs, labels)).collect()}
+    assert all(shares[k] == 1 for k in (1, 3, 5, 7)) and all(0.45 < shares[k] < 0.6 for k in (0, 2, 4, 6))
+
+
+def test_quality_fit_in_batches(monkeypatch):
+    rng = np.random.default_rng(2)
+    labels = rng.integers(0, 2, 30)
+    texts = [(1 | rng.integers(0, 1 << (4 + 9 * y), rng.integers(1, 40)) << 1).astype(np.uint16) for y in labels]
+    whole = quality.fit(texts, labels, rounds=20)
+    monkeypatch.setattr(quality, "BATCH_LINES", 50)
+    parts = quality.fit(texts, labels, rounds=20)
+    assert np.allclose(whole.emit, parts.emit) and np.allclose(whole.move, parts.move)
+
+
 # line dedup
 
 
