@@ -95,6 +95,26 @@ def test_first_fit_against_loop(spark):
     assert {(r.node, r.component) for r in graph.components(three).collect()} == {(0, 0), (1, 0), (2, 0)}
 
 
+def test_first_fit_gathers_no_component(spark, monkeypatch):
+    """One component of 5,000 nodes, never as a list in a row."""
+
+    def gathered(*_):
+        raise AssertionError("a component is gathered")
+
+    for name in ("collect_list", "collect_set", "aggregate"):
+        monkeypatch.setattr(graph.F, name, gathered)
+    n = 5000
+    star = spark.range(1, n).selectExpr("0L a", "id b").union(spark.range(2, n).selectExpr("id - 1 a", "id b"))
+    # n is a cluster of its own; n + 2 matches it and n + 1, which is in the first
+    made = graph.first_fit_clusters(star.union(spark.createDataFrame([(n, n + 2), (n + 1, n + 2), (n + 1, n + 1), (n - 1, n + 1)], "a long, b long")))
+    assert {(r.cluster, r["count"]) for r in made.groupBy("cluster").count().collect()} == {(0, n + 2), (n, 1)}
+
+
+def test_first_fit_long_chain(spark):
+    made = graph.first_fit_clusters(spark.range(1, 500).selectExpr("id a", "id - 1 b").repartition(3))
+    assert {r.cluster for r in made.collect()} == {0} and made.count() == 500
+
+
 def _listing(**x):
     return {"id": "", "source": "ads", "road": "r", "title": "", "address": "", "price": 1398.0, "area": 27.59} | x
 
