@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _RUN = re.compile(f"[{_WS}]{{2,}}")
 #: Chunks, prefixes and pairs of tokens that a task remembers; beyond that it forgets and starts again.
 CACHE = 1 << 20
+#: Chunks of more letters and pieces of more bytes are not remembered, so that memory is bounded by a multiple of the longest text.
+SHORT = 64
 
 
 def _byte_letters() -> dict[str, int]:
@@ -73,7 +76,9 @@ class PrefixCounter:
         return found
 
     def total(self, piece: bytes) -> int:
-        """Tokens of a piece; its prefixes' counts and last tokens are in ``state`` then."""
+        """Tokens of a piece; if it is short, its prefixes' counts and last tokens are in ``state`` then."""
+        if len(piece) > SHORT:
+            return int(self._long_counts(piece)[-1])
         state, tokens, fits = self.state, self.tokens, self.fits
         if len(state) > CACHE:
             state.clear()
@@ -92,8 +97,25 @@ class PrefixCounter:
                         break
         return state[piece][0]
 
+    def _long_counts(self, piece: bytes) -> np.ndarray:
+        """Counts of a piece's prefixes by position; memory is linear in its length."""
+        tokens, fits = self.tokens, self.fits
+        counts, starts = array("i", [0]) * (len(piece) + 1), array("i", [0]) * (len(piece) + 1)  # starts: of the prefix's last token
+        for i in range(1, len(piece) + 1):
+            for j in range(max(0, i - self.longest), i):
+                t = piece[j:i]
+                if t in tokens:
+                    last = piece[starts[j] : j]
+                    ok = fits.get((last, t))
+                    if self._side_by_side(last, t) if ok is None else ok:
+                        counts[i], starts[i] = counts[j] + 1, j
+                        break
+        return np.array(counts, np.int32)
+
     def piece_counts(self, piece: bytes) -> np.ndarray:
         """Token counts of the piece's prefixes of 0, 1, 2 ... bytes."""
+        if len(piece) > SHORT:
+            return self._long_counts(piece)
         self.total(piece)
         return np.array([self.state[piece[:i]][0] for i in range(len(piece) + 1)], np.int32)
 
@@ -110,7 +132,9 @@ class PrefixCounter:
                 if n is None:
                     if len(totals) > CACHE:
                         totals.clear()
-                    n = totals[c] = sum(self.total(p.encode()) for p in self.pieces.findall(c))
+                    n = sum(self.total(p.encode()) for p in self.pieces.findall(c))
+                    if len(c) <= SHORT:
+                        totals[c] = n
                 total += n
             return total
 
@@ -129,8 +153,9 @@ class PrefixCounter:
                 out[m.start() + 1 : m.end() + 1] = done + self._inner(chunk)
                 done += self._plain(chunk)
             for m in _RUN.finditer(text, at, start):  # a run of white space at a prefix's end is one piece
-                for k in range(m.start() + 1, m.end() + 1):
-                    out[k] = out[m.start()] + self._plain(text[m.start() : k])
+                raw = m.group()
+                ends = np.cumsum([len(c.encode()) for c in raw])
+                out[m.start() + 1 : m.end() + 1] = out[m.start()] + self.piece_counts(raw.encode())[ends]
             for k in range(start + 1, end):  # inside a special string its letters are plain text
                 tail = _CHUNK.findall(text, max(at, text.rfind(" ", at, start)), k)
                 head = text[at : k - len("".join(tail))]
@@ -148,7 +173,7 @@ class PrefixCounter:
             raw = piece.encode()
             counts = self.piece_counts(raw)
             ends = np.cumsum([len(c.encode()) for c in piece])
-            if piece[0] == "'" and len(piece) > 2:  # a part of a contraction is split otherwise
+            if piece in ("'re", "'ve", "'ll"):  # a part of a contraction is split otherwise
                 out += [before + sum(self.total(p.encode()) for p in self.pieces.findall(chunk[at : at + k])) for k in range(1, len(piece) + 1)]
             else:
                 out += (before + counts[ends]).tolist()

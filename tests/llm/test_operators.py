@@ -450,3 +450,23 @@ def test_token_counts(docs, rows, empty):
     for r in token_counts.within_budget(docs.where("doc_id > 40"), path, 7).collect():
         assert count(r.text) <= 7
     assert token_counts.token_counts(empty, path, prefixes=True).count() == 0
+
+
+def test_token_counts_long_runs():
+    """Runs without a break: memory in proportion to the text, counts of all prefixes as the tokenizer's."""
+    import tracemalloc
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    made = token_counts.PrefixCounter(path)
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list(letters), 6000)) for letters in ("acgt", "abcdefghijklmnop", "' ", "é語の", " \n\t", "'!-")] + ["'" * 3000, " " * 3000]
+    tracemalloc.start()
+    tables = [made.prefixes(t) for t in texts] + [made.prefixes("b" + texts[0])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for t, table in zip([*texts, "b" + texts[0]], tables, strict=True):
+        assert made.count(t) == table[-1] == count(t)
+        assert all(table[k] == count(t[:k]) for k in [*range(1, 200), *range(200, len(t), 307)])
+    assert peak < 12 << 20
