@@ -31,6 +31,9 @@ TEMPLATES = (
     ("gpl-2", "[[this {{4}} is]] licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] version 2"),
     ("gpl-3", "[[this {{4}} is]] licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] version 3"),
     ("lgpl-3", "[[this {{4}} is]] licensed under the [[terms of the]] gnu lesser general public license version 3"),
+    ("gpl-2", "[[redistribute it and or modify it]] under the terms of the gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
+    ("gpl-3", "[[redistribute it and or modify it]] under the terms of the gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
+    ("lgpl-3", "[[redistribute it and or modify it]] under the terms of the gnu lesser general public license [[as published by the free software foundation]] [[either]] version 3"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by", "licensed under [[a]] [[the]] creative commons attribution [[4 0]] [[international]] license"),
     ("cc-by-nc", "licensed under cc by nc [[{{1}} 0]]"),
@@ -64,7 +67,8 @@ class Automaton:
                 must += not optional
                 last = self._add(last, ids.setdefault(part, len(ids)), must)
         self.end, self.must = last, must
-        self.starts = {t for s in self._closure({0}) for t, _ in self.step[s]}
+        # optional words in front change neither acceptance nor the share: what follows them is found from its own start
+        self.starts = {t for s in self._closure({0}) for t, n in self.step[s] if self.depth[n]}
 
     def _add(self, state: int, token: int, depth: int) -> int:
         self.step.append([])
@@ -106,7 +110,7 @@ class Scanner:
         hashes = K.span_hashes(text, np.concatenate([[0], end[:-1]]), end)
         order = np.argsort(hashes)
         self.hashes, self.ids, self.words = hashes[order], order, [w.encode() for w in words]
-        # a template is tried where one of its words stands that is in few others, counted back to its start
+        # a template is tried wherever its first mandatory word stands
         self.begins: dict[int, list[Automaton]] = {}
         for a in self.automata:
             for t in a.starts:
@@ -150,7 +154,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not _SCANNERS:
         _SCANNERS.append(Scanner())
     scanner = _SCANNERS[0]
-    rare = [scanner.words.index(w) for w in (b"license", b"licensed", b"released", b"permission", b"permitted", b"mozilla")]
+    starts = sorted(scanner.begins)
     for batch in batches:
         data, offsets = K.buffers(batch["text"])
         rows: list[tuple] = []
@@ -161,7 +165,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x, label in scanner.places(tokens, first):
                 r = int(np.searchsorted(first, x, "right")) - 1
                 found.setdefault(r, []).append((x - int(first[r]), label))
-            tried = set((np.searchsorted(first, np.flatnonzero(np.isin(tokens, rare)), "right") - 1).tolist())
+            tried = set((np.searchsorted(first, np.flatnonzero(np.isin(tokens, starts)), "right") - 1).tolist())
             for r in range(j - i):
                 base = found.get(r, [])
                 labels, score = scanner.matches(tokens[first[r] : first[r + 1]].tolist()) if r in tried else (set(), 0.0)

@@ -278,6 +278,28 @@ def test_template_automaton():
     assert not run("licensed under the terms y license") and not run("licensed under the z license")
 
 
+def test_license_notices_without_rare_words(spark):
+    gnu = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    texts = [gnu.format("", 2), gnu.format("", 3), gnu.format("Lesser ", 3), "Redistribution and use in source and binary forms, with or without modification,", "This source code form is subject", "no notice", "modification"]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.labels, r.score) for r in rows}
+    bsd = next(m for label, m in licenses.TEMPLATES if label == "bsd-2").split()
+    mpl = next(m for label, m in licenses.TEMPLATES if label == "mpl-2").split()
+    assert got == {0: ("gpl-2", 1), 1: ("gpl-3", 1), 2: ("lgpl-3", 1), 3: ("", 12 / len(bsd)), 4: ("", 6 / len(mpl)), 5: ("", 0), 6: ("", 0)}
+
+
+def test_license_starts_lose_nothing():
+    """Every template at every word gives the same labels and score."""
+    rng = np.random.default_rng(6)
+    scanner = licenses.Scanner()
+    parts = [re.sub(r"[^a-z0-9 ]", " ", m).split() for _, m in licenses.TEMPLATES]
+    ids = {w.decode(): k for k, w in enumerate(scanner.words)}
+    for _ in range(300):
+        words = [ids.get(w, -1) for k in rng.integers(0, len(parts), 3) for w in ["this", "work", "is"] * int(rng.integers(0, 2)) + parts[k] if rng.random() < 0.95]
+        runs = [(a.label, *a.run(words[k:])) for a in scanner.automata for k in range(len(words))]
+        assert scanner.matches(words) == ({label for label, ok, _ in runs if ok}, max((x for *_, x in runs), default=0.0))
+
+
 # quality
 
 
