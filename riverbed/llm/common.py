@@ -8,19 +8,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables of as many partitions aren't dealt out anew.
+SMALL_PARTITIONS = 16
 #: U+0020 and U+0009 to U+000D, as a Java pattern.
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests on one machine), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``, which all executors and the driver see."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="riverbed-")
+    if not found and spark.sparkContext.master.startswith("local"):
+        found = tempfile.mkdtemp(prefix="riverbed-")  # one machine: all tasks see it
         spark.sparkContext.setCheckpointDir(found)
+    if not found:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return found.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, where it is so small that it has fewer partitions than cores dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SMALL_PARTITIONS) else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -211,21 +211,71 @@ def test_lm_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     counts = np.full(lm_scores.UNITS, 1000.0)
     model = lm_scores.start(counts)
-    before = rng.integers(0, lm_scores.UNITS, (5, lm_scores.BACK))
-    every = np.arange(lm_scores.UNITS)
-    for b in before:
-        assert np.exp(model.log_probabilities(np.tile(b, (lm_scores.UNITS, 1)), every)).sum() == pytest.approx(1, abs=1e-3)
+    every, n = np.arange(lm_scores.UNITS), 40
+    for before in rng.integers(0, lm_scores.UNITS, (3, n)):
+        rows = np.concatenate([np.tile(before, (lm_scores.UNITS, 1)), every[:, None]], 1)
+        own = np.repeat(np.arange(len(rows)) * (n + 1), n + 1)
+        seen = lm_scores.Context(rows.ravel(), own, 0, rows.size)
+        assert np.exp(model.log_probabilities(seen)[n :: n + 1]).sum() == pytest.approx(1, abs=1e-3)
     trainer = lm_scores.Trainer(model, counts)
     unit = np.tile(np.arange(8), 4000)  # each unit follows the one before it
-    context = np.stack([np.roll(unit, k + 1) for k in range(lm_scores.BACK)], 1)
-    first = model.log_probabilities(context, unit).mean()
-    for _ in range(3):
-        for s in range(0, len(unit), 512):
-            trainer.batch(context[s : s + 512], unit[s : s + 512])
-    assert model.log_probabilities(context, unit).mean() > first + 1
+    seen = lm_scores.Context(unit, np.zeros(len(unit), np.int64), 0, len(unit))
+    first = model.log_probabilities(seen).mean()
+    trainer.learn(unit, np.zeros(len(unit), np.int64))
+    assert model.log_probabilities(seen).mean() > first + 1
 
 
-# decontamination
+def test_lm_contexts_in_slices():
+    """A slice sees what the whole run sees; nothing before a text's own beginning."""
+    rng = np.random.default_rng(1)
+    unit, own = rng.integers(0, lm_scores.UNITS, 500), np.repeat([0, 3, 200, 201], [3, 197, 1, 299])
+    model = lm_scores.start(np.ones(lm_scores.UNITS))
+    whole = model.guesses(lm_scores.Context(unit, own, 0, 500))[0]
+    parts = [model.guesses(lm_scores.Context(unit, own, s, min(s + 60, 500)))[0] for s in range(0, 500, 60)]
+    assert np.allclose(whole, np.concatenate(parts), atol=1e-5)
+    alone = model.guesses(lm_scores.Context(unit[201:], np.zeros(299, np.int64), 0, 299))[0]
+    assert np.allclose(whole[201:], alone, atol=1e-5)
+
+
+def test_lm_gradients():
+    """The training step goes down the slope of the loss, as differences show."""
+    rng, counts = np.random.default_rng(2), np.full(lm_scores.UNITS, 50.0)
+    unit, own = rng.integers(0, 20, 60), np.repeat([0, 25], [25, 35])
+    last = np.repeat([24, 59], [25, 35])
+    seen = lm_scores.Context(unit, own, 0, 60)
+
+    def loss(m):
+        t = lm_scores.Trainer(m, counts)
+        noise = t.rng.choice(lm_scores.UNITS, lm_scores.NOISE, p=t.share)
+        guess = m.guesses(seen)[0].astype(np.float64)
+        true = (guess * m.target[unit]).sum(1) + m.bias[unit] - t.log_noise[unit]
+        false = guess @ m.target[noise].T + m.bias[noise] - t.log_noise[noise]
+        return np.logaddexp(0, -true).mean() + np.logaddexp(0, false).sum(1).mean()
+
+    slopes = lm_scores.start(counts)
+    trainer = lm_scores.Trainer(slopes, counts, [np.full_like(x, 1e2) for x in slopes.arrays()])
+    before = [x.copy() for x in slopes.arrays()]
+    trainer.batch(seen, last)  # steps of slope * RATE / 10
+    for k, (x, y) in enumerate(zip(before, slopes.arrays(), strict=True)):
+        slope = (x.astype(np.float64) - y) * 10 / lm_scores.RATE
+        at = np.unravel_index(np.abs(slope).argmax(), slope.shape)
+        moved = lm_scores.start(counts)
+        moved.arrays()[k][at] += 0.05
+        other = lm_scores.start(counts)
+        other.arrays()[k][at] -= 0.05
+        assert (loss(moved) - loss(other)) / 0.1 == pytest.approx(slope[at], rel=0.02)
+
+
+@pytest.mark.parametrize("sf, gain", [("sf0.01", 0.25), ("sf0.1", 0.3)])
+def test_lm_beats_its_base(spark, sf, gain):
+    """Held out, by log10 a token; however the rows are partitioned."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    found = []
+    for n in (1, 32) if sf == "sf0.01" else (4,):
+        rows = lm_scores.lm_scores(docs.repartition(n)).where("held_out")
+        found.append(rows.selectExpr("sum(score - base_score) / sum(n_tokens)", "sum(score)").first())
+        assert found[-1][0] > gain
+    assert found[0][1] == pytest.approx(found[-1][1], rel=1e-6)
 
 
 def test_decontamination(spark, docs, rows, empty):
