@@ -47,3 +47,15 @@ def ascii_lower(text):
 def crc32_mod(column, divisor: int):
     """crc32 of the number as decimal text, modulo ``divisor``; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """``label, text`` of at most ``most`` labelled documents, chosen by the hash of their id, as a table of its own.
+
+    ``labels`` has ``doc_id`` and ``label`` (1, 0; others and null ids are ignored). Of repeated labels the largest counts,
+    of texts of one id the smallest. A null text is empty.
+    """
+    known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    return materialize(rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text"), "labelled")
