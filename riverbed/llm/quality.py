@@ -1,7 +1,9 @@
 """Quality rules: fixed rules on counts, and a linear-chain conditional random field over a text's lines.
 
 Each line with a word is labelled content or boilerplate by Viterbi decoding; a text is kept if enough of its words stand
-in content lines. The field is trained on lines of labelled documents, which take their document's label.
+in content lines. Labels of documents are given, those of their lines are hidden: training takes a line of a bad text for
+boilerplate if its features are those of bad texts, and a line of a good one only if hardly a good text has them. At least half the lines of a bad text are boilerplate, and at most half of a good one's. So labels change
+inside a text, and the field learns which lines follow which.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riverbed.llm import kernels as K
+from riverbed.llm.common import labelled_sample, spread
 
 SYMBOLS = b"#*$%&|<>"
 #: Words below which a text fails, words of a repeat window, share of repeated words above which it fails (percent).
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 #: Labelled texts that training takes at most, share of words in content lines to be kept.
 SAMPLE_TEXTS, CONTENT_SHARE = 4000, 0.5
+#: Share of bad texts among those with a line's features above which a line of a bad or of a good text counts as boilerplate.
+DOUBT, SURE = 0.5, 0.8
 #: Lines of texts that training passes at once, those that fill up shorter texts among them, or one longer text.
 BATCH_LINES = 1 << 18
 N_FEATURES = 14
@@ -122,19 +127,38 @@ def _expected(bits: np.ndarray, size: np.ndarray, weight: np.ndarray, scores: np
     return np.stack(found, 1), np.array(pair)
 
 
-def fit(sequences: list[np.ndarray], labels: np.ndarray, rounds: int = 150, decay: float = 0.002) -> Field:
-    """Gradient ascent on the mean log-likelihood. ``sequences``: by text, each line's features as bits; all lines have the text's label.
+def line_targets(sequences: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
+    """Labels of the lines of labelled texts (1 bad): see the head of this file."""
+    mass = np.full((2, 1 << N_FEATURES), 0.5 / max(1, len(sequences)))  # a text counts once, and good ones as much as bad ones
+    for y in (0, 1):
+        own = [k for k in range(len(sequences)) if labels[k] == y and len(sequences[k])]
+        for k in own:
+            mass[y] += np.bincount(sequences[k], minlength=1 << N_FEATURES) / len(sequences[k]) / len(own)
+    doubt = mass[1] / mass.sum(0)
+    out = []
+    for bits, bad in zip(sequences, labels, strict=True):
+        d = doubt[bits]
+        y, order, half = d > (DOUBT if bad else SURE), np.argsort(-d, kind="stable"), len(d) // 2
+        if bad:
+            y[order[: half + 1]] = True
+        else:
+            y[order[half:]] = False
+        out.append(y.astype(np.int8))
+    return out
+
+
+def fit(sequences: list[np.ndarray], targets: list[np.ndarray], rounds: int = 150, decay: float = 0.002) -> Field:
+    """Gradient ascent on the mean log-likelihood. ``sequences``: by text, each line's features as bits; ``targets``: the lines' labels.
 
-    With constant labels the partition sums need only forward and backward passes over two states. Texts of like length
-    pass together, as many as ``BATCH_LINES`` allows.
+    Texts of like length pass together, as many as ``BATCH_LINES`` allows.
     """
     emit, move = np.zeros((N_FEATURES, 2)), np.array([[0.5, 0.0], [0.0, 0.5]])
-    kinds = {int(y) for y in labels}
-    if kinds != {0, 1}:
+    some = [k for k in range(len(sequences)) if len(sequences[k])]
+    if len({int(y) for k in some for y in np.unique(targets[k])}) < 2:
         emit[0, 0] = 1.0  # nothing learnt: all is content
         return Field(emit, move)
-    order = np.argsort([-len(s) for s in sequences], kind="stable")
-    sequences, labels = [sequences[k] for k in order], labels[order]
+    some.sort(key=lambda k: -len(sequences[k]))
+    sequences, targets = [sequences[k] for k in some], [targets[k] for k in some]
     size = np.array([len(s) for s in sequences])
     n = len(sequences)
     weight = 1.0 / size  # a text counts once, however many lines it has
@@ -146,12 +170,12 @@ def fit(sequences: list[np.ndarray], labels: np.ndarray, rounds: int = 150, deca
         bits = np.zeros((int(size[at]), end - at), np.uint16)
         for k in range(at, end):
             bits[: size[k], k - at] = sequences[k]
-            seen[:, labels[k]] += np.bincount(sequences[k], minlength=1 << N_FEATURES) * weight[k]
+            for y in (0, 1):
+                seen[:, y] += np.bincount(sequences[k][targets[k] == y], minlength=1 << N_FEATURES) * weight[k]
+            pairs += np.bincount(2 * targets[k][:-1] + targets[k][1:], minlength=4).reshape(2, 2) * weight[k]
         batches.append((bits, size[at:end], weight[at:end]))
         at = end
     seen = table.T @ seen
-    for y in (0, 1):
-        pairs[y, y] = (weight * (size - 1))[labels == y].sum()
     speed_e, speed_m = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
     for _ in range(rounds):
         scores = table @ emit
@@ -170,36 +194,28 @@ def _matrix(indices: list[list[int]]) -> np.ndarray:
     return out
 
 
-def _lines_of(text: bytes) -> Iterator[tuple[list[int], int, bool]]:
-    """Features, words and whether it came before, of each line with a word."""
+def _lines_of(text: bytes) -> Iterator[tuple[int, list[int], int, bool]]:
+    """Number, features, words and whether it came before, of each line with a word."""
     seen: set[bytes] = set()
-    for line in text.split(b"\n"):
+    for k, line in enumerate(text.split(b"\n")):
         if words := line.split():
             again = line in seen
             seen.add(line)
-            yield _features(line, words, again), len(words), again
+            yield k, _features(line, words, again), len(words), again
 
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for text in batch["text"].cast(pa.binary()).to_pylist():
-            bits = [sum(1 << k for k in x) for x, _, _ in _lines_of(text)]
-            out.append(np.array(bits, np.uint16).tobytes())
+        out = [np.array([sum(1 << k for k in x) for _, x, _, _ in _lines_of(text)], np.uint16).tobytes() for text in batch["text"].cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["label"], pa.array(out, pa.binary())], ["label", "lines"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Field:
-    """Fits to at most ``sample_texts`` labelled documents, chosen by the hash of their id, with all their lines.
-
-    ``labels`` has ``doc_id`` and ``label`` (1 good, 0 bad; others are ignored; of repeated ones the largest counts).
-    """
-    known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_texts)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = rows.select("label", "text").mapInArrow(_sample_rows, "label int, lines binary").limit(2 * sample_texts).collect()
+    """Fits to at most ``sample_texts`` labelled documents, whole, as :func:`common.labelled_sample` takes them (1 good, 0 bad)."""
+    rows = labelled_sample(docs, labels, sample_texts).mapInArrow(_sample_rows, "label int, lines binary").collect()
     rows = sorted(((1 - r["label"], r["lines"]) for r in rows if r["lines"]), key=lambda r: (zlib.crc32(r[1]), r))
-    return fit([np.frombuffer(x, np.uint16) for _, x in rows], np.array([y for y, _ in rows], np.int64))
+    sequences = [np.frombuffer(x, np.uint16) for _, x in rows]
+    return fit(sequences, line_targets(sequences, np.array([y for y, _ in rows], np.int64)))
 
 
 def _repeated(words: K.Words) -> np.ndarray:
@@ -223,7 +239,7 @@ def _repeated(words: K.Words) -> np.ndarray:
     return inside[words.first[1:]] - inside[words.first[:-1]]
 
 
-_COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
+_COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, boilerplate array<int>, kept boolean"
 
 
 def _judged(shared):
@@ -233,18 +249,19 @@ def _judged(shared):
         for batch in batches:
             data, offsets = K.buffers(batch["text"])
             cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-            shares = []
+            shares, listed = [], []
             for i, j in K.chunks(offsets):
                 words = K.Words(data, offsets, i, j, lower=False)
                 text, bounds = words.text[: words.bounds[-1]], words.bounds
                 sums = lambda x, b=bounds: (s := np.concatenate([[0], np.cumsum(x)]))[b[1:]] - s[b[:-1]]
                 raw = text.tobytes()
-                dup, indices, sizes, first = [], [], [], [0]
+                dup, indices, sizes, numbers, first = [], [], [], [], [0]
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     n_dup = 0
-                    for x, n, again in _lines_of(raw[a:b]):
+                    for k, x, n, again in _lines_of(raw[a:b]):
                         indices.append(x)
                         sizes.append(n)
+                        numbers.append(k)
                         n_dup += again
                     dup.append(n_dup)
                     first.append(len(indices))
@@ -255,21 +272,26 @@ def _judged(shared):
                 label = field.viterbi(_matrix(indices) @ field.emit, first)
                 content = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) * (label == 0))]) if indices else np.zeros(1, np.int64)
                 shares.append((content[first[1:]] - content[first[:-1]]) / np.maximum(n_words, 1))
+                bad = np.concatenate([[0], np.cumsum(label == 1)])
+                listed.append((np.array(numbers, np.int32)[label == 1], np.diff(bad[first])))
             made = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
             share = np.concatenate(shares) if shares else np.zeros(0)
             failed = (made[0] < LEAST_WORDS) | (100 * made[4] > MOST_REPEATED * made[0])
             keep = ~failed & (share >= CONTENT_SHARE)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, made), pa.array(failed), pa.array(share), pa.array(keep)], ["doc_id", *(c.split()[0] for c in _COLUMNS.split(", "))])
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in listed]))]) if listed else np.zeros(1)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([x for x, _ in listed]) if listed else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, made), pa.array(failed), pa.array(share), lists, pa.array(keep)], ["doc_id", *(c.split()[0] for c in _COLUMNS.split(", "))])
 
     return run
 
 
 def quality_verdicts(docs: DataFrame, field: Field) -> DataFrame:
-    """``doc_id``, the counts of the fixed rules, ``base_failed``, ``content_share`` and ``kept`` for each row.
+    """``doc_id``, the counts of the fixed rules, ``base_failed``, ``content_share``, ``boilerplate`` and ``kept`` for each row.
 
+    ``boilerplate`` lists the numbers of the lines labelled so, from 0; ``content_share`` is the share of words in the others.
     Words are runs without U+0020 and U+0009 to U+000D; a null text has none and fails. Repeated rows each give a row, a
     null ``doc_id`` is a value like another, other columns are ignored, an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return rows.mapInArrow(_judged(shared), "doc_id long, " + _COLUMNS)

@@ -65,7 +65,7 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    return quality.quality_verdicts(documents, quality.train(documents, _labels(spark, sf_dir, "quality")))
+    return quality.quality_verdicts(documents, quality.train(documents, _labels(spark, sf_dir, "quality"))).drop("boilerplate")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
