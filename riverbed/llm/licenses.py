@@ -2,7 +2,8 @@
 
 A template is a license notice whose words must stand as they are, except in marked regions: ``[[...]]`` may be absent and
 ``{{n}}`` stands for up to n words of any kind. Templates compile to automata over word tokens; a text has the license if
-some run of its words takes an automaton from its start to its end.
+some run of its words takes an automaton from its start to its end. Bodies are whole, so that a license that holds
+another's sentences beside its own isn't taken for that one.
 """
 
 from __future__ import annotations
@@ -16,30 +17,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riverbed.llm import kernels as K
+from riverbed.llm.common import spread
 
 # The phrases of the base labels.
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
-# Notices of common licenses, with their optional and replaceable regions marked.
+# Wording that several of the licenses share.
+MIT_GRANT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the
+ software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense
+ and or sell copies of the software and to permit persons to whom the software is furnished to do so"""
+MIT_DISCLAIMER = """the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of
+ merchantability fitness for a particular purpose and noninfringement in no event shall {{12}} be liable for any claim damages or other liability
+ whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"""
+ISC_GRANT = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+ISC_DISCLAIMER = """the software is provided as is and {{6}} disclaims all warranties with regard to this software including all implied warranties of
+ merchantability and fitness in no event shall {{8}} be liable for any special direct indirect or consequential damages or any damages whatsoever
+ resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with
+ the use or performance of this software"""
+BSD_GRANT = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are
+ met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]]
+ redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+ and or other materials provided with the distribution"""
+BSD_NAMES = """[[3]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software
+ without specific prior written permission"""
+BSD_DISCLAIMER = """this software is provided by {{12}} as is and any express or implied warranties including but not limited to the implied warranties
+ of merchantability and fitness for a particular purpose are disclaimed in no event shall {{12}} be liable for any direct indirect incidental special
+ exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business
+ interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in
+ any way out of the use of this software even if advised of the possibility of such damage"""
+GNU = "[[you can redistribute it and or modify it]] under the terms of the gnu {} public license [[as published by the free software foundation]] [[either]] version {}"
+
+# Bodies and notices of common licenses, with their optional and replaceable regions marked.
 TEMPLATES = (
     ("mit", "[[this {{4}} is]] released under the [[terms of the]] mit license"),
     ("mit", "[[this {{4}} is]] licensed under the [[terms of the]] mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit", f"{MIT_GRANT} subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software {MIT_DISCLAIMER}"),
+    ("mit-0", f"{MIT_GRANT} {MIT_DISCLAIMER}"),
+    ("isc", f"{ISC_GRANT} provided that the above copyright notice and this permission notice appear in all copies {ISC_DISCLAIMER}"),
+    ("0bsd", f"{ISC_GRANT} {ISC_DISCLAIMER}"),
+    ("bsd-2", f"{BSD_GRANT} {BSD_DISCLAIMER}"),
+    ("bsd-3", f"{BSD_GRANT} {BSD_NAMES} {BSD_DISCLAIMER}"),
     ("apache-2", "[[this {{4}} is]] licensed under the apache license version 2 0 [[the license]]"),
-    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-3", "neither the name of {{10}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("gpl-2", "[[this {{4}} is]] licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] version 2"),
     ("gpl-3", "[[this {{4}} is]] licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] version 3"),
     ("lgpl-3", "[[this {{4}} is]] licensed under the [[terms of the]] gnu lesser general public license version 3"),
-    ("gpl-2", "[[redistribute it and or modify it]] under the terms of the gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
-    ("gpl-3", "[[redistribute it and or modify it]] under the terms of the gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
-    ("lgpl-3", "[[redistribute it and or modify it]] under the terms of the gnu lesser general public license [[as published by the free software foundation]] [[either]] version 3"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("gpl-2", GNU.format("general", "2")),
+    ("gpl-3", GNU.format("general", "3")),
+    ("lgpl-2.1", GNU.format("lesser general", "2 1")),
+    ("lgpl-3", GNU.format("lesser general", "3")),
+    ("agpl-3", GNU.format("affero general", "3")),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of the mpl was not distributed with this file you can obtain one at {{6}}]]"),
+    ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising
+ from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it
+ and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that
+ you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not
+ required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice
+ may not be removed or altered from any source distribution"""),
+    ("bsl-1", """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+ covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the
+ software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and
+ this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software
+ in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object
+ code generated by a source language processor"""),
+    ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+ distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""),
     ("cc-by", "licensed under [[a]] [[the]] creative commons attribution [[4 0]] [[international]] license"),
     ("cc-by-nc", "licensed under cc by nc [[{{1}} 0]]"),
     ("cc-by-sa", "licensed under cc by sa [[{{1}} 0]]"),
     ("cc0", "released under cc0 [[1 0]]"),
-)
+)
 #: ASCII bytes that part words: all but digits and (lower-cased) letters.
 APART = np.array([b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) for b in range(256)])
 ANY = -2
@@ -185,5 +231,5 @@ def license_scan(docs: DataFrame) -> DataFrame:
     mandatory words that stand in order at one place. A null text is empty, an empty text has no labels. Repeated rows each
     give a row, a null ``doc_id`` is a value like another, other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return rows.mapInArrow(_scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riverbed.llm import decontamination, jaccard, kernels, licenses, line_dedup, lm_scores, packing, quality, secrets, token_counts, toxicity
+from riverbed.llm import common, decontamination, jaccard, kernels, licenses, line_dedup, lm_scores, packing, quality, secrets, token_counts, toxicity
 from riverbed.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -333,9 +333,51 @@ def test_license_notices_without_rare_words(spark):
     texts = [gnu.format("", 2), gnu.format("", 3), gnu.format("Lesser ", 3), "Redistribution and use in source and binary forms, with or without modification,", "This source code form is subject", "no notice", "modification"]
     rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     got = {r.doc_id: (r.labels, r.score) for r in rows}
-    bsd = next(m for label, m in licenses.TEMPLATES if label == "bsd-2").split()
-    mpl = next(m for label, m in licenses.TEMPLATES if label == "mpl-2").split()
-    assert got == {0: ("gpl-2", 1), 1: ("gpl-3", 1), 2: ("lgpl-3", 1), 3: ("", 12 / len(bsd)), 4: ("", 6 / len(mpl)), 5: ("", 0), 6: ("", 0)}
+    must = {a.label: a.must for a in licenses.Scanner().automata}
+    assert got == {0: ("gpl-2", 1), 1: ("gpl-3", 1), 2: ("lgpl-3", 1), 3: ("", 12 / must["bsd-2"]), 4: ("", 6 / must["mpl-2"]), 5: ("", 0), 6: ("", 0)}
+
+
+def _filled(markup: str, regions: bool, name: str = "the copyright holders") -> str:
+    """A text of the template: with or without its optional regions, the replaceable ones filled."""
+    text = re.sub(r"\[\[(.*?)\]\]", r"\1" if regions else "", markup.replace("[[[[", "[[").replace("]]]]", "]]"))
+    return re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join(name.split()[: int(m[1])]), text)
+
+
+def test_license_bodies_are_told_apart():
+    """Each body has its own label only, with its regions filled or left out; a changed mandatory word is refused."""
+    scanner = licenses.Scanner()
+    ids = {w.decode(): k for k, w in enumerate(scanner.words)}
+    labels = lambda text: scanner.matches([ids.get(w, -1) for w in text.split()])[0]
+    for label, markup in licenses.TEMPLATES:
+        for regions in (True, False):
+            text = _filled(markup, regions)
+            assert labels("some words before " + text + " and behind") == {label}
+        words = _filled(re.sub(r"\[\[.*?\]\]|\{\{\d+\}\}", " ", markup), False).split()
+        for k in range(0, len(words), 1 + len(words) // 25):
+            assert label not in labels(" ".join([*words[:k], "zebra", *words[k + 1 :]]))
+    assert labels(_filled(f"{licenses.BSD_GRANT} {licenses.BSD_NAMES} {licenses.BSD_DISCLAIMER}", True)) == {"bsd-3"}
+
+
+def test_license_labels_against_expressions():
+    """Templates as regular expressions over the words give the same labels."""
+
+    def expression(markup):
+        parts = []
+        for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|\w+", markup):
+            parts.append("(?:" if part == "[[" else ")?" if part == "]]" else rf"(?:\S+ ){{0,{part[2:-2]}}}" if part.startswith("{{") else re.escape(part) + " ")
+        return re.compile("(?:^|(?<= ))" + "".join(parts))
+
+    rng = np.random.default_rng(8)
+    scanner = licenses.Scanner()
+    ids = {w.decode(): k for k, w in enumerate(scanner.words)}
+    made = [(label, expression(m)) for label, m in licenses.TEMPLATES]
+    for _ in range(150):
+        words = []
+        for k in rng.integers(0, len(made), 3):
+            part = _filled(licenses.TEMPLATES[k][1], bool(rng.integers(0, 2)), "jane doe and her friends").split()
+            words += ["this", "work", "is"] * int(rng.integers(0, 2)) + [w for w in part if rng.random() < rng.choice([1.0, 0.999])]
+        text = " ".join(words) + " "
+        assert scanner.matches([ids.get(w, -1) for w in words])[0] == {label for label, e in made if e.search(text)}
 
 
 def test_license_starts_lose_nothing():
@@ -403,20 +445,67 @@ def test_quality_learns_from_late_lines(spark):
     rows = [(k, "\n".join(plain[:450] + (plain[450:] if k % 2 else junk * 450))) for k in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, label int")
-    shares = {r.doc_id: r.content_share for r in quality.quality_verdicts(docs, quality.train(docs, labels)).collect()}
-    assert all(shares[k] == 1 for k in (1, 3, 5, 7)) and all(0.45 < shares[k] < 0.6 for k in (0, 2, 4, 6))
+    found = {r.doc_id: r for r in quality.quality_verdicts(docs, quality.train(docs, labels)).collect()}
+    assert all(found[k].content_share == 1 and found[k].boilerplate == [] for k in (1, 3, 5, 7))
+    assert all(found[k].boilerplate == list(range(450, 900)) for k in (0, 2, 4, 6))
+
+
+def test_quality_labels_change_inside_a_text(spark):
+    """A page's header of menus before good text: line by line, and the page stays."""
+    rng = np.random.default_rng(4)
+    words = [f"word{x}" for x in range(300)]
+    sentence = lambda: " ".join(rng.choice(words, 14)).capitalize() + "."
+    menu = lambda: " | ".join(x.upper() + "!!" for x in rng.choice(words, 3)) + " $$ ##"
+    texts = []
+    for k in range(300):
+        good = k % 3 > 0
+        header = [menu() for _ in range(int(rng.integers(0, 3 if good else 1)))]
+        texts.append(header + ([sentence() for _ in range(8)] if good else [sentence()] + [menu() for _ in range(9)] + [sentence()]))
+    texts.append([menu(), menu(), menu(), *[sentence() for _ in range(9)], menu()])
+    docs = spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(200)], "doc_id long, label int")
+    found = {r.doc_id: r for r in quality.quality_verdicts(docs, quality.train(docs, labels)).collect()}
+    assert found[300].boilerplate == [0, 1, 2, 12] and found[300].kept
+    for k in range(200, 300):
+        assert found[k].boilerplate == [n for n, line in enumerate(texts[k]) if "$$" in line]
+        assert found[k].kept == (k % 3 > 0)
 
 
 def test_quality_fit_in_batches(monkeypatch):
     rng = np.random.default_rng(2)
-    labels = rng.integers(0, 2, 30)
-    texts = [(1 | rng.integers(0, 1 << (4 + 9 * y), rng.integers(1, 40)) << 1).astype(np.uint16) for y in labels]
-    whole = quality.fit(texts, labels, rounds=20)
+    targets = [rng.integers(0, 2, rng.integers(1, 40)).astype(np.int8) for _ in range(30)]
+    texts = [np.array([1 | int(rng.integers(0, 1 << (4 + 9 * int(y)))) << 1 for y in t], np.uint16) for t in targets]
+    whole = quality.fit(texts, targets, rounds=20)
     monkeypatch.setattr(quality, "BATCH_LINES", 50)
-    parts = quality.fit(texts, labels, rounds=20)
+    parts = quality.fit(texts, targets, rounds=20)
     assert np.allclose(whole.emit, parts.emit) and np.allclose(whole.move, parts.move)
 
 
+def test_quality_gradients():
+    """At the end of the fit, expected features and pairs are those seen (but for the decay)."""
+    rng = np.random.default_rng(5)
+    targets = [np.sort(rng.integers(0, 2, 12)).astype(np.int8) for _ in range(40)]
+    texts = [(1 | (t.astype(np.uint16) << 1) ^ (rng.random(12) < 0.2).astype(np.uint16) << 1).astype(np.uint16) for t in targets]
+    field = quality.fit(texts, targets, rounds=400, decay=0.0)
+    scores = np.arange(1 << quality.N_FEATURES)[:, None] >> np.arange(quality.N_FEATURES) & 1
+    bits = np.stack(texts, 1)
+    expected, pair = quality._expected(bits, np.full(40, 12), np.full(40, 1.0), scores @ field.emit, field.move)
+    seen = np.stack([np.bincount(np.concatenate([x[t == y] for x, t in zip(texts, targets, strict=True)]), minlength=1 << quality.N_FEATURES) for y in (0, 1)], 1)
+    assert np.allclose(scores.T @ expected, scores.T @ seen, atol=3)
+    assert np.allclose(pair, sum(np.bincount(2 * t[:-1] + t[1:], minlength=4).reshape(2, 2) for t in targets), atol=3)
+    assert field.viterbi((scores @ field.emit)[texts[0]], np.array([0, 12])).tolist() == sorted(field.viterbi((scores @ field.emit)[texts[0]], np.array([0, 12])).tolist())
+
+
+def test_quality_held_out(spark):
+    """Labels that training hasn't seen: bad documents go, good ones stay."""
+    from riverbed.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    rows = [r for r in queries.op7_quality_rules(spark, sf).join(labels, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert np.mean([r.kept for r in rows if r.quality]) > 0.95 and np.mean([r.kept for r in rows if not r.quality]) < 0.03
+
+
 # line dedup
 
 
@@ -492,14 +581,59 @@ def test_toxicity(spark, docs, rows, empty):
     assert all(0 <= r.score <= 1 for r in toxicity.toxicity_scores(docs, nothing).collect())
 
 
-def test_factorization_machine_pairs():
-    """A pair of terms that each mean nothing alone."""
+def _machine_of(spark, texts):
+    table = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(texts)], "doc_id long, text string, label int")
+    machine = toxicity.train(table, table.where("doc_id % 2 = 0").select("doc_id", "label"))
+    scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(table, machine).collect()}
+    return np.mean([(scores[k] >= 0.5) == (y == 1) for k, (_, y) in enumerate(texts) if k % 2])
+
+
+def test_factorization_machine_pairs(spark):
+    """Pairs of terms that each mean little or nothing alone, on texts that the machine hasn't seen."""
     rng = np.random.default_rng(0)
-    slots = [np.array(sorted({int(a) for a in (1, 2) if rng.random() < 0.5} | {int(x) for x in rng.integers(10, 40, 3)}), np.int32) for _ in range(3000)]
-    labels = np.array([int({1, 2} <= set(s.tolist())) for s in slots])
-    machine = toxicity.fit(labels, slots)
-    score = [float(machine.logits(np.zeros(len(f), int), f, 1)[0]) for f in (np.flatnonzero(np.isin(np.argsort(machine.place)[-len(machine.weights) :], s)) for s in ([1], [2], [1, 2]))]
-    assert score[2] > 0 > max(score[:2])
+    plain = lambda: [f"plain{x}" for x in rng.integers(0, 30, 4)]
+    either = []
+    for _ in range(3000):  # one of two terms, but not both: neither alone tells anything
+        a, b = map(bool, rng.random(2) < 0.5)
+        either.append((" ".join(["alpha"] * a + ["beta"] * b + plain()), int(a != b)))
+    assert _machine_of(spark, either) > 0.9
+    both = []
+    for _ in range(4000):  # a rare word counts only beside a common one
+        rare, common = rng.random() < 0.15, rng.random() < 0.5
+        both.append((" ".join(["rare"] * rare + ["common"] * common + plain()), int(rare and common)))
+    assert _machine_of(spark, both) > 0.97
+
+
+def test_toxicity_stems(spark):
+    """Words that share their first letters with words seen in toxic texts."""
+    rng = np.random.default_rng(1)
+    ends = ["ab", "er", "ion", "ous", "ing", "el", "um", "ix", "ost", "ade"]
+    rows = [(k, " ".join([f"plain{x}" for x in rng.integers(0, 99, 30)] + ["moronic" + ends[k // 2 % 5 + 5 * (k % 2)]] * (k % 10 < 3)), int(k % 10 < 3)) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(docs, docs.where("doc_id % 2 = 0").select("doc_id", F.col("toxic").alias("label")))
+    scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, machine).collect()}
+    assert all((scores[k] >= 0.3) == (y == 1) for k, _, y in rows if k % 2)
+
+
+def test_labelled_sample(spark, docs):
+    """Repeated ids give one text each; labels other than 0 and 1 and null ids none."""
+    labels = spark.createDataFrame([(9, 0), (9, 1), (10, 0), (11, 7), (None, 1), (99999, 1)], "doc_id long, label int")
+    assert sorted(r.label for r in common.labelled_sample(docs, labels, 10).collect()) == [0, 1]
+    assert common.labelled_sample(docs, labels, 1).count() <= 1
+
+
+def test_toxicity_held_out(spark):
+    """The query's columns, and the share of held-out toxic documents that it finds."""
+    from riverbed.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    found = queries.op9_toxicity(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = found.join(labels, "doc_id").collect()
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert all(r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert np.mean([r.predicted for r in held if r.toxic]) >= 0.9 and np.mean([r.predicted for r in held if not r.toxic]) < 0.01
 
 
 # token counts
