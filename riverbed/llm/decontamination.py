@@ -4,12 +4,13 @@ DataFrame functions only. Items are partitioned by their number of shingles, in
 its smallest shingle hashes, as many as the largest size of its partition asks for: an item of n shingles of which a
 document holds a share t lacks at most n - ceil(t n) of them, so of the n - ceil(t n) + 1 smallest hashes at least one
 is in the document. The sketch thus loses no item, however long the document is, and keeps about a share 1 - t of the
-shingles.
+shingles. An item below its partition's largest size has a longer sketch than it needs and must be hit the more often.
+Pairs that the search finds, and no others, are verified on the whole shingle sets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,6 +18,8 @@ from riverbed.llm.common import BLANKS, materialize
 
 #: Rows of a sketch or list up to which it is broadcast: some 25 bytes each.
 BROADCAST_ROWS = 200_000
+#: Items that a document is verified against at once; their number decides how often its words are read.
+ITEMS_AT_ONCE = 256
 
 
 def _words(df: DataFrame, *keep) -> DataFrame:
@@ -24,13 +27,14 @@ def _words(df: DataFrame, *keep) -> DataFrame:
     return df.select(*keep, F.split(text, BLANKS).alias("w")).where("w[0] <> ''")
 
 
-def _shingle_rows(words: DataFrame, keep: list[str], n: int) -> DataFrame:
-    """A row for each run of ``n`` words, with the word array still at hand."""
-    return words.where(F.size("w") >= n).select(*keep, "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
+def _hash(words: list) -> Column:
+    """Hash of a run of words; nulls behind its end don't count."""
+    return F.xxhash64(*words)
 
 
-def _run(n: int) -> list:
-    return [F.get("w", F.col("i") + k) for k in range(n)]
+def _shingles(m: Column) -> Column:
+    """The distinct runs of ``m`` words of ``w``, as texts."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - m), lambda i: F.array_join(F.slice("w", i + 1, m), " ")))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -46,37 +50,38 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 8
     nothing. Empty tables give no rows; columns other than the id and ``text`` are ignored.
     """
     docs = docs.select(F.col("doc_id"), F.col("text")).where("doc_id is not null")
-    words = _words(items.where("item_id is not null"), "item_id", F.xxhash64("text").alias("form"))
-    words = words.withColumn("m", F.least(F.size("w"), F.lit(n)))
-    sets = words.select("item_id", "form", "m", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("m")), lambda i: F.array_join(F.slice("w", i + 1, F.col("m")), " "))).alias("shingle")).distinct()
-    mine = Window.partitionBy("item_id", "form")
-    sets = sets.withColumns({"n_item": F.count("*").over(mine), "h": F.xxhash64(*[F.get(F.split("shingle", " "), F.lit(k)) for k in range(n)])})
-    top = F.max("n_item").over(Window.partitionBy("part"))
-    sets = sets.withColumn("part", F.floor(F.log2("n_item"))).withColumn("most", top)
-    sets = sets.withColumn("sketch", F.row_number().over(mine.orderBy("h", "shingle")) <= F.col("most") - F.ceil(F.col("most") * percent / F.lit(100)) + 1)
-    sets = materialize(sets.select("item_id", "form", "m", "shingle", "n_item", "h", "sketch"), "items")
-
-    lengths = [r["m"] for r in sets.select("m").distinct().collect()]  # n of them at most
-    sketch = sets.where("sketch").select("m", "h", "item_id", "form").distinct()
-    sketch = _small(sketch, sketch.count())
-    doc_words = _words(docs, "doc_id")
-    found = None
-    for m in lengths:
-        hashes = _shingle_rows(doc_words, ["doc_id"], m).select("doc_id", F.xxhash64(*_run(m), *[F.lit(None).cast("string")] * (n - m)).alias("h"))
-        hits = hashes.join(sketch.where(F.col("m") == m).drop("m"), "h").select("doc_id", "item_id", "form")
-        found = hits if found is None else found.union(hits)
-    if found is None:
+    words = _words(items.where("item_id is not null"), "item_id", F.xxhash64("text").alias("form")).dropDuplicates(["item_id", "form"])
+    sets = words.withColumn("m", F.least(F.size("w"), F.lit(n))).select("item_id", "form", "m", _shingles(F.col("m")).alias("shingles"))
+    sets = sets.withColumn("n_item", F.size("shingles").cast("long")).withColumn("part", F.floor(F.log2("n_item")))
+    sets = materialize(sets, "items")
+    share = lambda x: F.ceil(x * percent / F.lit(100))
+    tops = sets.groupBy("part").agg(F.max("n_item").alias("most"))  # one row for each power of two
+    hashes = F.array_sort(F.array_distinct(F.transform("shingles", lambda x: _hash([F.get(F.split(x, " "), F.lit(k)) for k in range(n)]))))
+    sketch = sets.join(F.broadcast(tops), "part").withColumn("sketch", F.slice(hashes, 1, (F.col("most") - share(F.col("most")) + 1).cast("int")))
+    least = F.size("sketch") - (F.col("n_item") - share(F.col("n_item")))
+    sketch = materialize(sketch.select("item_id", "form", "m", least.alias("least"), F.explode("sketch").alias("h")), "sketch")
+
+    lengths = sorted(r["m"] for r in sets.select("m").distinct().collect())  # n of them at most
+    if not lengths:
         return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", item_id long, n_item long, n_shared long")
-    candidates = materialize(found.distinct(), "candidates")
-
-    ids = candidates.select("doc_id").distinct()
-    again = _words(docs.join(_small(ids, candidates.count()), "doc_id", "left_semi"), "doc_id")
-    full = sets.select("m", "shingle", "item_id", "form", "n_item")
-    shared = None
-    for m in lengths:
-        runs = _shingle_rows(again, ["doc_id"], m).select("doc_id", F.concat_ws(" ", *_run(m)).alias("shingle"))
-        rows = runs.join(_small(full.where(F.col("m") == m).drop("m"), sets.count()), "shingle").distinct()
-        shared = rows if shared is None else shared.union(rows)
+    doc_words = _words(docs, "doc_id")
+    places = doc_words.where(F.size("w") >= lengths[0]).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - lengths[0])).alias("i"))
+    run = lambda m: _hash([F.get("w", F.col("i") + k) if k < m else F.lit(None).cast("string") for k in range(n)])
+    if len(lengths) == 1:
+        runs = places.select("doc_id", F.lit(lengths[0]).alias("m"), run(lengths[0]).alias("h"))
+    else:  # all lengths from one reading
+        each = F.array(*[F.struct(F.lit(m).alias("m"), F.when(F.col("i") + m <= F.size("w"), run(m)).alias("h")) for m in lengths])
+        runs = places.select("doc_id", F.inline(each)).where("h is not null")
+    hits = runs.join(_small(sketch, sketch.count()), ["m", "h"]).select("doc_id", "item_id", "form", "m", "least", "h").distinct()
+    candidates = hits.groupBy("doc_id", "item_id", "form", "m").agg(F.count("*").alias("k"), F.max("least").alias("least")).where("k >= least")
+    candidates = materialize(candidates.drop("k", "least"), "candidates")
+
+    place = F.row_number().over(Window.partitionBy("doc_id", "m").orderBy("item_id", "form")) - 1
+    listed = candidates.withColumn("chunk", F.floor(place / ITEMS_AT_ONCE)).join(sets.drop("m", "part"), ["item_id", "form"])
+    listed = listed.groupBy("doc_id", "m", "chunk").agg(F.collect_list(F.struct("item_id", "form", "n_item", "shingles")).alias("items"))
+    pairs = doc_words.join(_small(listed, candidates.count()), "doc_id").where(F.size("w") >= F.col("m")).withColumn("own", _shingles(F.col("m")))
+    met = F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"), x["form"].alias("form"), x["n_item"].alias("n_item"), F.array_intersect(x["shingles"], F.col("own")).alias("both")))
+    shared = pairs.select("doc_id", F.inline(met)).select("doc_id", "item_id", "form", "n_item", F.explode("both").alias("shingle")).distinct()
     counts = shared.groupBy("doc_id", "item_id", "form").agg(F.max("n_item").alias("n_item"), F.count("*").alias("n_shared"))
     counts = counts.where(100 * F.col("n_shared") >= percent * F.col("n_item"))
     best = F.max_by(F.struct("n_item", "n_shared"), F.struct("n_shared", "n_item"))

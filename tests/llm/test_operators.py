@@ -301,6 +301,24 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontamination.contaminated(docs, benchmark.where("false")).count() == 0
 
 
+def test_decontamination_shared_line(spark, monkeypatch):
+    """A line that a thousand items hold makes no pairs but those that verify; a document of three rows is one."""
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    prompt = "answer the question below by one of the letters a to d"
+    items = [(k, f"{prompt} {words(6 + k % 60)}") for k in range(1000)]
+    texts = [(k, f"{words(30)} {items[k][1]} {words(20)}") for k in range(0, 1000, 50)] + [(5000 + k, f"{words(9)} {prompt} {words(9)}") for k in range(30)]
+    first, rest = items[77][1].split()[:20], items[77][1].split()[16:]
+    texts += [(9000, " ".join(first)), (9000, " ".join(rest)), (9000, "one")]
+    monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 7)
+    docs, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    union, sets = defaultdict(set), {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in items}
+    for d, t in texts:
+        union[d] |= {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    want = {(d, k, len(s), len(s & x)) for d, x in union.items() for k, s in sets.items() if 100 * len(s & x) >= 80 * len(s)}
+    assert {tuple(r) for r in decontamination.contaminated(docs, benchmark).collect()} == want and len(want) >= 21
+
+
 # licenses
 
 
