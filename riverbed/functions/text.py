@@ -67,7 +67,7 @@ def prefix_name(c, lexicon: Lexicon = DEFAULT) -> Column:
     """What stands before the district, unless it is short or generic."""
     prefix = F.replace(F.substring_index(F.translate(F.lower(_text(c)), "臺", "台"), lexicon.district, 1), F.lit(lexicon.city), F.lit(""))
     key = han_key(prefix)
-    return F.when((F.length(key) >= 2) & ~key.isin(*lexicon.generic), key)
+    return F.when((F.length(key) >= 2) & (~key.isin(*lexicon.generic) if lexicon.generic else F.lit(True)), key)
 
 
 def numbered_address(c) -> Column:

@@ -49,3 +49,14 @@ class Lexicon:
     badges: tuple = BADGES
     district: str = DISTRICT
     city: str = CITY
+
+
+# The words of the earlier rule.
+EARLY_LEXICON = Lexicon(
+    synonyms=(("鼎家", "頂加"), ("鼎加", "頂加"), ("頂樓加蓋", "頂加"), ("頂樓增建", "頂加"), ("7+8", "頂加"), ("7＋8", "頂加"), ("七加八", "頂加")),
+    features={
+        "埔墘": ("埔墘",), "電梯": ("電梯",), "頂加": ("頂加",), "三面採光": ("三面採光",), "內外梯": ("內外梯", "內外樓梯"), "邊間": ("邊間",),
+        "景觀": ("景觀",), "四房": ("4房", "四房"), "雙車位": ("雙車位", "雙平車", "雙坡平"),
+    },
+    generic=(),
+)

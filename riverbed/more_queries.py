@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from riverbed.functions import numbers as N
 from riverbed.functions import text as T
-from riverbed.operators import entities, joins, keyed, windows
+from riverbed.operators import joins, keyed, windows
 from riverbed.plans import views
-from riverbed.plans.samples import listings, table
+from riverbed.plans.samples import table
 from riverbed.queries import query
 from riverbed.sources import html_pages, json_tables, state
 
@@ -101,7 +101,7 @@ def flt_07_src_22_inactive(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT p_partkey, p_brand, p_size, p_name FROM part WHERE p_partkey % 2 = 0), p AS (SELECT p_partkey, p_brand, p_size, p_name FROM part WHERE p_partkey % 2 = 1),
- s AS (SELECT c.p_partkey AS key, min(p.p_partkey) AS previous FROM c JOIN p ON p.p_partkey = c.p_partkey + 1 AND c.p_partkey % 3 = 0 GROUP BY 1),
+ s AS (SELECT c.p_partkey AS key, min(p.p_partkey) AS previous FROM c JOIN p ON p.p_partkey = c.p_partkey + 1 AND c.p_partkey % 3 = 0 AND c.p_brand = p.p_brand GROUP BY 1),
  r AS (SELECT c.p_partkey AS key, min(p.p_partkey) AS previous FROM c JOIN p ON c.p_brand = p.p_brand AND c.p_size = p.p_size AND c.p_name = p.p_name WHERE c.p_partkey NOT IN (SELECT key FROM s) GROUP BY 1)
  SELECT * FROM s UNION ALL SELECT * FROM r""")
 def joi_09_match_previous(spark, sf_dir):
@@ -109,7 +109,7 @@ def joi_09_match_previous(spark, sf_dir):
     k = F.col("p_partkey")
     p = table(spark, sf_dir, "part").select(k, "p_brand", "p_size", "p_name", F.when(k % 2 == 1, F.array(k)).when(k % 3 == 0, F.array(k + 1)).otherwise(F.array().cast("array<bigint>")).alias("ids"))
     same = (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_name") == F.col("b.p_name"))
-    return joins.match_previous(p.where(k % 2 == 0), p.where(k % 2 == 1), "p_partkey", "ids", "p_brand", same, "p_partkey")
+    return joins.match_previous(p.where(k % 2 == 0), p.where(k % 2 == 1), "p_partkey", "ids", ["p_brand"], lambda pairs: pairs.where(same), "p_partkey", ("p_size", 1))
 
 
 @query("""SELECT l_orderkey, n - 1 AS place, p_partkey, p_name FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem))
@@ -119,14 +119,6 @@ def joi_13_in_list_order(spark, sf_dir):
     return joins.in_list_order(lists, table(spark, sf_dir, "part").select("p_partkey", "p_name"), "ids", "p_partkey", "l_orderkey").select("l_orderkey", "place", "p_partkey", "p_name")
 
 
-@query()
-def er_20_same_over_time(spark, sf_dir):
-    """Listings whose id is new against the earlier ones of their road, by area, address and title."""
-    rows = listings(spark, sf_dir).withColumn("ids", F.array("id"))
-    now, before = rows.where("ord % 2 = 0"), rows.where("ord % 2 = 1")
-    return joins.match_previous(now, before, "ord", "ids", "road", entities.same_over_time(), "ord")
-
-
 @query("""WITH old AS (SELECT c_custkey, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT c_custkey, -1.0 AS balance FROM customer WHERE c_custkey % 5 = 0)
  SELECT * FROM new UNION ALL SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM new)""")
 def sta_05_snk_03_cache_refresh(spark, sf_dir):

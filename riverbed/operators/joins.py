@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,20 +96,31 @@ def any_contains(text: Column, words) -> Column:
     return F.coalesce(reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in words]), F.lit(False))
 
 
-def match_previous(current: DataFrame, previous: DataFrame, key: str, ids: str, block: str, same: Column, order: str) -> DataFrame:
-    """``key`` of each current row and of its predecessor: first by a common id, for rows without one by ``same``.
+def match_previous(current: DataFrame, previous: DataFrame, key: str, ids: str, block: list[str], matching: Callable[[DataFrame], DataFrame], order: str, near: tuple[str, float] | None = None) -> DataFrame:
+    """``key`` of each current row and of its predecessor: first by a common id, for rows without one by ``matching``.
 
-    ``same`` reads the structs ``a`` (current) and ``b`` (previous) of one block; the predecessor that comes first by
-    ``order`` wins. The ids are joined as an equi-join, the rest only for rows that it left over.
+    Both are sought in the row's own block only. ``matching`` filters pairs of structs ``a`` (current) and ``b`` (previous);
+    the predecessor that comes first by ``order`` wins. Ids are an equi-join, and so are the pairs of the rows it left
+    over: ``near`` names a column and how far it may differ, so that a block splits into bands.
     """
-    one = current.select(F.col(key).alias("key"), F.explode(ids).alias("_id")).join(previous.select(F.col(key).alias("previous"), F.col(order).alias("_o"), F.explode(ids).alias("_id")), "_id")
+    keys = [F.col(c) for c in block]
+    one = current.select(F.col(key).alias("key"), *keys, F.explode(ids).alias("_id")).join(previous.select(F.col(key).alias("previous"), *keys, F.col(order).alias("_o"), F.explode(ids).alias("_id")), [*block, "_id"])
     sure = one.groupBy("key").agg(F.min_by("previous", F.struct("_o", "previous")).alias("previous"))
-    left = current.join(sure.select(F.col("key").alias(key)), key, "left_anti")
-    pairs = left.select(block, F.struct(*current.columns).alias("a")).join(previous.select(block, F.struct(*previous.columns).alias("b")), block).where(same)
-    rest = pairs.groupBy(F.col(f"a.{key}").alias("key")).agg(F.min_by(F.col(f"b.{key}"), F.struct(f"b.{order}", f"b.{key}")).alias("previous"))
+    left = current.join(sure.select(F.col("key").alias(key)), key, "left_anti").select(current.columns)
+    if near:
+        pairs = block_matches(left, previous, block, *near)
+    else:
+        pairs = left.select(*block, F.struct(*current.columns).alias("a")).join(previous.select(*block, F.struct(*previous.columns).alias("b")), block)
+    rest = matching(pairs).groupBy(F.col(f"a.{key}").alias("key")).agg(F.min_by(F.col(f"b.{key}"), F.struct(f"b.{order}", f"b.{key}")).alias("previous"))
     return sure.unionByName(rest)
 
 
+def probed(df: DataFrame, probes: DataFrame, key: str, markers) -> DataFrame:
+    """``df`` with ``gone``: whether the page of a row, where it was asked for, proves that it is inactive."""
+    gone = probes.select(key, proven_inactive(F.col("status"), F.col("body"), markers).alias("gone"))
+    return df.join(gone, key, "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+
+
 def single_value(text: Column, pattern: str) -> Column:
     """Exactly one distinct match, as a text about one thing only has."""
     return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))) == 1

@@ -21,9 +21,9 @@ def merge_snapshot(previous: DataFrame, current: DataFrame, runs: DataFrame, gon
     state = ["first_seen", "last_seen", "new_at", "active", "removed_at"]
     old = previous.select(F.col("id"), F.col("source").alias("p_source"), *[F.col(c).alias(f"p_{c}") for c in [*values, *state]], F.lit(True).alias("had"))
     good = runs.where("success").select("source", "baseline_ready")
-    new = current.join(F.broadcast(good), "source").select("id", F.col("source").alias("c_source"), *[F.col(c).alias(f"c_{c}") for c in values], "baseline_ready", F.lit(True).alias("has"))
+    new = current.join(good, "source").select("id", F.col("source").alias("c_source"), *[F.col(c).alias(f"c_{c}") for c in values], "baseline_ready", F.lit(True).alias("has"))
     ok = good.select(F.col("source").alias("p_source"), F.lit(True).alias("ok"))
-    rows = old.join(new, "id", "full").join(F.broadcast(ok), "p_source", "left").join(gone.select("id", F.lit(True).alias("is_gone")), "id", "left")
+    rows = old.join(new, "id", "full").join(ok, "p_source", "left").join(gone.select("id", F.lit(True).alias("is_gone")), "id", "left")
     has, had = F.col("has").isNotNull(), F.col("had").isNotNull()
     was_active = F.coalesce(F.col("p_active"), F.lit(True))
     removed = ~has & F.coalesce(F.col("ok"), F.lit(False)) & was_active & F.col("is_gone").isNotNull()
@@ -42,7 +42,7 @@ def merge_snapshot(previous: DataFrame, current: DataFrame, runs: DataFrame, gon
 def reset_sources(previous: DataFrame, runs: DataFrame) -> DataFrame:
     """``previous`` without the sources that are ``complete`` now but weren't in their last run (``was_complete``)."""
     upgraded = runs.where(F.col("complete") & ~F.coalesce("was_complete", F.lit(False))).select("source")
-    return previous.join(F.broadcast(upgraded), "source", "left_anti").select(previous.columns)
+    return previous.join(upgraded, "source", "left_anti").select(previous.columns)
 
 
 def of_version(previous: DataFrame, stored: int | None, wanted: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riverbed.functions import numbers as N
 from riverbed.functions import text as T
-from riverbed.operators import entities, graph, guards, joins, keyed, snapshots, windows
+from riverbed.operators import guards, joins, keyed, snapshots, windows
 from riverbed.plans import samples, views
 from riverbed.plans.samples import LISTINGS_SQL, listings, table
 from riverbed.sources import html_pages, json_tables
@@ -81,14 +81,6 @@ def str_14_15_ngram_tokens(spark, sf_dir):
     return tokens.select("p_partkey", F.size("t").cast("long").alias("n_tokens"), T.longest(F.col("t")).cast("long").alias("longest"), F.array_min("t").alias("least"))
 
 
-@query()
-def str_16_similarity(spark, sf_dir):
-    """Titles of one road and area whose gestalt similarity is .6 or more; no SQL function computes it."""
-    keyed_rows = entities.with_keys(listings(spark, sf_dir))
-    pairs = entities.scored_pairs(keyed_rows, ["road"], 5.0).where("ratio >= 0.6")
-    return pairs.select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), F.round("ratio", 6).alias("ratio"))
-
-
 @query("""SELECT p_partkey, [f for f in ['metal', 'red', 'round', 'small'] if CASE f WHEN 'metal' THEN contains(p_name, 'bolt') OR contains(p_name, 'gear') OR contains(p_name, 'nut')
  WHEN 'red' THEN contains(p_name, 'red') WHEN 'round' THEN contains(p_name, 'ring') OR contains(p_name, 'gear') ELSE contains(p_name, 'small') END] AS features FROM part""")
 def str_17_18_dictionary_features(spark, sf_dir):
@@ -251,8 +243,10 @@ def win_05_06_changes(spark, sf_dir):
 
 @query("""SELECT user_id, array_to_string(list_slice(l, greatest(1, len(l) - 11), len(l)), ',') AS last_events FROM (SELECT user_id, list(event_id ORDER BY ts, event_id) AS l FROM events GROUP BY user_id)""")
 def win_07_last_entries(spark, sf_dir):
-    nested = windows.ordered_members(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_id"])
-    return nested.select("user_id", F.array_join(F.transform(windows.last_entries(F.col("members"), 12), lambda m: m["event_id"].cast("string")), ",").alias("last_events"))
+    """Only the twelve rows that stay are gathered."""
+    last = windows.top_k(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 12)
+    nested = windows.ordered_members(last, ["user_id"], ["ts", "event_id"], ["event_id"])
+    return nested.select("user_id", F.array_join(F.transform("members", lambda m: m["event_id"].cast("string")), ",").alias("last_events"))
 
 
 # filters
@@ -321,79 +315,6 @@ def set_02_05_sets(spark, sf_dir):
     return s.select("l_orderkey", F.size(F.array_intersect(a, b)).cast("long").alias("both"), F.size(F.array_except(a, b)).cast("long").alias("only_a"), joins.subset(a, b).alias("inside"), joins.disjoint(a, b).alias("apart"))
 
 
-# entities
-
-_EDGES = """e AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
- AND abs(a.p_retailprice - b.p_retailprice) <= 30)"""
-
-
-def _edges(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    return joins.block_pairs(p, ["p_brand", "p_size"], "p_partkey", {"p_retailprice": 30}).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
-
-
-@query(f"""WITH RECURSIVE {_EDGES}, ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, other) AS (SELECT a, b FROM ways UNION SELECT r.node, x.b FROM reach r JOIN ways x ON r.other = x.a)
- SELECT node, least(node, min(other)) AS component FROM reach GROUP BY node""")
-def er_10_components(spark, sf_dir):
-    return graph.components(_edges(spark, sf_dir))
-
-
-@query()
-def er_04_first_fit_clusters(spark, sf_dir):
-    """Greedy clusters depend on the order of joining; tests hold them against a plain loop."""
-    return graph.first_fit_clusters(_edges(spark, sf_dir))
-
-
-@query()
-def er_01_06_same_property(spark, sf_dir):
-    """Listings of a source that the pair rule takes for one property, as clusters with their records; other sources stay."""
-    rows = entities.with_keys(listings(spark, sf_dir))
-    made = entities.clusters(rows, entities.match_edges(rows, ["road"], entities.same_property(entities.MatchRules(source="s1")), 0.2))
-    return entities.cluster_records(made).select("cluster", "ord", "id", "member_count", "effective_price", "member_ids")
-
-
-@query()
-def er_02_05_early_rule(spark, sf_dir):
-    rows = entities.with_keys(listings(spark, sf_dir))
-    return entities.clusters(rows, entities.match_edges(rows, ["road"], entities.same_property(entities.EARLY), 0.2)).select("ord", "cluster")
-
-
-@query()
-def er_08_09_fingerprint_groups(spark, sf_dir):
-    rows = entities.with_keys(listings(spark, sf_dir))
-    return entities.clusters(rows, entities.match_edges(rows, ["road"], entities.same_fingerprint(), normalised=True), greedy=False).select("ord", "cluster")
-
-
-def _attached(spark, sf_dir):
-    """Listings of the trusted source s0, clusters of the ads of s1, and which of these attach to which of those."""
-    rows = entities.with_keys(listings(spark, sf_dir))
-    trusted, ads = rows.where("source = 's0'"), rows.where("source = 's1'")
-    edges = entities.match_edges(ads, ["road"], entities.same_fingerprint(), normalised=True)
-    made = entities.cluster_records(entities.clusters(ads, edges, greedy=False), oldest=False)
-    return rows, trusted, made, entities.attached(entities.attach_candidates(trusted, made))
-
-
-@query()
-def er_11_14_attached(spark, sf_dir):
-    """Clusters of ads with the trusted listing they attach to, unless the two best are too close to tell; and pairs for review."""
-    return _attached(spark, sf_dir)[-1]
-
-
-@query()
-def er_15_property_groups(spark, sf_dir):
-    _, trusted, made, outcomes = _attached(spark, sf_dir)
-    return entities.property_groups(entities.group_members(trusted, made, outcomes))
-
-
-@query()
-def er_16_19_classified(spark, sf_dir):
-    """Groups of listings against the inventory s2 of their road; an inventory row goes to one group only."""
-    rows, trusted, made, outcomes = _attached(spark, sf_dir)
-    roads = rows.select("road").distinct().withColumn("available", F.crc32(F.col("road").cast("binary")) % 5 != 0)
-    found = entities.classify(trusted.unionByName(made.select(trusted.columns)), rows.where("source = 's2'"), roads)
-    return entities.classify_groups(entities.group_members(trusted, made, outcomes), found, "s0")
-
-
 # snapshots
 
 def _run() -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_snapshot(df: DataFrame, path: str, run: str) -> None:
-    """Overwrites the run's own partition only, so a repeated run gives the same table. Runs sort as texts."""
-    df.withColumn("run", F.lit(f"run {run}")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+    """Overwrites the run's own partition only, also with no rows, so a repeated run gives the same table. Runs sort as texts."""
+    df.write.mode("overwrite").parquet(f"{path}/run=run {run}")
 
 
 def read_snapshot(spark: SparkSession, path: str, before: str | None = None) -> DataFrame:

@@ -193,7 +193,7 @@ def test_attachment(spark):
 
 
 def test_over_time(spark):
-    rule = lambda a, b, **x: _pair(spark, a, b).select(entities.same_over_time(**x)).first()[0]
+    rule = lambda a, b, **x: entities.same_over_time(**x)(_pair(spark, a, b)).count() == 1
     assert rule({"address": "光復街12號", "title": "甲"}, {"address": "光復街12號", "title": "乙"})
     assert not rule({"address": "新北市板橋區光復街", "title": "甲"}, {"address": "新北市板橋區光復街", "title": "乙"})
     assert rule({"title": "一樣的標題"}, {"title": "一樣的標題"}) and not rule({"title": "一樣的標題"}, {"title": "一樣的標題"}, stable_sources=("ads",))
@@ -280,6 +280,8 @@ def test_state_and_stream(spark, tmp_path):
     state.write_snapshot(one.withColumn("n", F.lit(3)), path, "r2")
     assert [r.n for r in state.read_snapshot(spark, path).collect()] == [3] and [r.n for r in state.read_snapshot(spark, path, "r2").collect()] == [1]
     assert state.read_snapshot(spark, path, "r1").count() == 0
+    state.write_snapshot(one.where("false"), path, "r2")
+    assert state.read_snapshot(spark, path).count() == 1 and state.read_snapshot(spark, path, "r3").collect()[0].n == 1
     source = tmp_path / "in"
     for k in range(3):
         spark.createDataFrame([("a", k), (f"b{k}", k)], "id string, n int").coalesce(1).write.mode("append").parquet(str(source))
