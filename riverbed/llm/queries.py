@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from riverbed.llm import decontamination, jaccard, licenses, line_dedup, lm_scores, oracles, packing, quality, secrets, token_counts, toxicity
 from riverbed.llm.common import crc32_mod
 
-#: Words that a length window of documents has at most.
+#: Tokens beyond which a document is over the limit.
 TOKEN_LIMIT = 512
 #: Rows whose crc32(doc_id) leaves this modulo 4 give no labels.
 LABEL_FOLDS, LABEL_HELD_OUT = 4, 2
@@ -80,8 +80,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    """Counts out of the prefix tables, and how much of each text fits into the limit."""
+    counts = token_counts.prefix_answers(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fitting_chars", "prefix_crc32")
 
 
 def queries() -> dict:

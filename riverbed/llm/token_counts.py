@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riverbed.llm.common import spread
+
 #: White space as the pre-tokenizer's pattern means it (Unicode's White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
 #: Splits a text where no piece can go across.
@@ -56,6 +58,7 @@ class PrefixCounter:
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.state: dict[bytes, tuple[int, bytes]] = {}
         self.totals: dict[str, int] = {}
+        self.inner: dict[str, np.ndarray] = {}
 
     def _merged(self, piece: bytes) -> list[bytes]:
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -87,7 +90,7 @@ class PrefixCounter:
         while piece[:known] not in state:
             known -= 1
         for i in range(known + 1, len(piece) + 1):
-            for j in range(max(0, i - self.longest), i):  # exactly one token fits
+            for j in range(i - 1, max(-1, i - self.longest - 1), -1):  # exactly one token fits
                 t = piece[j:i]
                 if t in tokens:
                     n, last = state[piece[:j]]
@@ -102,7 +105,7 @@ class PrefixCounter:
         tokens, fits = self.tokens, self.fits
         counts, starts = array("i", [0]) * (len(piece) + 1), array("i", [0]) * (len(piece) + 1)  # starts: of the prefix's last token
         for i in range(1, len(piece) + 1):
-            for j in range(max(0, i - self.longest), i):
+            for j in range(i - 1, max(-1, i - self.longest - 1), -1):
                 t = piece[j:i]
                 if t in tokens:
                     last = piece[starts[j] : j]
@@ -143,43 +146,62 @@ class PrefixCounter:
             return self._plain(text)
         return sum(map(self._plain, self.special.split(text))) + len(self.special.findall(text))
 
+    def _chunk_prefixes(self, chunk: str) -> np.ndarray:
+        """Counts of a chunk's own prefixes of 1, 2 ... code points."""
+        found = self.inner.get(chunk)
+        if found is None:
+            found, before, at = [], 0, 0
+            for piece in self.pieces.findall(chunk):
+                counts = self.piece_counts(piece.encode())
+                ends = np.cumsum([len(c.encode()) for c in piece])
+                if piece in ("'re", "'ve", "'ll"):  # a part of a contraction is split otherwise
+                    found += [before + sum(self.total(p.encode()) for p in self.pieces.findall(chunk[at : at + k])) for k in range(1, len(piece) + 1)]
+                else:
+                    found += (before + counts[ends]).tolist()
+                before, at = before + int(counts[-1]), at + len(piece)
+            found = np.array(found, np.int32)
+            if len(chunk) <= SHORT:
+                if len(self.inner) > CACHE // 4:
+                    self.inner.clear()
+                self.inner[chunk] = found
+        return found
+
+    def _plain_prefixes(self, text: str) -> np.ndarray:
+        """Counts of the prefixes of 1, 2 ... code points of a text without special strings."""
+        made = list(map(self._chunk_prefixes, _CHUNK.findall(text)))
+        if not made:
+            return np.zeros(0, np.int32)
+        sizes = np.array([len(x) for x in made])
+        last = np.cumsum(sizes)
+        out = np.concatenate(made)
+        totals = np.cumsum(out[last - 1])
+        out[sizes[0] :] += np.repeat(totals[:-1], sizes[1:]).astype(np.int32)
+        for m in _RUN.finditer(text):  # a run of white space at a prefix's end is one piece
+            raw = m.group()
+            ends = np.cumsum([len(c.encode()) for c in raw])
+            out[m.start() : m.end()] = (out[m.start() - 1] if m.start() else 0) + self.piece_counts(raw.encode())[ends]
+        return out
+
     def prefixes(self, text: str) -> np.ndarray:
         """Token counts of the text's prefixes of 0, 1, 2 ... code points."""
+        if not self.special or not any(s in text for s in self.specials):
+            return np.concatenate([np.zeros(1, np.int32), self._plain_prefixes(text)])
         out, done, at = np.zeros(len(text) + 1, np.int32), 0, 0
-        segments = [(m.start(), m.end()) for m in self.special.finditer(text)] if self.special else []
-        for start, end in [*segments, (len(text), len(text))]:
-            for m in _CHUNK.finditer(text, at, start):
-                chunk = m.group()
-                out[m.start() + 1 : m.end() + 1] = done + self._inner(chunk)
-                done += self._plain(chunk)
-            for m in _RUN.finditer(text, at, start):  # a run of white space at a prefix's end is one piece
-                raw = m.group()
-                ends = np.cumsum([len(c.encode()) for c in raw])
-                out[m.start() + 1 : m.end() + 1] = out[m.start()] + self.piece_counts(raw.encode())[ends]
-            for k in range(start + 1, end):  # inside a special string its letters are plain text
-                tail = _CHUNK.findall(text, max(at, text.rfind(" ", at, start)), k)
-                head = text[at : k - len("".join(tail))]
-                out[k] = out[at] + self._plain(head) + sum(map(self._plain, tail))
+        for start, end in [*((m.start(), m.end()) for m in self.special.finditer(text)), (len(text), len(text))]:
+            plain = text[at:start]
+            # inside a special string its letters are plain text
+            out[at + 1 : start + 1] = done + self._plain_prefixes(plain)
+            begin = plain.rfind(" ") if " " in plain else 0
+            head = done + self._plain(plain[:begin])
+            for k in range(start + 1, end):
+                out[k] = head + self._plain(text[at + begin : k])
+            done += self._plain(plain)
             if end > start:
                 done += 1
                 out[end] = done
             at = end
         return out
 
-    def _inner(self, chunk: str) -> np.ndarray:
-        """Counts of a chunk's own prefixes of 1, 2 ... code points."""
-        out, before, at = [], 0, 0
-        for piece in self.pieces.findall(chunk):
-            raw = piece.encode()
-            counts = self.piece_counts(raw)
-            ends = np.cumsum([len(c.encode()) for c in piece])
-            if piece in ("'re", "'ve", "'ll"):  # a part of a contraction is split otherwise
-                out += [before + sum(self.total(p.encode()) for p in self.pieces.findall(chunk[at : at + k])) for k in range(1, len(piece) + 1)]
-            else:
-                out += (before + counts[ends]).tolist()
-            before, at = before + int(counts[-1]), at + len(piece)
-        return np.array(out, np.int64)
-
 
 _COUNTERS: dict[str, PrefixCounter] = {}
 
@@ -234,6 +256,27 @@ def fitting_chars(prefix_steps: bytes, budget: int) -> int:
     return int(np.flatnonzero(_steps(prefix_steps) <= budget)[-1])
 
 
+def prefix_answers(docs: DataFrame, tokenizer: str, budget: int) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, fitting_chars, prefix_crc32``, read off the counts of all prefixes, which stay in the task.
+
+    ``fitting_chars``: code points of the longest prefix of at most ``budget`` tokens; ``prefix_crc32``: of the counts of the
+    prefixes of 0, 1, 2 ... code points as little-endian 32-bit numbers. Texts as in :func:`token_counts`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = counter(tokenizer)
+        for batch in batches:
+            rows = []
+            for text in batch["text"].to_pylist():
+                x = made.prefixes(text or "")
+                rows.append((len((text or "").encode()), int(x[-1]), int(np.flatnonzero(x <= budget)[-1]), zlib.crc32(x.astype("<i4"))))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_bytes", "n_tokens", "fitting_chars", "prefix_crc32"])
+
+    docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, fitting_chars long, prefix_crc32 long")
+
+
 def within_budget(docs: DataFrame, tokenizer: str, budget: int) -> DataFrame:
     """``doc_id, n_tokens, fitting_chars, text``: each text cut to its longest prefix of at most ``budget`` tokens."""
 

@@ -694,3 +694,36 @@ def test_token_counts_long_runs():
         assert made.count(t) == table[-1] == count(t)
         assert all(table[k] == count(t[:k]) for k in [*range(1, 200), *range(200, len(t), 307)])
     assert peak < 12 << 20
+
+
+def test_token_counts_of_a_million_letters():
+    """Runs of a million letters and of blanks within 300 MB of this process."""
+    import resource
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    made = token_counts.PrefixCounter(path)
+    text = "".join(np.random.default_rng(0).choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    table = made.prefixes(text)
+    blanks = made.prefixes(" " * 1_000_000)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 << 10
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    assert table[-1] == count(text) and table[77_777] == count(text[:77_777])
+    assert blanks[50_000] == count(" " * 50_000)
+
+
+def test_token_count_query(spark, rows, tmp_path):
+    """The registered query: the limit, and what the prefix tables answer."""
+    from riverbed.llm import queries
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    texts = [None, "", "a few words", " ".join(f"number{k}" for k in range(300)), "x " * 511, "x " * 700, "ä\U0001f600" * 400]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.op10_token_counts(spark, str(tmp_path)).collect():
+        t = texts[r.doc_id] or ""
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), count(t), count(t) > 512)
+        assert count(t[: r.fitting_chars]) <= 512 and all(count(t[:k]) > 512 for k in range(r.fitting_chars + 1, min(len(t), r.fitting_chars + 20) + 1))
+        if len(t) < 2000:
+            assert r.prefix_crc32 == zlib.crc32(np.array([count(t[:k]) for k in range(len(t) + 1)], "<i4"))
