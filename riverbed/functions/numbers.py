@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,20 @@ def area_value(c, unit: str = "坪") -> Column:
     return F.coalesce(F.nullif(found, F.lit("")).try_cast("double"), F.trim(_plain(c)).try_cast("double"))
 
 
+def area_text(c, unit: str = "坪") -> Column:
+    """An area as it is shown: the number before the unit as it stands, or the whole text as a number; else null."""
+    text = _text(c)
+    found = F.regexp_extract(text, rf"([1-9]\d{{0,2}}(?:\.\d+)?)\s*{unit}", 1)
+    value = F.trim(text).try_cast("double")
+    plain = F.when(value == 0, "0").otherwise(compact(value))
+    return F.when(found != "", F.concat(found, F.lit(unit))).when(value.isNotNull(), F.concat(plain, F.lit(unit)))
+
+
+def first_known(*columns: str) -> Column:
+    """The first of the columns that has a value, as where a field goes by several names."""
+    return F.coalesce(*[F.nullif(F.col(c), F.lit(0)) for c in columns])
+
+
 def card_price(c, low: float = 300, high: float = 100000, unit: str = "萬") -> Column:
     """The last price in range; digits before it that belong to no group are skipped, decimals dropped."""
     raw = F.regexp_extract_all(_text(c), F.lit(rf"([0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]{{3,5}})(?:\.[0-9]+)?\s*{unit}"), F.lit(1))
@@ -164,11 +180,12 @@ def floor_hint(c) -> Column:
 
 
 def to_unix(c) -> Column:
-    """Seconds of an integer (milliseconds above 10^12), a decimal or an ISO text with an offset; else null."""
+    """Seconds of an integer (milliseconds above 10^12), a decimal or an ISO text; else null. Without an offset ISO texts are UTC."""
     text = F.trim(_text(c))
     value = text.try_cast("double")
     seconds = F.when(value > 1e12, F.floor(value / 1000)).otherwise(F.floor(value))
-    iso = F.unix_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.try_to_timestamp(text)))
+    dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00"))).when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:"), text)
+    iso = F.unix_timestamp(F.try_to_timestamp(F.when(dated.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), dated).otherwise(F.concat(dated, F.lit("Z")))))
     return F.coalesce(seconds.cast("long"), iso)
 
 
@@ -201,13 +218,25 @@ def trusted_time(value: Column, kind: Column, source: Column, strict_sources, wa
 # codes and addresses of pages
 
 
-def encrypt_cbc(text: Column, key: Column) -> Column:
-    return F.base64(F.aes_encrypt(text, key, F.lit("CBC"), F.lit("PKCS")))
+def derived_key(password: str, salt: bytes, rounds: int) -> tuple[bytes, bytes]:
+    """A 256-bit key and an initial vector out of a password: its SHA-256, then PBKDF2 with SHA-1."""
+    made = hashlib.pbkdf2_hmac("sha1", hashlib.sha256(password.encode()).digest(), salt, rounds, dklen=48)
+    return made[:32], made[32:]
+
 
+def encrypt_cbc(text: Column, key: Column, vector: Column | None = None) -> Column:
+    """Base64 of the initial vector and the ciphertext; of the ciphertext alone if the vector is given."""
+    if vector is None:
+        return F.base64(F.aes_encrypt(text, key, F.lit("CBC"), F.lit("PKCS")))
+    made = F.aes_encrypt(text, key, F.lit("CBC"), F.lit("PKCS"), vector)
+    return F.base64(F.substring(made, 17, F.length(made)))
 
-def decrypt_cbc(code: Column, key: Column) -> Column:
-    """Of base64 of the initial vector and the ciphertext; null where that can't be."""
-    return F.try_aes_decrypt(F.try_to_binary(code, F.lit("base64")), key, F.lit("CBC"), F.lit("PKCS")).cast("string")
+
+def decrypt_cbc(code: Column, key: Column, vector: Column | None = None) -> Column:
+    """Of base64 of the initial vector and the ciphertext, or of the ciphertext alone; null where that can't be."""
+    raw = F.try_to_binary(code, F.lit("base64"))
+    raw = raw if vector is None else F.concat(vector, raw)
+    return F.try_aes_decrypt(raw, key, F.lit("CBC"), F.lit("PKCS")).cast("string")
 
 
 def is_cipher_text(code: Column) -> Column:

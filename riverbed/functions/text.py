@@ -14,7 +14,12 @@ DEFAULT = Lexicon()
 #: White space as Unicode has it; Java's plain \s is ASCII only.
 SPACES = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
 _HAN = r"一-鿿"
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# Names of characters in HTML.
+_ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&hellip;", "…"), ("&middot;", "·"), ("&bull;", "•"), ("&ndash;", "–"),
+    ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&copy;", "©"), ("&reg;", "®"),
+    ("&trade;", "™"), ("&deg;", "°"), ("&times;", "×"), ("&euro;", "€"), ("&pound;", "£"), ("&yen;", "¥"),
+)
 
 
 def _text(c) -> Column:
@@ -31,9 +36,25 @@ def collapse_spaces(c) -> Column:
     return F.trim(F.regexp_replace(_text(c), SPACES, " "))
 
 
+def _numeric_entity(piece: Column) -> Column:
+    """What stands behind ``&#`` with the number at its head resolved, in either base; as it was if there is none."""
+    code = F.regexp_extract(piece, "^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
+    value = F.when(code.rlike("^[xX]"), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).try_cast("int")
+    known = (value > 0) & (value < 0x110000) & ~value.between(0xD800, 0xDFFF)
+    letter = F.when(value == 38, "&amp;").otherwise(F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32"))
+    return F.when(known, F.concat(letter, F.substring(piece, F.length(code) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&#"), piece))
+
+
+def unescaped(c) -> Column:
+    """HTML entities resolved: the usual names and all numbers. Ampersands come last, as what they make isn't read again."""
+    pieces = F.split(replace_in_order(c, _ENTITIES), "&#")
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _numeric_entity)
+    return F.replace(F.concat(pieces[0], F.array_join(rest, "")), F.lit("&amp;"), F.lit("&"))
+
+
 def normalize_text(c) -> Column:
-    """Null to empty, the usual HTML entities resolved, white space collapsed and trimmed."""
-    return collapse_spaces(replace_in_order(c, _ENTITIES))
+    """Null to empty, HTML entities resolved, white space collapsed and trimmed."""
+    return collapse_spaces(unescaped(c))
 
 
 def fold_variants(c, aliases=DEFAULT.aliases) -> Column:
@@ -128,13 +149,20 @@ def shared_keywords(a, b, words) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(_text(a), F.lit(w)) & F.contains(_text(b), F.lit(w)), F.lit(w)) for w in words]))
 
 
-def plausible_title(candidates: Column, reject: str = "[萬坪]") -> Column:
+def plausible_title(candidates: Column, reject: str = "[萬坪]", boilerplate=DEFAULT.buttons) -> Column:
     """Of a list of texts the one with the most Han characters (then the longest, then the last) that can be a title."""
     rich = lambda t: F.size(F.regexp_extract_all(t, F.lit(f"[{_HAN}]"), F.lit(0)))
-    good = F.filter(candidates, lambda t: F.length(t).between(2, 60) & ~t.rlike(reject) & (rich(t) >= 2))
+    good = F.filter(candidates, lambda t: F.length(t).between(2, 60) & ~t.rlike(reject) & ~t.isin(*boilerplate) & (rich(t) >= 2))
     return F.array_max(F.transform(good, lambda t: F.struct(rich(t).alias("rich"), F.length(t).alias("n"), t.alias("t"))))["t"]
 
 
+def title_before(c, place: str, otherwise: Column, longest: int = 60) -> Column:
+    """What stands before the place's name in a card's text, without badges; ``otherwise`` if nothing does."""
+    text = _text(c)
+    head = F.when(F.instr(text, place) > 1, F.substring_index(text, place, 1))
+    return F.coalesce(F.nullif(F.substring(strip_badges(F.trim(head)), 1, longest), F.lit("")), otherwise)
+
+
 def numeral(c, numerals=None) -> Column:
     """A Chinese numeral up to 99 (with ten as a place) as an integer."""
     digits = F.create_map(*[F.lit(x) for p in (numerals or DEFAULT.numerals).items() for x in p])

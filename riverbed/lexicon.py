@@ -35,6 +35,7 @@ STOPWORDS = (
 GENERIC_PREFIXES = ("", "板橋", "中山路二段", "三民路一段", "三民路二段", "光復街", "萬安街", "林森街", "翠華街")
 NUMERALS = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 BADGES = ("AI煥裝", "AI導覽", "優質", "新上架", "降價")
+BUTTONS = ("看地圖", "詳情", "收藏")
 DISTRICT, CITY = "板橋區", "新北市"
 
 
@@ -47,6 +48,7 @@ class Lexicon:
     generic: tuple = GENERIC_PREFIXES
     numerals: dict = field(default_factory=lambda: dict(NUMERALS))
     badges: tuple = BADGES
+    buttons: tuple = BUTTONS
     district: str = DISTRICT
     city: str = CITY
 

@@ -47,3 +47,14 @@ def only_complete(status: DataFrame) -> DataFrame:
 def all_or_nothing(runs: DataFrame, source: str, success: str) -> DataFrame:
     """A source has succeeded only if each of its keys has."""
     return runs.groupBy(source).agg(F.bool_and(F.coalesce(F.col(success), F.lit(False))).alias("success"), F.count("*").alias("keys"), F.sum(F.coalesce(F.col(success), F.lit(False)).cast("int")).alias("succeeded"))
+
+
+def complete_keys(pages: DataFrame, key: str, ok: str) -> DataFrame:
+    """Rows of the keys of which every page was read; a key with one failed page gives none."""
+    failed = pages.where(~F.coalesce(F.col(ok), F.lit(False))).select(key).distinct()
+    return pages.join(failed, key, "left_anti")
+
+
+def with_fallback(fresh: DataFrame, older: DataFrame, status: DataFrame, key: str, allowed: bool) -> DataFrame:
+    """Fresh rows of the available partitions and, only if that is ``allowed``, older rows of the others."""
+    return fallback(fresh, older if allowed else older.where(F.lit(False)), status, key, "available")

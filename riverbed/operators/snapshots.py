@@ -56,6 +56,18 @@ def run_summary(merged: DataFrame) -> DataFrame:
     return merged.groupBy("source").agg(at(F.col("active")).alias("active"), at((F.col("event") == "added") & F.col("new_at").isNotNull()).alias("new"), at(F.col("event") == "removed").alias("removed"), F.count("*").alias("total"))
 
 
+def run_messages(summary: DataFrame, runs: DataFrame, mark: str = "；") -> DataFrame:
+    """``source, message``: what the last run said, without what an earlier summary put behind the mark, and the new counts."""
+    said = F.substring_index(F.coalesce("message", F.lit("")), mark, 1)
+    counts = F.format_string("active %d, new %d, removed %d of %d", "active", "new", "removed", "total")
+    return summary.join(runs, "source", "left").select("source", F.concat(said, F.lit(mark), counts).alias("message"))
+
+
+def run_of_source(previous: DataFrame, current: DataFrame, runs: DataFrame, gone: DataFrame, as_of: Column, values: list[str], source: str) -> DataFrame:
+    """The next state after a run of one source alone: rows of all others stay as they are."""
+    return merge_snapshot(previous, current.where(F.col("source") == source), runs.where(F.col("source") == source), gone, as_of, values)
+
+
 def track_price(current: DataFrame, previous: DataFrame, as_of: Column, least: float = 0.1, entries: int = 12) -> DataFrame:
     """``current`` (``id, price``) with the change against ``previous`` (``id, price, history`` and the last change).
 

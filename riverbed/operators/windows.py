@@ -34,6 +34,14 @@ def until_nothing_new(df: DataFrame, group: list, page: str, item: str) -> DataF
     return until_stop(pages, group, [page], F.col("n_new") == 0)
 
 
+def scanned_pages(df: DataFrame, group: list, page: str, rows: Column, fresh: Column, total: Column | None = None, size: int = 30, most: int = 20) -> DataFrame:
+    """Pages that a scan reads: up to one without rows, a later one without anything new, a short one, the last of ``total`` rows, or page ``most``."""
+    stop = (rows == 0) | ((F.col(page) > 1) & (fresh == 0)) | (rows < size)
+    if total is not None:
+        stop = stop | F.coalesce(F.col(page) * size >= total, F.lit(False))
+    return until_stop(df.where(F.col(page) <= most), group, [page], stop)
+
+
 def with_previous(df: DataFrame, key: list, order: list, value: str, least: float) -> DataFrame:
     """``previous``, ``change`` and ``direction`` against the row before; changes under ``least`` count as none."""
     w = Window.partitionBy(*key).orderBy(*order)

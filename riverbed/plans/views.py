@@ -72,3 +72,29 @@ def search(left: DataFrame, right: DataFrame, wanted: Column, rows: int = 5) ->
     both = left.unionByName(right, allowMissingColumns=True)
     once = keep_first(both.withColumn("_k", fallback_key("url", "source", "title", "address", "price")), ["_k"], ["ord"]).drop("_k")
     return once.withColumn("matched", F.coalesce(wanted, F.lit(False))).orderBy(F.desc("matched"), "ord").limit(rows)
+
+
+def active_of(df: DataFrame, sources: list[str]) -> DataFrame:
+    """Active rows (those that say nothing are) of the allowed sources."""
+    return df.where(F.coalesce(F.col("active"), F.lit(True)) & F.col("source").isin(*sources))
+
+
+def direct_only(text: Column, own: tuple, brand: str) -> Column:
+    """Whether a text names the company itself; its franchise's brand alone doesn't."""
+    names = F.lit(False)
+    for name in own:
+        names = names | F.contains(text, F.lit(name))
+    return F.when(F.contains(text, F.lit(brand)), names).otherwise(names)
+
+
+def reply(df: DataFrame, logs: DataFrame, rows: int = 10, otherwise: int = 5, chars: int = 3900) -> DataFrame:
+    """One text: the rows that match or else some of any kind or, without rows, the logs; cut to a message's length.
+
+    ``df``: ``ord, source, title, matched``; ``logs``: ``place, log``. All that is gathered are the message's own lines.
+    """
+    shown = matches_or_some(df, "matched", ["ord"], rows, otherwise).withColumn("_n", F.row_number().over(Window.orderBy("ord")))
+    lines = shown.agg(F.array_sort(F.collect_list(F.struct("_n", F.format_string("%d. [%s] %s", "_n", "source", "title").alias("line")))).alias("l"), F.bool_or("matched").alias("found"))
+    said = logs.where("log <> ''").orderBy("place").limit(chars).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "log"))), lambda x: F.concat(F.lit("- "), x["log"])), "\n").alias("said"))
+    head = F.when(F.size("l") == 0, "nothing").when(F.col("found"), "matched").otherwise("some")
+    parts = F.array_compact(F.array(head, F.nullif(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("")), F.nullif("said", F.lit(""))))
+    return lines.join(said, how="cross").select(F.substring(F.array_join(parts, "\n"), 1, chars).alias("reply"))  # one row by one row

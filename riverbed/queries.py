@@ -38,7 +38,7 @@ def _md5(c) -> Column:
 _WS = r"[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-@query(f"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(coalesce(html, ''), '&nbsp;', ' '),
+@query(f"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(coalesce(html, ''), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'),
  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '{_WS}', ' ', 'g'))) AS normalized FROM pages""")
 def str_01_normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", _md5(T.normalize_text("html")).alias("normalized"))

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from riverbed.functions.text import collapse_spaces
+from riverbed.functions.numbers import floor_of
+from riverbed.functions.text import collapse_spaces, strip_badges
 
 ANCHORS = "array<struct<href:string,text:string>>"
 CARDS = "array<struct<id:string,text:string>>"
@@ -92,6 +93,63 @@ def cards(html, id_pattern: str, keyword: str, highest: int = 12) -> Column:
     return found(html)
 
 
+def smallest_cards(html, id_pattern: str, keywords: tuple, shortest: int = 20, longest: int = 760) -> Column:
+    """For each id of a link the shortest text of an element that has all keywords and links of no other id."""
+
+    @F.pandas_udf(CARDS)
+    def found(pages: pd.Series) -> pd.Series:
+        wanted, out = re.compile(id_pattern), []
+        for page in pages:
+            tree, best = _Tree(), {}
+            tree.feed(page or "")
+            left = [tree.root]
+            while left:
+                node = left.pop()
+                left += [c for c in node[3] if isinstance(c, list)]
+                if node[0] in ("article", "li", "section", "div") and len(ids := _links(node, wanted)) == 1:
+                    text = _text(node)
+                    one = next(iter(ids))
+                    if shortest <= len(text) <= longest and all(k in text for k in keywords) and (one not in best or len(text) < len(best[one])):
+                        best[one] = text
+            out.append([{"id": k, "text": best[k]} for k in sorted(best)])
+        return pd.Series(out)
+
+    return found(html)
+
+
+def label_texts(html, label: str, longest: int = 240, most: int = 40) -> Column:
+    """Texts of the elements that hold a label, each once and in order: at most ``most`` of ``longest`` characters, as a report shows them."""
+
+    @F.pandas_udf("array<string>")
+    def found(pages: pd.Series) -> pd.Series:
+        wanted, out = re.compile(label), []
+        for page in pages:
+            tree, texts, left = _Tree(), {}, []
+            tree.feed(page or "")
+            left = [tree.root]
+            while left and len(texts) < most:
+                node = left.pop()
+                left += [c for c in reversed(node[3]) if isinstance(c, list)]
+                text = _text(node) if node[0] else ""
+                if text and len(text) <= longest and wanted.search(text):
+                    texts.setdefault(text)
+            out.append(list(texts))
+        return pd.Series(out)
+
+    return found(html)
+
+
+def card_record(text, place: str, badges: tuple = ()) -> dict[str, Column]:
+    """Title, area, price and floor out of a card's text: what stands before the place, behind the label, at the end."""
+    c = collapse_spaces(text)
+    tail = F.regexp_extract(c, r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*$", 1)
+    named = F.try_element_at(F.regexp_extract_all(c, F.lit(r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*萬"), F.lit(1)), F.lit(-1))
+    price = F.replace(F.coalesce(F.nullif(tail, F.lit("")), named), F.lit(","), F.lit("")).try_cast("double")
+    once = F.size(F.split(c, re.escape(place))) == 2
+    title = F.when(once, F.nullif(strip_badges(F.trim(F.substring_index(c, place, 1)), badges) if badges else F.trim(F.substring_index(c, place, 1)), F.lit("")))
+    return {"title": title, "area": F.regexp_extract(c, r"建坪\s*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"), "price": price, "floor": floor_of(c)}
+
+
 def total_results(html, label: str = "全部") -> Column:
     return F.regexp_extract(html, rf"{label}\s*[(（]\s*(\d+)", 1).try_cast("int")
 

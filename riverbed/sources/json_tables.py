@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -13,8 +14,15 @@ from pyspark.sql import functions as F
 WALKED = "array<struct<path:string,key:string,value:string,depth:int>>"
 
 
-def read_state(spark: SparkSession, path: str, schema: str, rows: str = "listings") -> DataFrame:
-    """Rows of a state document. A document that can't be read raises an error; it doesn't count as an empty state."""
+def read_state(spark: SparkSession, path: str, schema: str, rows: str = "listings", missing: DataFrame | None = None) -> DataFrame:
+    """Rows of a state document. A document that can't be read raises an error; it doesn't count as an empty state.
+
+    Only where there is no document at all are the rows of ``missing`` returned, if they are given.
+    """
+    if missing is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return missing
     docs = spark.read.schema(f"{rows} array<struct<{schema}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
     return docs.select(F.explode(rows).alias("r")).select("r.*")
 
@@ -72,6 +80,32 @@ def walk_json(body, deepest: int = 16, widest: int = 500) -> Column:
     return walked(body)
 
 
+def _objects(node, path: str, depth: int, deepest: int, widest: int) -> Iterator[tuple[str, str]]:
+    if isinstance(node, dict):
+        yield path, json.dumps(node, ensure_ascii=False, separators=(",", ":"))
+    if depth < deepest:
+        pairs = node.items() if isinstance(node, dict) else enumerate(node[:widest]) if isinstance(node, list) else ()
+        for key, value in pairs:
+            yield from _objects(value, f"{path}.{key}" if isinstance(node, dict) else f"{path}[{key}]", depth + 1, deepest, widest)
+
+
+def json_objects(body, deepest: int = 16, widest: int = 500, most: int | None = None) -> Column:
+    """Every object of a JSON text with its path, outer ones first; at most ``most``, where a report asks for so many."""
+
+    @F.pandas_udf("array<struct<path:string,object:string>>")
+    def found(bodies: pd.Series) -> pd.Series:
+        out = []
+        for text in bodies:
+            try:
+                objects = itertools.islice(_objects(json.loads(text), "$", 0, deepest, widest), most) if text else ()
+                out.append([{"path": p, "object": o} for p, o in objects])
+            except ValueError:
+                out.append([])
+        return pd.Series(out)
+
+    return found(body)
+
+
 def matching_leaves(leaves: Column, key_pattern: str, value_pattern: str = ".*") -> Column:
     return F.filter(leaves, lambda x: x["key"].rlike(f"(?i){key_pattern}") & x["value"].rlike(value_pattern))
 

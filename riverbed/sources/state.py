@@ -19,6 +19,12 @@ def read_snapshot(spark: SparkSession, path: str, before: str | None = None) ->
     return table.where(F.col("run") == (last or "")).drop("run")
 
 
+def write_export(tables: dict[str, DataFrame], path: str) -> None:
+    """The tables of an export, each in its own folder."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows, and old ones of other keys."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from riverbed import capture_queries, entity_queries, more_queries, queries  # noqa: F401
+from riverbed import capture_queries, entity_queries, further_queries, more_queries, queries  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
