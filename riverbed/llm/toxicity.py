@@ -188,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_texts: int = SAMPLE_TEXTS)
     telling = F.abs(F.col("toxic") - F.col("n") * (toxic / n)) / F.sqrt(F.col("n"))
     found = sorted({tuple(r) for order in (F.desc("n"), telling.desc()) for r in counts.orderBy(order, "slot").limit(HALF_SLOTS).collect()})
     kept, with_it, and_toxic = np.array(found, np.int64).reshape(-1, 3).T
-    texts = rows.mapInArrow(_kept_features(kept), "label int, features binary").orderBy("features", "label").collect()  # in one order, so the same machine
+    texts = rows.mapInArrow(_kept_features(kept), "label int, features binary").collect()
+    texts.sort(key=lambda r: (r["features"], r["label"]))  # the same machine whatever the rows' order
     return fit(np.array([r["label"] for r in texts]), [np.frombuffer(r["features"], np.int16) for r in texts], kept, trusted(with_it, and_toxic, n, toxic))
 
 
