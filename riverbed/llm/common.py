@@ -2,43 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riverbed.operators.shared import shared_dir
+
 #: Tables of as many partitions aren't dealt out anew.
 SMALL_PARTITIONS = 16
 #: U+0020 and U+0009 to U+000D, as a Java pattern.
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors and the driver see."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and spark.sparkContext.master.startswith("local"):
-        found = tempfile.mkdtemp(prefix="riverbed-")  # one machine: all tasks see it
-        spark.sparkContext.setCheckpointDir(found)
-    if not found:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return found.rstrip("/")
-
-
 def spread(df: DataFrame) -> DataFrame:
     """``df``, where it is so small that it has fewer partitions than cores dealt out to all of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SMALL_PARTITIONS) else df
 
 
+_TABLES: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tables_for(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside go when it ends; what is needed of them must have been written by then."""
+    before = len(_TABLES)
+    try:
+        yield
+    finally:
+        for path in _TABLES[before:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _TABLES[before:]
+
+
 def ascii_lower(text):
     """A-Z lower-cased, other characters as they are; null is the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverbed.llm import decontamination, jaccard, licenses, line_dedup, lm_scores, oracles, packing, quality, secrets, token_counts, toxicity
-from riverbed.llm.common import crc32_mod
+from riverbed.llm.common import crc32_mod, spread
 
 #: Tokens beyond which a document is over the limit.
 TOKEN_LIMIT = 512
@@ -19,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small tables come in one partition; they are dealt out to all cores."""
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def _labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     """Labels that may be learnt from."""
     rows = _table(spark, sf_dir, "labels").select("doc_id", F.col(column).alias("label"))
@@ -34,7 +39,7 @@ def _of_kind(kind: str):
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.secret_spans(_table(spark, sf_dir, "documents"))
+    found = secrets.secret_spans(_documents(spark, sf_dir))
     base = [r.kind for r in secrets.RULES if r.base]
     counts = {f"n_{k}": F.size(F.filter("spans", _of_kind(k))).cast("long") for k in base}
     listed = secrets.listed(F.filter("spans", lambda s: s["kind"].isin(base)))
@@ -42,11 +47,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=3, percent=90)
+    return jaccard.ngram_jaccard_join(_documents(spark, sf_dir), n=3, percent=90)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1, size=2048)
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=1, size=2048)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +60,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a test item: ``doc_id, item_id``, the item's shingles, the shared ones and their share."""
-    found = decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontamination.contaminated(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
@@ -69,7 +74,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     return line_dedup.line_digests(documents, line_dedup.line_keep_bitmaps(documents, least_docs=5, least_chars=40))
 
 
