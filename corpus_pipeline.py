@@ -6,6 +6,7 @@ at each. All but the last return the columns of their input.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverbed.llm import decontamination, jaccard, line_dedup, packing, queries, toxicity
-from riverbed.llm.common import materialize
+from riverbed.llm.common import materialize, tables_for
+from riverbed.operators.shared import shared_dir
 
 
 def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -86,7 +88,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, each written and read again. What a stage made for itself goes when it is written."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with tables_for(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(f"{folder}/{name}")
+        docs = spark.read.schema(made.schema).parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
