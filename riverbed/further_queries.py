@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riverbed.functions import numbers as N
@@ -94,8 +95,6 @@ def src_09_13_14_scan_ends(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events")
     page = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
     return e.select("user_id", page.alias("page"), F.when(F.col("event_type") == "error", 7).otherwise(30).alias("n"), F.when(F.col("value") < 1, 0).otherwise(5).alias("fresh"), "event_type")
@@ -208,11 +207,9 @@ def flr_05_floors_of_members(spark, sf_dir):
 def tim_01_02_written_times(spark, sf_dir):
     """ISO texts with a T, a blank or a date only, decimals; and local times of a zone."""
     k, ts = F.col("event_id"), F.col("ts").cast("timestamp")
-    utc = F.to_utc_timestamp(ts, F.current_timezone())  # as the session shows it
-    shown = lambda p: F.date_format(ts, p)
-    iso = lambda p: F.date_format(F.timestamp_seconds(F.unix_timestamp(ts)) + (utc - utc), p)
+    iso = lambda p: F.date_format(ts, p)
     raw = F.when(k % 4 == 0, F.concat(iso("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(k % 4 == 1, iso("yyyy-MM-dd HH:mm:ss")).when(k % 4 == 2, F.concat(F.unix_timestamp(ts).cast("string"), F.lit(".75"))).otherwise(iso("yyyy-MM-dd"))
-    return table(spark, sf_dir, "events").select("event_id", N.to_unix(raw).alias("seconds"), N.local_to_unix(shown("yyyy-MM-dd HH:mm:ss"), "Asia/Taipei").alias("from_local"))
+    return table(spark, sf_dir, "events").select("event_id", N.to_unix(raw).alias("seconds"), N.local_to_unix(iso("yyyy-MM-dd HH:mm:ss"), "Asia/Taipei").alias("from_local"))
 
 
 @query("SELECT c_custkey, c_name AS plain, 'F58C4C04D6E5F1BA779EABFB5F7BFBD6' AS known_block, 48 AS key_bytes FROM customer")
