@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from riverbed.llm.common import BLANKS, materialize
 
-#: Rows of a sketch or list up to which it is broadcast: some 25 bytes each.
+#: Rows of a sketch or of ids up to which they are broadcast: some 25 bytes each.
 BROADCAST_ROWS = 200_000
 #: Items that a document is verified against at once; their number decides how often its words are read.
 ITEMS_AT_ONCE = 256
@@ -79,7 +79,9 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 8
     place = F.row_number().over(Window.partitionBy("doc_id", "m").orderBy("item_id", "form")) - 1
     listed = candidates.withColumn("chunk", F.floor(place / ITEMS_AT_ONCE)).join(sets.drop("m", "part"), ["item_id", "form"])
     listed = listed.groupBy("doc_id", "m", "chunk").agg(F.collect_list(F.struct("item_id", "form", "n_item", "shingles")).alias("items"))
-    pairs = doc_words.join(_small(listed, candidates.count()), "doc_id").where(F.size("w") >= F.col("m")).withColumn("own", _shingles(F.col("m")))
+    ids = _small(candidates.select("doc_id").distinct(), candidates.count())
+    again = _words(docs.join(ids, "doc_id", "left_semi"), "doc_id")  # these are few; their items' shingles aren't broadcast
+    pairs = again.join(listed, "doc_id").where(F.size("w") >= F.col("m")).withColumn("own", _shingles(F.col("m")))
     met = F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"), x["form"].alias("form"), x["n_item"].alias("n_item"), F.array_intersect(x["shingles"], F.col("own")).alias("both")))
     shared = pairs.select("doc_id", F.inline(met)).select("doc_id", "item_id", "form", "n_item", F.explode("both").alias("shingle")).distinct()
     counts = shared.groupBy("doc_id", "item_id", "form").agg(F.max("n_item").alias("n_item"), F.count("*").alias("n_shared"))
