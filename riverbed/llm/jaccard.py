@@ -24,8 +24,12 @@ from riverbed.llm import kernels as K
 from riverbed.llm.common import materialize
 from riverbed.llm.components import connected_components
 
-#: Counters of the frequency sketch and of a Bloom filter, in bits of their index; cells of a set's suffix signature.
-SKETCH_BITS, BLOOM_BITS, CELLS, SLICES = 20, 23, 64, 64
+#: Counters of a Bloom filter, in bits of their index; cells of a set's suffix signature; slices of a sketch.
+BLOOM_BITS, CELLS, SLICES = 23, 64, 64
+#: Counters of the frequency sketch, in bits: the least and the most (64 MB); rows of ``docs`` for which the least will do.
+LEAST_BITS, MOST_BITS, BITS_ROWS = 20, 24, 1 << 18
+#: Texts with one shingle beyond which its posting list is dealt out to several tasks.
+HOT_TEXTS = 1 << 15
 #: Widths of the bitmaps of sets (eight bits a shingle; larger sets have none); rows of a list that meet in one task.
 BITMAP_WIDTHS, LIST_ROWS = (512, 1024, 2048, 4096), 4096
 _SEED = np.uint64(0x5851F42D4C957F2D)
@@ -60,13 +64,13 @@ def _bitmap(h: np.ndarray) -> bytes | None:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _digest(n: int) -> Callable:
+def _digest(n: int, bits: int) -> Callable:
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
             ids, rows = batch["doc_id"].to_pylist(), []
             for r, h in _sets(batch, n):
-                np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
                 cells = np.minimum(np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255) if len(h) else np.zeros(0)
                 rows.append((ids[r], *_prints(h), len(h), cells.astype(np.uint8).tobytes(), _bitmap(h), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in _TYPES], _NAMES)
@@ -100,11 +104,13 @@ def _gather(df: DataFrame, size: int) -> np.ndarray:
     return out.ravel()
 
 
-def _prefixes(n: int, num: int, den: int, counts) -> Callable:
+def _prefixes(n: int, num: int, den: int, counts, bits: int) -> Callable:
+    """Shingles of prefixes with their entity. A hot shingle's entities are dealt to as many ``lot``s as its frequency asks for."""
+
     def run(batches):
         frequency, seen = counts.value, set()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for _, h in _sets(batch, n):
                 if not len(h) or (key := _prints(h)) in seen:
                     continue
@@ -112,7 +118,7 @@ def _prefixes(n: int, num: int, den: int, counts) -> Callable:
                     seen.clear()
                 seen.add(key)
                 size = len(h) - -(-num * len(h) // den) + 1
-                order = frequency[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+                order = frequency[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
                 rank = (order << np.uint64(32)) | (h >> np.uint64(12) & np.uint64(0xFFFFFFFF))
                 if size < len(h):
                     best = np.argpartition(rank, size - 1)
@@ -121,11 +127,13 @@ def _prefixes(n: int, num: int, den: int, counts) -> Callable:
                 else:
                     best = np.arange(len(h))
                 best = best[np.lexsort((h[best], rank[best]))][:size]
-                for x, y in zip(out, (h[best], np.full(size, key[1], np.int64), np.full(size, len(h), np.int32), np.arange(size, dtype=np.int32)), strict=True):
+                lots = (order[best] // np.uint64(HOT_TEXTS)).astype(np.int64)
+                lot = np.where(lots > 0, 1 + (key[1] & 0x7FFFFFFF) % (lots + 1), 0).astype(np.int32)  # 0: not a hot one
+                for x, y in zip(out, (h[best], np.full(size, key[1], np.int64), np.full(size, len(h), np.int32), np.arange(size, dtype=np.int32), lot), strict=True):
                     x.append(y)
             if out[0]:
-                h, e, size, at = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([K.long_column(h), pa.array(e), pa.array(size), pa.array(at)], ["h", "e", "n", "pos"])
+                h, e, size, at, lot = (np.concatenate(x) for x in out)
+                yield pa.RecordBatch.from_arrays([K.long_column(h), pa.array(e), pa.array(size), pa.array(at), pa.array(lot)], ["h", "e", "n", "pos", "lot"])
 
     return run
 
@@ -320,20 +328,24 @@ class _Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int):
         self.spark, self.n, self.num, self.den = docs.sparkSession, n, num, den
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        made = materialize(self.docs.mapInArrow(_digest(n), "doc_id long, hi long, lo long, n long, cells binary, bitmap binary, slice int, counts binary"), "digest")
+        self.bits = min(MOST_BITS, LEAST_BITS + max(0, int(np.ceil(np.log2(max(1, docs.count()) / BITS_ROWS)))))
+        made = materialize(self.docs.mapInArrow(_digest(n, self.bits), "doc_id long, hi long, lo long, n long, cells binary, bitmap binary, slice int, counts binary"), "digest")
         self.digest = made.where("slice is null").select("doc_id", "hi", "lo", "n")
-        self.counts = self.spark.sparkContext.broadcast(_gather(made.where("slice is not null").select("slice", "counts"), 1 << SKETCH_BITS))
+        self.counts = self.spark.sparkContext.broadcast(_gather(made.where("slice is not null").select("slice", "counts"), 1 << self.bits))
         self.signatures = made.where("slice is null").groupBy(F.col("lo").alias("e")).agg(F.max("cells").alias("cells"), F.max("bitmap").alias("bitmap"))
         self.cells = self.signatures.select("e", "cells")
         #: Entities and their smallest document.
         self.entities = self.digest.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"))
 
     def lists(self) -> DataFrame:
-        """Posting lists, each entity once in a list; entities without another one of a fitting length in the list are left out."""
-        rows = self.docs.select("text").mapInArrow(_prefixes(self.n, self.num, self.den, self.counts), "h long, e long, n int, pos int").repartition("h")
-        once = rows.groupBy("h", "e").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-        w, n = Window.partitionBy("h").orderBy("n"), F.col("n").cast("long")
-        fits = (self.den * F.lag(n).over(w) >= self.num * n) | (self.den * n >= self.num * F.lead(n).over(w))
+        """Posting lists, each entity once in a list; entities without another one of a fitting length in the list are left out.
+
+        Lists of hot shingles stay whole, as their lots don't see each other.
+        """
+        rows = self.docs.select("text").mapInArrow(_prefixes(self.n, self.num, self.den, self.counts, self.bits), "h long, e long, n int, pos int, lot int").repartition("h", "lot")
+        once = rows.groupBy("h", "lot", "e").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+        w, n = Window.partitionBy("h", "lot").orderBy("n"), F.col("n").cast("long")
+        fits = (self.den * F.lag(n).over(w) >= self.num * n) | (self.den * n >= self.num * F.lead(n).over(w)) | (F.col("lot") > 0)
         return materialize(once.withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits").drop("fits"), "lists")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -356,10 +368,14 @@ class _Join:
 
         At most one pair an entity, after the length, positional and suffix filters. Dense groups so link to few centres.
         """
-        w = Window.partitionBy("h").orderBy("pos", "n", "e")
+        w = Window.partitionBy("h", "lot").orderBy("pos", "n", "e")
         before = F.lag(F.struct("e", "n", "pos")).over(w)
         first = F.first(F.struct("e", "n", "pos")).over(w)
-        rows = lists.select("e", "n", "pos", F.array_distinct(F.array(before, first)).alias("o")).where(F.col("o")[0].isNotNull())
+        rows = lists.select("e", "n", "pos", "h", "lot", F.array_distinct(F.array(before, first)).alias("o"))
+        # the lots of a hot list meet through its first entity of all
+        hot = lists.where("lot > 0")
+        heads = hot.groupBy("h").agg(F.min(F.struct("pos", "n", "e")).alias("f")).select("h", F.array(F.struct("f.e", "f.n", "f.pos")).alias("o"))
+        rows = rows.select("e", "n", "pos", "o").unionByName(hot.join(heads, "h").select("e", "n", "pos", "o")).select("e", "n", "pos", F.filter("o", lambda x: x.isNotNull()).alias("o"))
         rows = rows.select("e", "n", "pos", F.explode("o").alias("o")).select("e", "n", "pos", F.col("o.e").alias("f"), F.col("o.n").alias("m"), F.col("o.pos").alias("at"))
         met = rows.where("e <> f").where(_sure({"n": "m", "pos": "at"}, self.num, self.den)).groupBy("e", "f", "n", "m").agg(F.count("*").alias("k"))
         met = met.join(self.cells, "e").join(self.cells.select(F.col("e").alias("f"), F.col("cells").alias("other")), "f")
@@ -373,8 +389,9 @@ class _Join:
         A long list is dealt out by pairs of parts, so that no task gets more than two parts at once.
         """
         of = self.entities.join(components, "node", "left").groupBy(F.col("lo").alias("e")).agg(F.min(F.coalesce("component", "node")).alias("comp"))
-        w = Window.partitionBy("h")
-        rows = lists.join(of, "e").withColumns({"mixed": F.min("comp").over(w) != F.max("comp").over(w), "parts": F.ceil(F.count("*").over(w) / LIST_ROWS)}).where("mixed")
+        rows = lists.join(of, "e")
+        size = rows.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / LIST_ROWS).alias("parts")).where("low <> high").select("h", "parts")
+        rows = rows.join(size, "h")
         rows = rows.withColumn("blk", F.expr("pmod(xxhash64(e), parts)")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         part = F.xxhash64("h", F.least("blk", "t"), F.greatest("blk", "t"))
         rows = rows.join(self.signatures, "e").select(part.alias("h"), "e", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "comp", "blk", (F.col("blk") == F.col("t")).alias("diagonal"), "cells", "bitmap")

@@ -123,6 +123,24 @@ def test_jaccard_second_round(spark):
         assert got == sorted(brute_components(rows, 3, percent), key=repr)
 
 
+def test_jaccard_hot_lists(spark, docs, rows, monkeypatch):
+    """Lists dealt to lots, and a sketch of another size, give the same components."""
+    monkeypatch.setattr(jaccard, "HOT_TEXTS", 3)
+    monkeypatch.setattr(jaccard, "BITS_ROWS", 16)
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 4)
+    got = collected(jaccard.ngram_jaccard_join(docs, 3, 90), "doc_id", "n_shingles", "component_id")
+    assert [r for r in got if r[0] is not None] == sorted((r for r in brute_components(rows, 3, 90) if r[0] is not None), key=repr)
+    rng = np.random.default_rng(3)
+    base, near = [f"w{x}" for x in rng.integers(0, 10**6, 200)], []
+    for k in range(60):  # all near one text, less near each other
+        words = list(base)
+        for x in rng.integers(0, 200, 3):
+            words[x] = f"x{k}"
+        near.append((k, " ".join(words)))
+    table = spark.createDataFrame(near, "doc_id long, text string").repartition(5)
+    assert collected(jaccard.ngram_jaccard_join(table, 3, 90), "doc_id", "n_shingles", "component_id") == sorted(brute_components(near, 3, 90), key=repr)
+
+
 def test_jaccard_empty(empty):
     assert jaccard.ngram_jaccard_join(empty).count() == 0
 
