@@ -369,6 +369,33 @@ def htm_07_label_texts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, "|").alias("texts"))
 
 
+@query("SELECT event_id, CAST(unnest([0, 1, 2]) AS BIGINT) AS block, CAST(unnest([user_id, event_id, 7]) AS BIGINT) AS k FROM events")
+def src_08_all_blocks(spark, sf_dir):
+    """Items of every JSON block of a page, of each kind of block."""
+    e = table(spark, sf_dir, "events")
+    block = lambda kind, value: F.concat(F.lit(f'<script {kind}>{{"list": [{{"k": '), value, F.lit("}]}</script><script>var x;</script>"))
+    page = F.concat(block('id="__NEXT_DATA__"', F.col("user_id")), block('type="application/json"', F.col("event_id")), block('type="application/ld+json"', F.lit(7)))
+    blocks = e.select("event_id", F.posexplode(json_tables.embedded_scripts(page)).alias("block", "body"))
+    rows = json_tables.explode_items(blocks, "body", {"k": ("k",)}, ["event_id", "block"])
+    return rows.select("event_id", F.col("block").cast("long").alias("block"), F.col("k").cast("long").alias("k"))
+
+
+@query("""SELECT page_id, '/house/' || page_id AS href, 'link' AS text, 'before link behind' AS parent FROM pages UNION ALL SELECT page_id, '/house/2', 'two', 'two' FROM pages""")
+def htm_01_parent_texts(spark, sf_dir):
+    """Links of one kind with their text and that of the element around them."""
+    page = F.concat(F.lit('<p>before <a href="/house/'), "page_id", F.lit('"><b>link</b></a> behind</p><li><a href="/house/2">two</a></li><a href="/x">x</a>'))
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(html_pages.anchors(page, "^/house/")).alias("a"))
+    return found.select("page_id", "a.*")
+
+
+@query("SELECT page_id, 'a' || page_id || ',b' AS ids, 2 AS n_scripts FROM pages")
+def htm_09_element_ids(spark, sf_dir):
+    """Ids of a page's elements, each once, and its scripts."""
+    page = F.concat(F.lit("<p id=\"b\"></p><div class='x' id='a"), "page_id", F.lit("'></div><i id=\"b\"></i><script></script><SCRIPT src='y'></SCRIPT>"))
+    report = html_pages.page_report(page)
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(report["element_ids"], ",").alias("ids"), report["n_scripts"].alias("n_scripts"))
+
+
 # order
 
 

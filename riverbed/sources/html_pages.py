@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riverbed.functions.numbers import floor_of
 from riverbed.functions.text import collapse_spaces, strip_badges
 
-ANCHORS = "array<struct<href:string,text:string>>"
+ANCHORS = "array<struct<href:string,text:string,parent:string>>"
 CARDS = "array<struct<id:string,text:string>>"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -55,7 +55,7 @@ def _links(node, pattern: re.Pattern) -> set[str]:
 
 
 def anchors(html, href_pattern: str = ".") -> Column:
-    """Links whose address matches, with their text."""
+    """Links whose address matches, with their text and that of the element around them."""
 
     @F.pandas_udf(ANCHORS)
     def found(pages: pd.Series) -> pd.Series:
@@ -63,7 +63,7 @@ def anchors(html, href_pattern: str = ".") -> Column:
         for page in pages:
             tree = _Tree()
             tree.feed(page or "")
-            out.append([{"href": a[1]["href"], "text": _text(a)} for a in tree.anchors if wanted.search(a[1]["href"])])
+            out.append([{"href": a[1]["href"], "text": _text(a), "parent": _text(a[2])} for a in tree.anchors if wanted.search(a[1]["href"])])
         return pd.Series(out)
 
     return found(html)
