@@ -161,14 +161,18 @@ def line_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def drop_shared_lines(docs: DataFrame, least_docs: int = 5, least_chars: int = 40) -> DataFrame:
-    """``docs`` with the shared lines gone from ``text`` and ``n_chars`` counted anew (where there is one)."""
+    """``docs`` with the shared lines gone from ``text`` and ``n_chars`` counted anew (where there is one).
+
+    Other columns stay, whatever their names.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    others = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{k}") for k, c in enumerate(rest)]
     bitmaps = line_keep_bitmaps(rows, least_docs, least_chars)
-    keyed = _keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("rest", F.struct(*rest, F.lit(0).alias("_"), F.col("text").isNull().alias("_null"))).select("doc_id", "rest", "text"))
+    keyed = _keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("rest", F.struct(*others, F.col("text").isNull().alias("blank"))).select("doc_id", "rest", "text"))
     joined = _joined(keyed, bitmaps).select("doc_id", "rest", "text", "keep")
     kind = joined.schema["rest"].dataType.simpleString()
     made = joined.mapInArrow(_kept(False), f"doc_id long, rest {kind}, n_lines long, n_dropped long, text string")
-    text = F.when(~F.col("rest._null"), F.col("text"))
-    columns = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")} | {c: F.col(f"rest.`{c}`") for c in rest}
+    text = F.when(~F.col("rest.blank"), F.col("text"))
+    columns = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")} | {c: F.col(f"rest.c{k}") for k, c in enumerate(rest)}
     return made.select(*[columns[c].alias(c) for c in docs.columns])

@@ -589,6 +589,9 @@ def test_drop_shared_lines_keeps_columns(docs, rows, empty):
     want = sorted(((r[0], None if r[1] is None else t, r[2], None if r[1] is None else len(t)) for r, (_, _, _, t) in zip(rows, kept_text(rows), strict=True)), key=repr)
     assert collected(out, "doc_id", "text", "row", "n_chars") == want
     assert line_dedup.drop_shared_lines(empty).count() == 0
+    odd = docs.withColumnsRenamed({"row": "a.b", "h": "_", "label": "blank`x"})
+    assert line_dedup.drop_shared_lines(odd).columns == odd.columns
+    assert Counter((r["a.b"], r["text"]) for r in line_dedup.drop_shared_lines(odd).collect()) == Counter((r[2], r[1]) for r in want)
 
 
 # toxicity
