@@ -102,9 +102,9 @@ class Machine:
         out = np.full(len(first) - 1, self.bias)
         some = np.flatnonzero(np.diff(first))
         if len(some):
-            v, at = self.vectors[features], first[some]
-            sums, squares = np.add.reduceat(v, at), np.add.reduceat((v * v).sum(1), at)
-            out[some] += np.add.reduceat(self.weights[features], at) + 0.5 * ((sums**2).sum(1) - squares)
+            v, at = self.vectors.take(features, 0), first[some]
+            sums, squares = np.add.reduceat(v, at), np.add.reduceat(np.einsum("nk,nk->n", v, v), at)
+            out[some] += np.add.reduceat(self.weights.take(features), at) + 0.5 * ((sums**2).sum(1) - squares)
         return out
 
 
@@ -148,14 +148,16 @@ def fit(labels: np.ndarray, texts: list[np.ndarray], kept: np.ndarray, trust: np
             error = 1 / (1 + np.exp(-np.clip(m.logits(f, first), -30, 30))) - y[part]
             dw, dv = np.zeros(size), np.zeros((size, RANK))
             if len(f):
-                each, own, some = np.repeat(error, size_of), m.vectors[f], np.flatnonzero(size_of)
+                row, some = np.repeat(np.arange(len(part)), size_of), np.flatnonzero(size_of)
                 sums = np.zeros((len(part), RANK))
-                sums[some] = np.add.reduceat(own, first[some])
-                slope = each[:, None] * (np.repeat(sums, size_of, 0) - own)
+                sums[some] = np.add.reduceat(m.vectors.take(f, 0), first[some])
+                # slopes by slot: sort the pairs of a text and a slot by slot, add up runs
                 by = np.argsort(f.astype(np.uint16), kind="stable")
-                run = np.flatnonzero(np.concatenate([[True], f[by][1:] != f[by][:-1]]))
-                dw[f[by][run]] = np.add.reduceat(each[by], run)
-                dv[f[by][run]] = np.add.reduceat(slope[by], run)
+                f, row = f.take(by), row.take(by)
+                run = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+                each = error.take(row)
+                dw[f[run]] = np.add.reduceat(each, run)
+                dv[f[run]] = np.add.reduceat((error[:, None] * sums).take(row, 0), run) - dw[f[run]][:, None] * m.vectors[f[run]]
             share = len(part) / n
             w.step(trust * dw + share * PENALTY[0] * w.value)
             v.step(wide * dv + share * PENALTY[1] * v.value)
