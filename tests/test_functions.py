@@ -192,6 +192,24 @@ def test_attachment(spark):
     assert final == {3: ("company_match", "a11"), 13: ("review", "a13"), 1: ("unavailable", "t1")}
 
 
+def test_equal_ids_meet_anywhere(spark):
+    """Equal ids match whatever their area and road, also without an area; in a chain, which clusters need no more than."""
+    rows = [(1, "x", "s", "r1", "t", "", 1.0, 5.0), (2, "x", "s", "r2", "u", "", 9.0, 50.0), (3, "x", "s", "r1", "v", "", 1.0, None), (4, "y", "s", "r1", "w", "", 700.0, 90.0), (5, None, "s", "r9", "w", "", 1.0, 1.0), (6, None, "s", "r8", "w", "", 1.0, 1.0)]
+    df = entities.with_keys(spark.createDataFrame(rows, "ord int, id string, source string, road string, title string, address string, price double, area double"))
+    edges = entities.match_edges(df, ["road"], entities.same_property(), 0.2, ids=True)
+    assert {tuple(r) for r in edges.collect()} == {(1, 2), (2, 3)}
+    assert {r.ord: r.cluster for r in entities.clusters(df, edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+
+
+def test_similarity_only_where_it_decides(spark):
+    """The ratio is worked out for undecided pairs only, and decides them."""
+    rule = F.when(F.col("a.k") == 0, True).when(F.col("a.k") == 1, False).otherwise(F.col("ratio") >= 0.5)
+    pairs = spark.createDataFrame([((k, t), (k, "abcd")) for k in range(3) for t in ("abcx", "zzzz")], "a struct<k:int,t:string>, b struct<k:int,t:string>")
+    ratio = lambda x, y: F.when(x.isNull(), 0.0).otherwise(F.when(F.col("a.k") == 2, (F.length(F.array_join(F.array_intersect(F.split(x, ""), F.split(y, "")), "")) / 4)))
+    got = entities.undecided_last(pairs, rule, ratio, (F.col("a.t"), F.col("b.t"))).collect()
+    assert sorted((r.a.k, r.a.t, r.ratio) for r in got) == [(0, "abcx", 0.0), (0, "zzzz", 0.0), (2, "abcx", 0.75)]
+
+
 def test_over_time(spark):
     rule = lambda a, b, **x: entities.same_over_time(**x)(_pair(spark, a, b)).count() == 1
     assert rule({"address": "光復街12號", "title": "甲"}, {"address": "光復街12號", "title": "乙"})
@@ -291,6 +309,19 @@ def test_state_and_stream(spark, tmp_path):
     assert sorted(r.id for r in state.read_snapshot(spark, str(tmp_path / "out")).collect()) == ["a", "b0", "b1", "b2"]
 
 
+def test_windowed_counts(spark, tmp_path):
+    """Counts of a stream by window and key."""
+    for k, rows in enumerate(([("a", 1), ("a", 4), ("b", 12)], [("a", 45)], [("a", 2), ("b", 46)])):
+        made = spark.createDataFrame([(x, dt.datetime(2024, 1, 1, 0, n)) for x, n in rows], "kind string, ts timestamp")
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
+    stream = spark.readStream.schema("kind string, ts timestamp").parquet(str(tmp_path / "in*"))
+    counts = merge.windowed_counts(stream, "ts", ["kind"], "10 minutes", "5 minutes")
+    writer = counts.writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "out"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    found = {(r.window.start.minute, r.kind): r.n for r in spark.table("counts").collect()}
+    assert found == {(0, "a"): 3, (10, "b"): 1, (40, "a"): 1, (40, "b"): 1}
+
+
 def test_pairs_of_large_block(spark):
     rows = spark.createDataFrame([(k, "hot", k * 0.25) for k in range(200)] + [(900, "hot", None)], "ord int, road string, area double")
     got = {(r.a.ord, r.b.ord) for r in joins.block_pairs(rows, ["road"], "ord", {"area": 0.5}).collect()}
