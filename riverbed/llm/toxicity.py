@@ -28,6 +28,8 @@ STEPS, EPOCHS, BATCH, RATE, PENALTY = 500, 15, 256, 0.05, (0.3, 5.0)
 #: Standard deviations of a slot's toxic share that count as chance, and those beyond that make it wholly trusted; the trust
 #: of a slot that all texts have.
 CHANCE, SURE, COMMON = 2.0, 8.0, 0.25
+#: Bytes of text handled at once, as each word gives several terms.
+CHUNK_BYTES = 1 << 19
 #: All bytes of ASCII that are neither letters nor digits part terms.
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -35,7 +37,7 @@ APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 def _slots(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Slots of the terms and their rows in the chunk, and the chunk's rows; a slot may come more than once."""
     data, offsets = K.buffers(text)
-    for i, j in K.chunks(offsets):
+    for i, j in K.chunks(offsets, CHUNK_BYTES):
         words = K.Words(data, offsets, i, j, APART)
         row, hashes, rows = words.row(), [words.hashes()], [words.row()]
         for n in STEMS:
@@ -60,8 +62,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slots, rows, n in _slots(batch["text"]):
             once, first = _pairs(slots, rows, n)
             toxic = np.repeat(labels[done : done + n], np.diff(first))
-            found[0] += np.bincount(once, minlength=1 << SLOT_BITS).astype(np.int32)
-            found[1] += np.bincount(once[toxic == 1], minlength=1 << SLOT_BITS).astype(np.int32)
+            np.add.at(found[0], once, 1)
+            np.add.at(found[1], once[toxic == 1], 1)
             done += n
     at = np.flatnonzero(found[0])
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), *(pa.array(np.concatenate([t, f[at].astype(np.int64)])) for t, f in zip(total, found, strict=True))], ["slot", "n", "toxic"])
