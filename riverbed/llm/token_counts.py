@@ -203,6 +203,27 @@ class PrefixCounter:
         return out
 
 
+    def fitting(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of the text, and the code points of its longest prefix of at most ``budget`` tokens.
+
+        Behind the chunk that goes over the budget, and the two behind that, in which a run of white space ends, no prefix fits any
+        more: the prefix table is made up to there.
+        """
+        n, end, done = self.count(text), len(text), 0
+        if n <= budget:
+            return n, end
+        if not self.special or not any(s in text for s in self.specials):
+            after = 0
+            for m in _CHUNK.finditer(text):
+                found = self.totals.get(m.group())
+                done += self._plain(m.group()) if found is None else found
+                after += done > budget
+                if after > 2:
+                    end = m.end()
+                    break
+        return n, int(np.flatnonzero(self.prefixes(text[:end]) <= budget)[-1])
+
+
 _COUNTERS: dict[str, PrefixCounter] = {}
 
 
@@ -256,25 +277,22 @@ def fitting_chars(prefix_steps: bytes, budget: int) -> int:
     return int(np.flatnonzero(_steps(prefix_steps) <= budget)[-1])
 
 
-def prefix_answers(docs: DataFrame, tokenizer: str, budget: int) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, fitting_chars, prefix_crc32``, read off the counts of all prefixes, which stay in the task.
+def budget_answers(docs: DataFrame, tokenizer: str, budget: int) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, fitting_chars``: counts, and the code points of the longest prefix of at most ``budget`` tokens.
 
-    ``fitting_chars``: code points of the longest prefix of at most ``budget`` tokens; ``prefix_crc32``: of the counts of the
-    prefixes of 0, 1, 2 ... code points as little-endian 32-bit numbers. Texts as in :func:`token_counts`.
+    Both are read off the counts of prefixes; nothing is encoded again. Texts as in :func:`token_counts`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = counter(tokenizer)
         for batch in batches:
-            rows = []
-            for text in batch["text"].to_pylist():
-                x = made.prefixes(text or "")
-                rows.append((len((text or "").encode()), int(x[-1]), int(np.flatnonzero(x <= budget)[-1]), zlib.crc32(x.astype("<i4"))))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_bytes", "n_tokens", "fitting_chars", "prefix_crc32"])
+            texts = ["" if t is None else t for t in batch["text"].to_pylist()]
+            rows = [(len(t.encode()), *made.fitting(t, budget)) for t in texts]
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_bytes", "n_tokens", "fitting_chars"])
 
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, fitting_chars long, prefix_crc32 long")
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, fitting_chars long")
 
 
 def within_budget(docs: DataFrame, tokenizer: str, budget: int) -> DataFrame:
@@ -284,9 +302,9 @@ def within_budget(docs: DataFrame, tokenizer: str, budget: int) -> DataFrame:
         made = counter(tokenizer)
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"].to_pylist()]
-            tables = [made.prefixes(t) for t in texts]
-            fit = [int(np.flatnonzero(x <= budget)[-1]) for x in tables]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([int(x[-1]) for x in tables], pa.int64()), pa.array(fit, pa.int64()), pa.array([t[:k] for t, k in zip(texts, fit, strict=True)], pa.string())], ["doc_id", "n_tokens", "fitting_chars", "text"])
+            found = [made.fitting(t, budget) for t in texts]
+            fit = [k for _, k in found]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([n for n, _ in found], pa.int64()), pa.array(fit, pa.int64()), pa.array([t[:k] for t, k in zip(texts, fit, strict=True)], pa.string())], ["doc_id", "n_tokens", "fitting_chars", "text"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_tokens long, fitting_chars long, text string")

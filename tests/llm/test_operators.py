@@ -746,5 +746,8 @@ def test_token_count_query(spark, rows, tmp_path):
         t = texts[r.doc_id] or ""
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), count(t), count(t) > 512)
         assert count(t[: r.fitting_chars]) <= 512 and all(count(t[:k]) > 512 for k in range(r.fitting_chars + 1, min(len(t), r.fitting_chars + 20) + 1))
-        if len(t) < 2000:
-            assert r.prefix_crc32 == zlib.crc32(np.array([count(t[:k]) for k in range(len(t) + 1)], "<i4"))
+    made, rng = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json")), np.random.default_rng(3)
+    for _ in range(60):  # the longest prefix of all, with runs of white space and special strings about
+        t = "".join(rng.choice(["a", "word ", "  ", " \n\t", "don't", "é語", "!?", "<|endoftext|>", " x"], int(rng.integers(1, 60)), p=[0.12] * 7 + [0.04, 0.12]))
+        for budget in (0, 1, 5, 17):
+            assert made.fitting(t, budget) == (count(t), max(k for k in range(len(t) + 1) if count(t[:k]) <= budget))
