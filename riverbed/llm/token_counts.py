@@ -90,7 +90,7 @@ class PrefixCounter:
         while piece[:known] not in state:
             known -= 1
         for i in range(known + 1, len(piece) + 1):
-            for j in range(i - 1, max(-1, i - self.longest - 1), -1):  # exactly one token fits
+            for j in range(max(0, i - self.longest), i):  # exactly one token fits; in a short piece it is a long one
                 t = piece[j:i]
                 if t in tokens:
                     n, last = state[piece[:j]]
