@@ -55,5 +55,29 @@ _LINES = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), c
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
 
 
+_SHARE = "1 + (1000000000 * ({}::HUGEINT + 5)) // ({} + 5 * {})"
+_DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT lang, source, r, unnest(regexp_extract_all({_LOWER.format("t")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+ c AS (SELECT lang, source, term, count(DISTINCT r) AS docs, count(*) AS n FROM w GROUP BY ALL), k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+ v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang), g AS (SELECT DISTINCT lang, source FROM d),
+ s AS (SELECT lang, source, sum(c.n) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+ p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_SHARE.format("coalesce(c.n, 0)", "coalesce(s.n, 0)", "v.v")} AS p, {_SHARE.format("k.n", "v.n", "v.v")} AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+   LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ x AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM o)
+ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM x WHERE part = 'pair' OR rank <= 50"""
+
+_NEGATIVES = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if coalesce(isfinite(x), false)]) = len(embedding)),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank, negative_id, positive_score, negative_score
+ FROM n QUALIFY rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": _secrets(), "op2_ngram_jaccard_join": _JACCARD, "op5_benchmark_decontamination": _CONTAINED, "op8_line_dedup": _LINES}
+    return {"op11_source_divergence": _DIVERGENCE, "op13_hard_negatives": _NEGATIVES} | {"op1_secret_scans": _secrets(), "op2_ngram_jaccard_join": _JACCARD, "op5_benchmark_decontamination": _CONTAINED, "op8_line_dedup": _LINES}

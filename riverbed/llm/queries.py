@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverbed.llm import decontamination, jaccard, licenses, line_dedup, lm_scores, oracles, packing, quality, secrets, token_counts, toxicity
+from riverbed.llm import decontamination, divergence, hard_negatives, jaccard, licenses, line_dedup, lm_scores, oracles, packing, quality, secrets, token_counts, token_files, toxicity
 from riverbed.llm.common import crc32_mod, spread
 
 #: Tokens beyond which a document is over the limit.
@@ -90,8 +90,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fitting_chars")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"), least_docs=30, most_terms=50)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as files, read back, and only then counted and summed."""
+    folder = token_files.new_folder(spark)
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end=1)
+    return token_files.token_digests(token_files.read_tokens(spark, folder))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has another label than its own."""
+    wrong = F.col("vec_id") % 7 == 0
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(wrong, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     found = (op1_secret_scans, op2_ngram_jaccard_join, op3_packing, op4_lm_scoring, op5_benchmark_decontamination, op6_license_scans, op7_quality_rules, op8_line_dedup, op9_toxicity, op10_token_counts)
+    found += (op11_source_divergence, op12_token_files, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
