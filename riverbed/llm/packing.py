@@ -7,6 +7,7 @@ time. Only lengths and checksums are shuffled, never tokens.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,17 @@ CACHE_WORDS = 1 << 20
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot long"
 
 
+_MARKS = string.punctuation.encode()
+
+
+def _ends_plainly(stem: bytes) -> bool:
+    """Whether the last character is a letter or digit of the Latin blocks, behind which a mark begins another piece."""
+    if stem[-1] < 128:
+        return True  # marks are stripped
+    last = stem[-4:].decode(errors="ignore")[-1:]
+    return last < "\u0250" and last.isalpha()
+
+
 class WordEncoder:
     """Token ids of texts through a cache by word.
 
@@ -37,16 +49,32 @@ class WordEncoder:
         self.end = np.uint32(end).astype("<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encodes new words as one text, which costs far less than each by itself; offsets tell whose ids are whose."""
+        """Ids of new words. What stands behind a word's last letter or digit is encoded by itself, as the splitting has it."""
+        parts, cut = set(), []
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if 0 < len(stem) < len(w) and b"<|" not in w and _ends_plainly(stem):
+                tail = w[len(stem) :]
+                cut.append((w, stem, tail))
+                parts |= {stem, tail}
+            else:
+                parts.add(w)
+        self._encode(list(parts.difference(self.known)))
+        known = self.known
+        for w, stem, tail in cut:
+            known[w] = known[stem] + known[tail]
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Encodes words as one text, which costs far less than each by itself; offsets tell whose ids are whose."""
         for s in range(0, len(words), 2048):
             part = [w.decode() for w in words[s : s + 2048]]
             begin = np.cumsum([0, *(len(w) + 1 for w in part)])
             made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(made.ids, "<u4")
+            ids = np.array(made.ids, "<u4").tobytes()
             at = np.array([a for a, _ in made.offsets], np.int64)
-            cuts = np.searchsorted(at, begin).tolist()
+            cuts = (4 * np.searchsorted(at, begin)).tolist()
             for w, x, y in zip(words[s : s + 2048], cuts[:-1], cuts[1:], strict=True):
-                self.known[w] = ids[x:y].tobytes()
+                self.known[w] = ids[x:y]
 
     def _join(self, words: list[bytes]) -> bytes:
         return b"".join([self.known[w] for w in words])
