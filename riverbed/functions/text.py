@@ -140,9 +140,11 @@ def top_tokens(tokens: Column, k: int = 6) -> Column:
 
 def dictionary_features(c, lexicon: Lexicon = DEFAULT) -> Column:
     """Names of which any alias stands in the text. Aliases match inside longer words, as substrings do."""
-    text = canonical_terms(c, lexicon.synonyms)
-    tests = [F.when(reduce(lambda x, y: x | y, [F.contains(text, F.lit(a)) for a in aliases]), F.lit(name)) for name, aliases in lexicon.features.items()]
-    return F.array_compact(F.array(*tests))
+    def of(text: Column) -> Column:
+        tests = [F.when(reduce(lambda x, y: x | y, [F.contains(text, F.lit(a)) for a in aliases]), F.lit(name)) for name, aliases in lexicon.features.items()]
+        return F.array_compact(F.array(*tests))
+
+    return F.transform(F.array(canonical_terms(c, lexicon.synonyms)), of)[0]  # the text is made once, not for every alias
 
 
 def shared_keywords(a, b, words) -> Column:

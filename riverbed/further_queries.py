@@ -12,7 +12,7 @@ from riverbed.functions import text as T
 from riverbed.operators import entities, guards, joins, keyed, snapshots, windows
 from riverbed.operators.shared import shared_dir
 from riverbed.plans import views
-from riverbed.plans.samples import LISTINGS_SQL, listings, table
+from riverbed.plans.samples import LISTINGS_SQL, conversations, listings, table
 from riverbed.queries import query
 from riverbed.sources import html_pages, json_tables, state
 
@@ -331,14 +331,12 @@ def jsn_01_every_object(spark, sf_dir):
     return e.select("event_id", "o.path", "o.object")
 
 
-@query("SELECT event_id, 5 AS within, 2 AS shallow, 3 AS capped FROM events")
+@query("SELECT conv_id, 1 + 2 * least(count(*), 5) AS within, 1 + least(count(*), 1) AS shallow, least(1 + count(*), 3) AS capped FROM conversations GROUP BY conv_id")
 def jsn_03_04_limits(spark, sf_dir):
     """Lists are read to their limit, objects to a depth, and a report takes so many."""
-    body = F.concat(F.lit('{"x": ['), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.format_string('{"k": {"d": %d}}', k)), ","), F.lit("]}"))
-    e = table(spark, sf_dir, "events").withColumn("body", body)
-    leaves = json_tables.walk_json(F.col("body"), 16, 5)
-    shallow = F.filter(json_tables.json_objects(F.col("body"), 2, 1), lambda o: F.lit(True))
-    return e.select("event_id", F.size(leaves).alias("within"), F.size(shallow).alias("shallow"), F.size(json_tables.json_objects(F.col("body"), 16, 9, 3)).alias("capped"))
+    body = F.col("body")
+    leaves, shallow, capped = json_tables.walk_json(body, 16, 5), json_tables.json_objects(body, 2, 1), json_tables.json_objects(body, 16, 9, 3)
+    return conversations(spark, sf_dir).select("conv_id", *[F.size(x).cast("long").alias(n) for n, x in (("within", leaves), ("shallow", shallow), ("capped", capped))])
 
 
 @query("SELECT event_id, '1' AS k, CAST(user_id AS VARCHAR) AS name, event_type AS area FROM events")

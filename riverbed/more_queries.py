@@ -8,7 +8,7 @@ from riverbed.functions import numbers as N
 from riverbed.functions import text as T
 from riverbed.operators import joins, keyed, windows
 from riverbed.plans import views
-from riverbed.plans.samples import table
+from riverbed.plans.samples import conversations, table
 from riverbed.queries import query
 from riverbed.sources import html_pages, json_tables, state
 
@@ -67,9 +67,28 @@ def tim_06_07_published(spark, sf_dir):
     return e.select("event_id", N.published_rank(text).alias("rank"), N.trusted_time(F.col("event_id"), F.col("event_type"), source, ["strict"], "click").alias("trusted"))
 
 
-@query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+#: Leaves of a conversation's document, in its order, as SQL; ``i`` is the place of a turn.
+_LEAVES_SQL = """SELECT conv_id, 0 AS n, '$.id' AS path, CAST(conv_id AS VARCHAR) AS value FROM (SELECT DISTINCT conv_id FROM conversations)
+ UNION ALL SELECT conv_id, 1 + 2 * i + unnest([0, 1]), '$.turns[' || i || '].' || unnest(['role', 'text']), unnest([coalesce(role, 'null'), coalesce(text, 'null')]) FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations)"""
+
+
+def _conversation_leaves(spark, sf_dir):
+    leaves = conversations(spark, sf_dir).select("conv_id", F.posexplode(json_tables.walk_json(F.col("body"), widest=100_000)).alias("n", "x"))
+    return leaves.select("conv_id", "n", "x.path", "x.value")
+
+
+@query(_LEAVES_SQL)
+def jsn_01_conversation_leaves(spark, sf_dir):
+    """All scalar values of conversations' documents with their paths."""
+    return _conversation_leaves(spark, sf_dir)
+
+
+@query(f"""WITH l AS (SELECT conv_id, regexp_replace(path, '[0-9]+', '', 'g') AS path, value, min(n) AS n FROM ({_LEAVES_SQL}) GROUP BY ALL),
+ p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n, path, value) AS place FROM l) SELECT conv_id, path, value, place FROM p WHERE place <= 300""")
 def ded_10_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").dropDuplicates()
+    """Different (path, value) of each conversation's document, wherever in a list they stand; the first 300, as a report shows them."""
+    leaves = _conversation_leaves(spark, sf_dir).withColumn("path", F.regexp_replace("path", "[0-9]+", ""))
+    return keyed.distinct_candidates(leaves, ["conv_id"], ["path", "value"], "n", 300)
 
 
 @query("""WITH o AS (SELECT o_custkey, list(o_orderkey) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01') AS ids, list(o_orderkey) FILTER (WHERE o_orderdate < TIMESTAMP '1999-01-01') AS base FROM orders GROUP BY o_custkey),

@@ -29,20 +29,25 @@ def block_pairs(df: DataFrame, block: list[str], order: str, near: dict[str, flo
     return pairs.where(reduce(lambda x, y: x & y, tests)).select(*block, "a", "b")
 
 
-def block_matches(left: DataFrame, right: DataFrame, block: list[str], band: str, width: float, with_unknown: bool = False) -> DataFrame:
-    """Pairs ``a`` (of ``left``), ``b`` (of ``right``) of one block whose ``band`` differs by ``width`` at most.
+def band_cells(column: Column, width: float) -> Column:
+    """A row for each cell of ``width`` in which values within ``width`` of the column's may stand; none without a value."""
+    cell = F.floor(column / width)
+    return F.explode(F.when(cell.isNotNull(), F.array(cell - 1, cell, cell + 1)))
 
-    ``with_unknown`` adds the pairs of which one row has no value there; those are joined by the block alone.
+
+def block_matches(left: DataFrame, right: DataFrame, block: list[str], band: str, width: float, near: dict[str, float] | None = None) -> DataFrame:
+    """Pairs ``a`` (of ``left``), ``b`` (of ``right``) of one block whose ``band`` differs by ``width`` at most, and other columns as ``near`` says.
+
+    All of these columns split the block into cells, so that a large one is compared neighbour against neighbour only. Rows
+    without a value have no pairs.
     """
     one, two = left.select(*block, F.struct(*left.columns).alias("a")), right.select(*block, F.struct(*right.columns).alias("b"))
-    cell = lambda side: F.floor(F.col(f"{side}.{band}") / width)
-    cells = two.withColumn("_cell", F.explode(F.array(cell("b") - 1, cell("b"), cell("b") + 1)))
-    pairs = one.withColumn("_cell", cell("a")).join(cells, [*block, "_cell"]).where(F.abs(F.col(f"a.{band}") - F.col(f"b.{band}")) <= width).select(*block, "a", "b")
-    if not with_unknown:
-        return pairs
-    blank = lambda side: F.col(f"{side}.{band}").isNull()
-    without = one.where(blank("a")).join(two, block).union(one.where(~blank("a")).join(two.where(blank("b")), block))
-    return pairs.union(without.select(*block, "a", "b"))
+    limits, keys = {band: width} | (near or {}), list(block)
+    for k, (c, w) in enumerate(limits.items()):
+        one, two = one.withColumn(f"_c{k}", F.floor(F.col(f"a.{c}") / w)), two.withColumn(f"_c{k}", band_cells(F.col(f"b.{c}"), w))
+        keys.append(f"_c{k}")
+    tests = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= w for c, w in limits.items()]
+    return one.join(two, keys).where(reduce(lambda x, y: x & y, tests)).select(*block, "a", "b")
 
 
 def overlapping(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_ids: str, right_ids: str) -> DataFrame:

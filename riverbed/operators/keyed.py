@@ -74,3 +74,13 @@ def expand_members(df: DataFrame, members: str, key: str, order: list[str]) -> D
 def distinct_in_order(array: Column) -> Column:
     """Each value once, where it stands first; nulls and empty texts go."""
     return F.array_distinct(F.filter(array, lambda x: x.isNotNull() & (x.cast("string") != "")))
+
+
+def distinct_candidates(df: DataFrame, group: list[str], values: list[str], order: str, most: int = 300) -> DataFrame:
+    """``group, values, place``: the first ``most`` different ``values`` of each group, numbered from 1 as they first come by ``order``.
+
+    Repeats go before anything is sorted, and no task holds or passes on more than ``most`` rows of a group.
+    """
+    first = df.groupBy(*group, *values).agg(F.min(order).alias("_o"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("_o", *values))
+    return first.withColumn("place", place).where(F.col("place") <= most).drop("_o")

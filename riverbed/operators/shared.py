@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables of as many partitions or more aren't dealt out anew.
+FEW_PARTITIONS = 16
+
 
 def shared_dir(spark: SparkSession) -> str:
     """That of ``spark.checkpoint.dir``; on one machine (tests) a temporary one if it is unset, else it must be named."""
@@ -21,3 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, where it has fewer partitions than there are cores (as a small file has) dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_PARTITIONS) else df

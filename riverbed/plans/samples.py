@@ -46,3 +46,11 @@ def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("p_name", endings).alias("title"), address.otherwise(F.col("p_type")).alias("address"), (900 + (k % 5) * 20).cast("double").alias("price"),
         F.when(k % 17 != 0, (F.col("p_size") % 12).cast("double") + (k % 7).cast("double") * 0.05).alias("area"),
     )
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, body``: each conversation as a JSON document with its turns in order."""
+    turn = F.struct("turn", "role", "text")
+    lists = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    turns = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    return lists.select("conv_id", F.to_json(F.struct(F.col("conv_id").alias("id"), turns.alias("turns")), {"ignoreNullFields": "false"}).alias("body"))

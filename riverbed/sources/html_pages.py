@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,53 +19,88 @@ CARDS = "array<struct<id:string,text:string>>"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-class _Tree(HTMLParser):
-    """Elements as [tag, attributes, parent, children and texts]."""
+class _Page(HTMLParser):
+    """A page read once, by a stack of open elements: however deep it is nested and whatever is left unclosed.
 
-    def __init__(self):
+    Texts and links are lists in page order. An element is a range of either, so its text is a slice of the page's text and
+    what links it holds is told by two numbers. Elements are numbered in the order in which they open; 0 is the page.
+    """
+
+    def __init__(self, html: str | None, links: re.Pattern | None = None):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = ["", {}, None, []]
-        self.anchors: list[list] = []
+        self.links = links
+        self.tag, self.parent, self.texts, self.ids = [""], [-1], [], []
+        self.first_text, self.end_text, self.first_id, self.end_id = [0], [0], [0], [0]
+        self.anchors: list[tuple[int, str]] = []
+        self._stack, self._open = [0], Counter({"": 1})
+        self.feed(html or "")
+        while self._stack:
+            self._end(self._stack.pop())
+        self.text = " ".join(self.texts)
+        self._at = [0, *itertools.accumulate(len(t) + 1 for t in self.texts)]
+        #: Behind each link the place where another id comes.
+        self._same = [0] * len(self.ids)
+        for k in range(len(self.ids) - 1, -1, -1):
+            self._same[k] = self._same[k + 1] if k + 1 < len(self.ids) and self.ids[k + 1] == self.ids[k] else k + 1
+
+    def _end(self, element: int) -> None:
+        self.end_text[element], self.end_id[element] = len(self.texts), len(self.ids)
 
     def handle_starttag(self, tag, attrs):
-        node = [tag, dict(attrs), self.at, []]
-        self.at[3].append(node)
-        if tag == "a" and node[1].get("href"):
-            self.anchors.append(node)
-        if tag not in _VOID:
-            self.at = node
+        element = len(self.tag)
+        self.tag.append(tag)
+        self.parent.append(self._stack[-1])
+        for ends, n in ((self.first_text, len(self.texts)), (self.end_text, len(self.texts)), (self.first_id, len(self.ids)), (self.end_id, len(self.ids))):
+            ends.append(n)
+        if tag == "a" and (href := dict(attrs).get("href")):
+            self.anchors.append((element, href))
+            if self.links and (m := self.links.search(href)):
+                self.ids.append(m[1])
+        if tag in _VOID:
+            self._end(element)
+        else:
+            self._stack.append(element)
+            self._open[tag] += 1
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node[0] != tag:
-            node = node[2]
-        if node is not None and node[2] is not None:
-            self.at = node[2]
+        if not tag or not self._open[tag]:
+            return
+        while True:
+            element = self._stack.pop()
+            self._open[self.tag[element]] -= 1
+            self._end(element)
+            if self.tag[element] == tag:
+                return
 
     def handle_data(self, data):
-        if self.at[0] not in ("script", "style") and data.strip():
-            self.at[3].append(data.strip())
-
+        if self.tag[self._stack[-1]] not in ("script", "style") and (words := data.split()):
+            self.texts.append(" ".join(words))
 
-def _text(node) -> str:
-    return " ".join(" ".join(_text(c) if isinstance(c, list) else c for c in node[3]).split())
+    def bounds(self, element: int) -> tuple[int, int]:
+        """Where an element's text begins and ends in the page's."""
+        a, b = self.first_text[element], self.end_text[element]
+        return (self._at[a], self._at[b] - 1) if a < b else (0, 0)
 
+    def text_of(self, element: int) -> str:
+        a, b = self.bounds(element)
+        return self.text[a:b]
 
-def _links(node, pattern: re.Pattern) -> set[str]:
-    own = {m[1]} if node[0] == "a" and (m := pattern.search(node[1].get("href") or "")) else set()
-    return own.union(*(_links(c, pattern) for c in node[3] if isinstance(c, list)))
+    def only_id(self, element: int) -> str | None:
+        """The id of an element's links, if all have the same."""
+        a, b = self.first_id[element], self.end_id[element]
+        return self.ids[a] if a < b <= self._same[a] else None
 
 
-def anchors(html, href_pattern: str = ".") -> Column:
-    """Links whose address matches, with their text and that of the element around them."""
+def anchors(html, href_pattern: str = ".", longest: int | None = None) -> Column:
+    """Links whose address matches, with their text and that of the element around them, both cut to ``longest`` letters if it is given."""
 
     @F.pandas_udf(ANCHORS)
     def found(pages: pd.Series) -> pd.Series:
         wanted, out = re.compile(href_pattern), []
-        for page in pages:
-            tree = _Tree()
-            tree.feed(page or "")
-            out.append([{"href": a[1]["href"], "text": _text(a), "parent": _text(a[2])} for a in tree.anchors if wanted.search(a[1]["href"])])
+        for page in map(_Page, pages):
+            rows = ((h, page.bounds(a), page.bounds(page.parent[a])) for a, h in page.anchors if wanted.search(h))
+            cut = lambda x, page=page: page.text[x[0] : x[1] if longest is None else min(x[1], x[0] + longest)]
+            out.append([{"href": h, "text": cut(own), "parent": cut(around)} for h, own, around in rows])
         return pd.Series(out)
 
     return found(html)
@@ -75,17 +112,16 @@ def cards(html, id_pattern: str, keyword: str, highest: int = 12) -> Column:
     @F.pandas_udf(CARDS)
     def found(pages: pd.Series) -> pd.Series:
         wanted, out = re.compile(id_pattern), []
-        for page in pages:
-            tree, rows = _Tree(), {}
-            tree.feed(page or "")
-            for a in tree.anchors:
-                m, node = wanted.search(a[1]["href"]), a
+        for html in pages:
+            page, rows = _Page(html, wanted), {}
+            for element, href in page.anchors:
+                m = wanted.search(href)
                 for _ in range(highest if m and m[1] not in rows else 0):
-                    node = node[2]
-                    if node is None or _links(node, wanted) != {m[1]}:
+                    element = page.parent[element]
+                    if element < 0 or page.only_id(element) != m[1]:
                         break
-                    if keyword in (text := _text(node)):
-                        rows[m[1]] = text
+                    if page.text.find(keyword, *page.bounds(element)) >= 0:
+                        rows[m[1]] = page.text_of(element)
                         break
             out.append([{"id": k, "text": t} for k, t in rows.items()])
         return pd.Series(out)
@@ -94,23 +130,18 @@ def cards(html, id_pattern: str, keyword: str, highest: int = 12) -> Column:
 
 
 def smallest_cards(html, id_pattern: str, keywords: tuple, shortest: int = 20, longest: int = 760) -> Column:
-    """For each id of a link the shortest text of an element that has all keywords and links of no other id."""
+    """For each id of a link the shortest text (the last of equally short ones) of an element that has all keywords and links of no other id."""
 
     @F.pandas_udf(CARDS)
     def found(pages: pd.Series) -> pd.Series:
         wanted, out = re.compile(id_pattern), []
-        for page in pages:
-            tree, best = _Tree(), {}
-            tree.feed(page or "")
-            left = [tree.root]
-            while left:
-                node = left.pop()
-                left += [c for c in node[3] if isinstance(c, list)]
-                if node[0] in ("article", "li", "section", "div") and len(ids := _links(node, wanted)) == 1:
-                    text = _text(node)
-                    one = next(iter(ids))
-                    if shortest <= len(text) <= longest and all(k in text for k in keywords) and (one not in best or len(text) < len(best[one])):
-                        best[one] = text
+        for html in pages:
+            page, best = _Page(html, wanted), {}
+            for element, tag in enumerate(page.tag):
+                a, b = page.bounds(element)
+                if tag in ("article", "li", "section", "div") and shortest <= b - a <= longest and (one := page.only_id(element)) is not None:
+                    if (one not in best or b - a <= len(best[one])) and all(page.text.find(k, a, b) >= 0 for k in keywords):
+                        best[one] = page.text[a:b]
             out.append([{"id": k, "text": best[k]} for k in sorted(best)])
         return pd.Series(out)
 
@@ -123,16 +154,14 @@ def label_texts(html, label: str, longest: int = 240, most: int = 40) -> Column:
     @F.pandas_udf("array<string>")
     def found(pages: pd.Series) -> pd.Series:
         wanted, out = re.compile(label), []
-        for page in pages:
-            tree, texts, left = _Tree(), {}, []
-            tree.feed(page or "")
-            left = [tree.root]
-            while left and len(texts) < most:
-                node = left.pop()
-                left += [c for c in reversed(node[3]) if isinstance(c, list)]
-                text = _text(node) if node[0] else ""
-                if text and len(text) <= longest and wanted.search(text):
+        for page in map(_Page, pages):
+            texts: dict[str, None] = {}
+            for element in range(1, len(page.tag)):
+                a, b = page.bounds(element)
+                if 0 < b - a <= longest and wanted.search(text := page.text[a:b]):
                     texts.setdefault(text)
+                    if len(texts) == most:
+                        break
             out.append(list(texts))
         return pd.Series(out)
 

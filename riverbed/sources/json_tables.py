@@ -49,44 +49,153 @@ def embedded_scripts(html, kinds=("__NEXT_DATA__", "application/json", "applicat
     return F.regexp_extract_all(html, F.lit(rf"(?is)<script[^>]*(?:{'|'.join(kinds)})[^>]*>(.*?)</script>"), F.lit(1))
 
 
-def _walk(node, path: str, depth: int, deepest: int, widest: int) -> Iterator[tuple[str, str, str, int]]:
-    pairs = node.items() if isinstance(node, dict) else enumerate(node[:widest]) if isinstance(node, list) else ()
-    for key, value in pairs:
-        at = f"{path}.{key}" if isinstance(node, dict) else f"{path}[{key}]"
-        if isinstance(value, dict | list):
-            if depth < deepest:
-                yield from _walk(value, at, depth + 1, deepest, widest)
+_TOKEN = re.compile(r"""[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|true\b|false\b|null\b|NaN\b|-?Infinity\b))""", re.ASCII)
+
+
+def _deep_value(text: str):
+    """The value of a JSON text, by a stack of open objects and lists: for texts nested too deep for a recursive parser."""
+    at, n = 0, len(text.rstrip(" \t\n\r"))
+    stack: list = []  # open objects and lists
+    keys: list = []  # for each the key that waits for its value
+    expect, value = "value", None  # value; first: or an end; key; firstkey: or an end; colon; more: a comma or an end; done
+    while at < n:
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"no JSON at {at}")
+        mark, string, plain = m.groups()
+        at = m.end()
+        if mark and mark in "{[" and expect in ("value", "first"):
+            stack.append({} if mark == "{" else [])
+            keys.append(None)
+            expect = "firstkey" if mark == "{" else "first"
+            continue
+        if mark == ":" and expect == "colon":
+            expect = "value"
+            continue
+        if mark == "," and expect == "more":
+            expect = "key" if isinstance(stack[-1], dict) else "value"
+            continue
+        if string and expect in ("key", "firstkey"):
+            keys[-1], expect = json.loads(string), "colon"
+            continue
+        if mark == "}" and expect in ("firstkey", "more") and isinstance(stack[-1], dict) or mark == "]" and expect in ("first", "more") and isinstance(stack[-1], list):
+            value = stack.pop()
+            keys.pop()
+        elif (string or plain) and expect in ("value", "first"):
+            value = json.loads(string or plain)
         else:
-            yield at, str(key), value if isinstance(value, str) else json.dumps(value), depth
+            raise ValueError(f"not expected at {m.start()}")
+        if not stack:
+            expect = "done"
+        else:
+            if isinstance(stack[-1], dict):
+                stack[-1][keys[-1]] = value
+            else:
+                stack[-1].append(value)
+            expect = "more"
+    if expect != "done":
+        raise ValueError("the text ends too early")
+    return value
+
+
+def _parsed(text: str | None):
+    """A list of the text's value; of none for null, an empty text or one that isn't JSON."""
+    if not text:
+        return []
+    try:
+        try:
+            return [json.loads(text)]
+        except RecursionError:
+            return [_deep_value(text)]
+    except ValueError:
+        return []
+
+
+def _compact(node) -> str:
+    try:
+        return json.dumps(node, ensure_ascii=False, separators=(",", ":"))
+    except RecursionError:
+        pass
+    out, left = [], [(None, node)]  # pieces to write as they stand, and values
+    while left:
+        piece, value = left.pop()
+        if piece is not None:
+            out.append(piece)
+        elif isinstance(value, dict):
+            left.append(("}", None))
+            for k, (key, item) in reversed(list(enumerate(value.items()))):
+                left += [(None, item), ("," * (k > 0) + json.dumps(key, ensure_ascii=False) + ":", None)]
+            out.append("{")
+        elif isinstance(value, list):
+            left.append(("]", None))
+            for k, item in reversed(list(enumerate(value))):
+                left.append((None, item))
+                if k:
+                    left.append((",", None))
+            out.append("[")
+        else:
+            out.append(json.dumps(value, ensure_ascii=False))
+    return "".join(out)
+
+
+def _inside(node, path: str, widest: int) -> Iterator[tuple[str, str, object]]:
+    """Path, key and value of what an object or list holds, of a list the first ``widest``."""
+    if isinstance(node, dict):
+        return ((f"{path}.{k}", k, v) for k, v in node.items())
+    return ((f"{path}[{k}]", str(k), v) for k, v in enumerate(node[:widest]))
+
+
+def _walk(node, deepest: int, widest: int) -> Iterator[tuple[str, str, str, int]]:
+    """Leaves in the text's order; open objects and lists stand on a stack."""
+    left = [_inside(node, "$", widest)] if isinstance(node, dict | list) else []
+    while left:
+        for at, key, value in left[-1]:
+            if not isinstance(value, dict | list):
+                yield at, key, value if isinstance(value, str) else json.dumps(value), len(left)
+            elif len(left) < deepest:
+                left.append(_inside(value, at, widest))
+                break
+        else:
+            left.pop()
 
 
-def walk_json(body, deepest: int = 16, widest: int = 500) -> Column:
+def walk_json(body, deepest: int = 16, widest: int = 500, distinct: int | None = None) -> Column:
     """All scalar leaves of a JSON text: path, key, value and depth; none for text that isn't JSON.
 
-    ``deepest`` and ``widest`` bound the walk as the extraction rules ask; objects below or behind them aren't visited.
+    ``deepest`` and ``widest`` bound the walk as the extraction rules ask; objects below or behind them aren't visited. Texts
+    may be nested to any depth. With ``distinct`` a pair of path and value comes once, and the walk ends with so many of them.
     """
 
     @F.pandas_udf(WALKED)
     def walked(bodies: pd.Series) -> pd.Series:
         out = []
         for text in bodies:
-            try:
-                found = list(_walk(json.loads(text), "$", 1, deepest, widest)) if text else []
-            except ValueError:
-                found = []
-            out.append([{"path": p, "key": k, "value": v, "depth": d} for p, k, v, d in found])
+            rows: dict = {}
+            for node in _parsed(text):
+                for p, k, v, d in _walk(node, deepest, widest):
+                    rows.setdefault((p, v) if distinct else len(rows), {"path": p, "key": k, "value": v, "depth": d})
+                    if len(rows) == distinct:
+                        break
+            out.append(list(rows.values()))
         return pd.Series(out)
 
     return walked(body)
 
 
-def _objects(node, path: str, depth: int, deepest: int, widest: int) -> Iterator[tuple[str, str]]:
+def _objects(node, deepest: int, widest: int) -> Iterator[tuple[str, str]]:
+    """Objects in the text's order, outer ones before those inside."""
     if isinstance(node, dict):
-        yield path, json.dumps(node, ensure_ascii=False, separators=(",", ":"))
-    if depth < deepest:
-        pairs = node.items() if isinstance(node, dict) else enumerate(node[:widest]) if isinstance(node, list) else ()
-        for key, value in pairs:
-            yield from _objects(value, f"{path}.{key}" if isinstance(node, dict) else f"{path}[{key}]", depth + 1, deepest, widest)
+        yield "$", _compact(node)
+    left = [_inside(node, "$", widest)] if isinstance(node, dict | list) and deepest > 0 else []
+    while left:
+        for at, _, value in left[-1]:
+            if isinstance(value, dict):
+                yield at, _compact(value)
+            if isinstance(value, dict | list) and len(left) < deepest:
+                left.append(_inside(value, at, widest))
+                break
+        else:
+            left.pop()
 
 
 def json_objects(body, deepest: int = 16, widest: int = 500, most: int | None = None) -> Column:
@@ -94,14 +203,8 @@ def json_objects(body, deepest: int = 16, widest: int = 500, most: int | None =
 
     @F.pandas_udf("array<struct<path:string,object:string>>")
     def found(bodies: pd.Series) -> pd.Series:
-        out = []
-        for text in bodies:
-            try:
-                objects = itertools.islice(_objects(json.loads(text), "$", 0, deepest, widest), most) if text else ()
-                out.append([{"path": p, "object": o} for p, o in objects])
-            except ValueError:
-                out.append([])
-        return pd.Series(out)
+        of = lambda text: itertools.islice(itertools.chain.from_iterable(_objects(x, deepest, widest) for x in _parsed(text)), most)
+        return pd.Series([[{"path": p, "object": o} for p, o in of(text)] for text in bodies])
 
     return found(body)
 

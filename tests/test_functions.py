@@ -2,13 +2,17 @@
 
 import datetime as dt
 import itertools
+import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from riverbed.functions import numbers as N
 from riverbed.functions import text as T
-from riverbed.functions.similarity import gestalt_ratio
+from riverbed.functions.similarity import gestalt_ratio, letters, longest_common, lower_bound, upper_bound
 from riverbed.operators import entities, graph, guards, joins, keyed, snapshots, windows
 from riverbed.plans import views
 from riverbed.sources import html_pages, json_tables, state
@@ -144,7 +148,7 @@ def test_pair_rule(spark, a, b, same):
 
 def _pair(spark, a, b):
     columns = "ord long, id string, source string, road string, title string, address string, price double, area double"
-    rows = entities.with_keys(spark.createDataFrame([{"ord": k, **_listing(**x)} for k, x in enumerate((a, b))], columns))
+    rows = entities.with_title_keys(entities.with_keys(spark.createDataFrame([{"ord": k, **_listing(**x)} for k, x in enumerate((a, b))], columns)))
     one, two = (rows.where(f"ord = {k}").select(F.struct(*rows.columns).alias(x)) for k, x in enumerate("ab"))
     return one.crossJoin(two).withColumn("ratio", entities.title_ratio())
 
@@ -204,10 +208,82 @@ def test_equal_ids_meet_anywhere(spark):
 def test_similarity_only_where_it_decides(spark):
     """The ratio is worked out for undecided pairs only, and decides them."""
     rule = F.when(F.col("a.k") == 0, True).when(F.col("a.k") == 1, False).otherwise(F.col("ratio") >= 0.5)
-    pairs = spark.createDataFrame([((k, t), (k, "abcd")) for k in range(3) for t in ("abcx", "zzzz")], "a struct<k:int,t:string>, b struct<k:int,t:string>")
-    ratio = lambda x, y: F.when(x.isNull(), 0.0).otherwise(F.when(F.col("a.k") == 2, (F.length(F.array_join(F.array_intersect(F.split(x, ""), F.split(y, "")), "")) / 4)))
-    got = entities.undecided_last(pairs, rule, ratio, (F.col("a.t"), F.col("b.t"))).collect()
-    assert sorted((r.a.k, r.a.t, r.ratio) for r in got) == [(0, "abcx", 0.0), (0, "zzzz", 0.0), (2, "abcx", 0.75)]
+    pairs = spark.createDataFrame([(k, t, "abcd") for k in range(3) for t in ("axbycz", "abcx", "zzzz", "dcba")], "k int, x string, y string")
+    side = lambda c: F.struct("k", F.col(c).alias("title_key"), letters(F.col(c)).alias("title_letters"))
+    got = entities.undecided_last(pairs.select(side("x").alias("a"), side("y").alias("b")), rule, entities.Titles()).collect()
+    # abcx: its common run is enough; zzzz: no common letters; axbycz is worked out and taken, dcba worked out and refused
+    assert sorted((r.a.k, r.a.title_key, r.ratio) for r in got) == [*((0, t, 0.0) for t in ("abcx", "axbycz", "dcba", "zzzz")), (2, "abcx", 0.0), (2, "axbycz", 0.6)]
+
+
+def _titles(rng, n):
+    words = ["近捷運", "三房", "公寓", "abc", "aab", "台北", "3樓", "x", "高樓層景觀", "bba"]
+    return ["".join(rng.choices(words, k=rng.randrange(7))) for _ in range(n)]
+
+
+def test_similarity_is_within_its_bounds(spark):
+    rng = random.Random(9)
+    alphabet = ["ab", "abcdef", "甲乙丙丁", "aé😀b"]
+    texts = [("".join(rng.choices(a, k=rng.randrange(12))), "".join(rng.choices(a, k=rng.randrange(12)))) for a in alphabet for _ in range(150)]
+    texts += list(zip(_titles(rng, 300), _titles(rng, 300), strict=True)) + [("ab" * 150, "ba" * 140), ("x" * 199, "x" * 230), ("", ""), (None, "a"), ("same", "same")]
+    rows = spark.createDataFrame(texts, "x string, y string")
+    x, y = F.col("x"), F.col("y")
+    rows = rows.select(x, y, gestalt_ratio(x, y).alias("r"), lower_bound(x, y).alias("low"), upper_bound(x, y, letters(x), letters(y)).alias("high"), longest_common(x, y).alias("n"))
+    got = rows.collect()
+    assert all(r.low <= r.r <= r.high <= 1 for r in got), [r for r in got if not r.low <= r.r <= r.high][:3]
+    runs = lambda a, b: max([n for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i : i + n] in b], default=0)
+    assert all(r.n == runs(r.x, r.y) for r in got if r.x is not None and len(r.x) < 30)
+    assert sum(r.high < 0.6 for r in got) > 200 and sum(r.low >= 0.6 for r in got) > 20
+
+
+def _market(rng, n, roads=2, prices=(900.0, 901.0, 925.0, 970.0, 1040.0, 1300.0, 1700.0, None)):
+    area = lambda: rng.choice([None, *(round(20 + 0.05 * rng.randrange(30), 2) for _ in range(6))])
+    floor = lambda: rng.choice(["", "", " 3樓", " 5樓"])
+    return [(k, f"i{k}", rng.choice("st"), f"r{rng.randrange(roads)}", t + floor(), "", rng.choice(prices), area()) for k, t in enumerate(_titles(rng, n))]
+
+
+LISTING = "ord long, id string, source string, road string, title string, address string, price double, area double"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_attachment_by_bounds(spark, seed):
+    """Candidates by bounds lead to the outcomes of all pairs' similarities, and ask for few."""
+    rng = random.Random(seed)
+    rows = entities.with_keys(spark.createDataFrame(_market(rng, 120, prices=(900.0, 901.0, 925.0, 970.0)), LISTING)).cache()
+    trusted, ads = rows.where("source = 's'"), rows.where("source = 't'").withColumn("member_count", F.col("ord").cast("int") % 3)
+    every = entities.attach_candidates(trusted, ads, every=True)
+    want = {tuple(r) for r in entities.attached(every).collect()}
+    assert {tuple(r) for r in entities.attached(entities.attach_candidates(trusted, ads)).collect()} == want
+    assert {o for *_, o in want} == {"attached", "ambiguous", "review"} or len({o for *_, o in want}) == 2
+    assert entities.attach_candidates(trusted, ads).count() < every.count()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classification_by_bounds(spark, seed):
+    """The best candidates by bounds are the best of all pairs of a road."""
+    rng = random.Random(seed)
+    rows = entities.with_keys(spark.createDataFrame(_market(rng, 150), LISTING)).cache()
+    own, inventory = rows.where("source = 's'"), rows.where("source = 't'")
+    a, b = (x.select("road", F.struct(*rows.columns).alias(n)) for x, n in ((own, "a"), (inventory, "b")))
+    pairs = entities._measured(a.join(b, "road")).withColumn("ratio", entities.title_ratio()).withColumn("score", entities.inventory_score(F.col("ratio")))
+    best: dict = {}
+    for r in pairs.select("a.ord", F.col("b.ord").alias("other"), "b.id", "score", F.round("ad", 2).alias("ad"), F.round("pd", 1).alias("pd"), F.round("ratio", 3).alias("ratio"), "longest").collect():
+        if r.ord not in best or (-r.score, r.other) < (-best[r.ord].score, best[r.ord].other):
+            best[r.ord] = r
+    want = {}
+    for k in (r.ord for r in own.select("ord").collect()):
+        r, status = best.get(k), "missing"
+        if r is not None:
+            at_most = lambda x, limit: x is not None and x <= limit
+            if at_most(r.ad, 0.30) and (at_most(r.pd, 30) or r.ratio >= 0.42 or r.longest >= 4) and r.score >= 10:
+                status = "company_match"
+            elif (at_most(r.ad, 0.60) and at_most(r.pd, 150) or at_most(r.pd, 30) and (r.ratio >= 0.25 or r.longest >= 3)) and r.score >= 6:
+                status = "review"
+        shown = status != "missing"
+        want[k] = (status, r.score if shown else 0, r.id if shown else None)
+    roads = spark.createDataFrame([("r0", True), ("r1", True)], "road string, available boolean")
+    assert {r.ord: (r.status, r.score, r.candidate) for r in entities.classify(own, inventory, roads).collect()} == want
+    assert len({s for s, *_ in want.values()}) == 3
+    assert entities.inventory_pairs(own, inventory).count() < pairs.count() / 2
 
 
 def test_over_time(spark):
@@ -335,3 +411,78 @@ def test_views(spark):
     groups = spark.createDataFrame([("g", ["s"]), ("h", ["t"])], "group_id string, sources array<string>")
     compared = spark.createDataFrame([("g", "missing", "i")], "group_id string, status string, candidate string")
     assert [(r.group_id, r.status, r.candidate) for r in views.group_view(groups, compared, source="s").collect()] == [("g", "missing", None)]
+
+
+def test_deep_and_broken_pages(spark):
+    """Unclosed and deeply nested tags, end tags without a beginning, in time linear in the page."""
+    deep = "<div>" * 100_000 + '<section><a href="/house/7">seven</a> 12坪</section>' + "</b>" * 50_000
+    lists = "".join(f'<li><p><a href="/house/{k}">n{k}</a> 9坪</p>' for k in range(3_000))
+    table = spark.createDataFrame([(0, deep), (1, lists), (2, "</p></div>text<a href='/house/1'>x"), (3, "<li>" * 1500)], "k int, html string")
+    began = time.time()
+    found = {r.k: r.a for r in table.select("k", html_pages.anchors(F.col("html"), "/house/", 40).alias("a")).collect()}
+    assert [(a.text, a.parent) for a in found[0]] == [("seven", "seven 12坪")] and len(found[1]) == 3000 and [(a.text, a.parent) for a in found[2]] == [("x", "text x")] and found[3] == []
+    small = {r.k: [tuple(c) for c in r.c] for r in table.select("k", html_pages.smallest_cards(F.col("html"), r"/house/(\d+)", ("坪",), 2).alias("c")).collect()}
+    # each list item holds those behind it, so only the last has one id; paragraphs close and don't count
+    assert small == {0: [("7", "seven 12坪")], 1: [("2999", "n2999 9坪")], 2: [], 3: []}
+    near = {r.k: [tuple(c) for c in r.c] for r in table.select("k", html_pages.cards(F.col("html"), r"/house/(\d+)", "坪").alias("c")).collect()}
+    assert near[0] == [("7", "seven 12坪")] and len(near[1]) == 3000 and near[1][5] == ("5", "n5 9坪")
+    assert {r.k: r.t for r in table.select("k", html_pages.label_texts(F.col("html"), "seven").alias("t")).collect()}[0] == ["seven 12坪", "seven"]
+    assert time.time() - began < 60
+
+
+def test_page_elements_are_ranges():
+    """Text and ids of each element as a plain tree gives them."""
+    rng = random.Random(6)
+    tags = ["div", "li", "p", "b", "br", "a", "script"]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(60)):
+            t = rng.choice(tags)
+            parts.append(rng.choice([f"<{t}>", f"</{t}>", f" w{rng.randrange(9)}\n", f'<a href="/h/{rng.randrange(3)}">', "</a>"]))
+        html = "".join(parts)
+        page = html_pages._Page(html, re.compile(r"/h/(\d)"))
+        inside: dict = {k: [] for k in range(len(page.tag))}
+        kids = {k: [c for c in inside if page.parent[c] == k] for k in inside}
+        for k in sorted(inside, reverse=True):
+            a, b = page.bounds(k)
+            assert page.text[a:b] == page.text_of(k) and all(a <= x <= y <= b or x == y for x, y in (page.bounds(c) for c in kids[k]))
+            ids = set(page.ids[page.first_id[k] : page.end_id[k]])
+            assert page.only_id(k) == (ids.pop() if len(ids) == 1 else None)
+        words = " ".join(w for w in re.sub(r"<script>[^<]*|<[^>]*>", " ", html).split())
+        assert "script" in html or page.text_of(0) == words
+
+
+def test_deep_json(spark):
+    deep = 100_000
+    bodies = ["[" * deep + "]" * deep, '{"a":' * deep + "1" + "}" * deep, "[" * deep, '{"a": [1, {"b": "x\\u00e9", "c": [true, null, -1.5e3]}], "a2": {}}', "nul", '{"a": 1, "a": 2}', "[1,]", None, "", '"s"', '{"k": "' + "y" * 200_000 + '"}']
+    table = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
+    leaves = {r.k: [tuple(x) for x in r.x] for r in table.select("k", json_tables.walk_json(F.col("body")).alias("x")).collect()}
+    assert leaves[0] == leaves[1] == leaves[2] == leaves[4] == leaves[6] == leaves[7] == leaves[8] == leaves[9] == []
+    assert leaves[3] == [("$.a[0]", "0", "1", 2), ("$.a[1].b", "b", "xé", 3), ("$.a[1].c[0]", "0", "true", 4), ("$.a[1].c[1]", "1", "null", 4), ("$.a[1].c[2]", "2", "-1500.0", 4)]
+    assert leaves[5] == [("$.a", "a", "2", 1)] and len(leaves[10][0][2]) == 200_000
+    found = {r.k: [(x.path, x.object) for x in r.x] for r in table.where("k in (1, 3)").select("k", json_tables.json_objects(F.col("body"), 3).alias("x")).collect()}
+    assert [p for p, _ in found[1]] == ["$", "$.a", "$.a.a", "$.a.a.a"] and found[1][0][1] == bodies[1]
+    assert [p for p, _ in found[3]] == ["$", "$.a[1]", "$.a2"] and found[3][1][1] == '{"b":"xé","c":[true,null,-1500.0]}'
+    value = json_tables._deep_value(bodies[1])
+    for _ in range(deep):
+        value = value["a"]
+    assert value == 1
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, 2.50, -0, 1e5, "q\\"\\n", {"b": {}}, []], "c": NaN}', " [ ] ", "true", '"x"', "12", '{"a": {"a": 1, "a": [2]}}'])
+def test_stack_parser_reads_what_the_plain_one_reads(text):
+    assert repr(json_tables._deep_value(text)) == repr(json.loads(text))
+
+
+@pytest.mark.parametrize("text", ["", "[", "]", "[1 2]", "{1: 2}", '{"a" 1}', '{"a":}', "[1,]", '{"a":1,}', "[01]", "tru", "1 2", "[}", '{"a":1]', '["\x01"]', "[1],", ",", "--1", "[1.]"])
+def test_stack_parser_refuses_what_the_plain_one_refuses(text):
+    for parse in (json.loads, json_tables._deep_value):
+        with pytest.raises(ValueError):
+            parse(text)
+
+
+def test_distinct_candidates(spark):
+    rows = spark.createDataFrame([("g", f"v{k % 400}", k) for k in range(2000)] + [("h", None, 5), ("h", None, 3), ("h", "x", 4)], "g string, v string, n int")
+    got = [tuple(r) for r in keyed.distinct_candidates(rows, ["g"], ["v"], "n", 300).collect()]
+    assert sorted(r for r in got if r[0] == "g") == sorted(("g", f"v{k}", k + 1) for k in range(300))
+    assert {r for r in got if r[0] == "h"} == {("h", None, 1), ("h", "x", 2)}
