@@ -85,9 +85,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, and how much of each text fits into the limit."""
+    """Counts, how much of each text fits into the limit, and a digest of the counts of all its prefixes."""
     counts = token_counts.budget_answers(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fitting_chars")
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fitting_chars", "prefix_crc32")
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
