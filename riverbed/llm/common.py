@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SMALL_PARTITIONS) else df
 
 
-_TABLES: list[str] = []
+#: Tables of the run at hand; runs in other threads have lists of their own.
+_TABLES: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -31,21 +33,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _TABLES.append(path)
+    if (tables := _TABLES.get()) is not None:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def tables_for(spark: SparkSession) -> Iterator[None]:
     """Tables that are materialized inside go when it ends; what is needed of them must have been written by then."""
-    before = len(_TABLES)
+    made: list[str] = []
+    token = _TABLES.set(made)
     try:
         yield
     finally:
-        for path in _TABLES[before:]:
+        _TABLES.reset(token)
+        for path in made:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        del _TABLES[before:]
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whatever it holds, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def ascii_lower(text):

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,9 +79,15 @@ TEMPLATES = (
  software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and
  this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software
  in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object
- code generated by a source language processor"""),
-    ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
- distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""),
+ code generated by a source language processor the software is provided as is without warranty of any kind express or implied including but not limited
+ to the warranties of merchantability fitness for a particular purpose title and non infringement in no event shall the copyright holders or anyone
+ distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with
+ the software or the use or other dealings in the software"""),
+    ("unlicense", f"""this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+ distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in
+ jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public
+ domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an
+ overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law {MIT_DISCLAIMER}"""),
     ("cc-by", "licensed under [[a]] [[the]] creative commons attribution [[4 0]] [[international]] license"),
     ("cc-by-nc", "licensed under cc by nc [[{{1}} 0]]"),
     ("cc-by-sa", "licensed under cc by sa [[{{1}} 0]]"),
@@ -89,6 +96,8 @@ TEMPLATES = (
 #: ASCII bytes that part words: all but digits and (lower-cased) letters.
 APART = np.array([b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) for b in range(256)])
 ANY = -2
+#: Marks beyond ASCII that part words for the templates: quotation marks, dashes, dots, signs of copyright, blanks. The base phrases see them as letters.
+MARKS = "[\u2010-\u2015\u2018-\u201f\u2022\u2026\u2032\u2033\u2039\u203a\u2122\u00a0\u00a9\u00ab\u00ae\u00b7\u00bb\u3000\u300c\u300d\u2002-\u200b\ufeff]"
 
 
 class Automaton:
@@ -196,12 +205,25 @@ class Scanner:
 _SCANNERS: list[Scanner] = []
 
 
+def _matched(scanner: Scanner, first: np.ndarray, tokens: np.ndarray) -> dict[int, tuple[set[str], float]]:
+    """Labels and share of each row in which a template could begin."""
+    tried = np.searchsorted(first, np.flatnonzero(np.isin(tokens, sorted(scanner.begins))), "right") - 1
+    return {r: scanner.matches(tokens[first[r] : first[r + 1]].tolist()) for r in set(tried.tolist())}
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not _SCANNERS:
         _SCANNERS.append(Scanner())
     scanner = _SCANNERS[0]
-    starts = sorted(scanner.begins)
     for batch in batches:
+        # of rows with marks beyond ASCII the method reads a text without them
+        marked = np.flatnonzero(pc.match_substring_regex(batch["text"], MARKS).fill_null(False).to_numpy(zero_copy_only=False))
+        read: dict[int, tuple[set[str], float]] = {}
+        data, offsets = K.buffers(pc.replace_substring_regex(batch["text"].take(pa.array(marked)), MARKS, " "))
+        for i, j in K.chunks(offsets):
+            words = K.Words(data, offsets, i, j, APART)
+            found = _matched(scanner, words.first, scanner.tokens(words))
+            read |= {int(marked[i + r]): found.get(r, (set(), 0.0)) for r in range(j - i)}
         data, offsets = K.buffers(batch["text"])
         rows: list[tuple] = []
         for i, j in K.chunks(offsets):
@@ -211,10 +233,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x, label in scanner.places(tokens, first):
                 r = int(np.searchsorted(first, x, "right")) - 1
                 found.setdefault(r, []).append((x - int(first[r]), label))
-            tried = set((np.searchsorted(first, np.flatnonzero(np.isin(tokens, starts)), "right") - 1).tolist())
+            plain = _matched(scanner, first, tokens)
             for r in range(j - i):
                 base = found.get(r, [])
-                labels, score = scanner.matches(tokens[first[r] : first[r + 1]].tolist()) if r in tried else (set(), 0.0)
+                labels, score = read[i + r] if i + r in read else plain.get(r, (set(), 0.0))
                 own = {label for _, label in base}
                 at = [x for x, _ in base]
                 rows.append((int(first[r + 1] - first[r]), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(own)), ",".join(sorted(own | labels)), 1.0 if own else score))
@@ -228,7 +250,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Words are runs without ASCII characters other than digits and letters, A-Z lower-cased. ``n_base`` counts the places
     of the base phrases; ``score`` is 1 where a template or phrase is there, else the largest share of a template's
-    mandatory words that stand in order at one place. A null text is empty, an empty text has no labels. Repeated rows each
+    mandatory words that stand in order at one place. Templates read typographic quotation marks, dashes and the like as blanks,
+    base phrases as letters. A null text is empty, an empty text has no labels. Repeated rows each
     give a row, a null ``doc_id`` is a value like another, other columns are ignored.
     """
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))

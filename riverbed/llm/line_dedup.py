@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverbed.llm.common import materialize
+from riverbed.llm.common import materialize, quoted
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 _LINE = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n_lines", pa.int32()), ("pos", pa.int32())])
@@ -167,7 +167,7 @@ def drop_shared_lines(docs: DataFrame, least_docs: int = 5, least_chars: int = 4
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    others = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{k}") for k, c in enumerate(rest)]
+    others = [F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(rest)]
     bitmaps = line_keep_bitmaps(rows, least_docs, least_chars)
     keyed = _keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("rest", F.struct(*others, F.col("text").isNull().alias("blank"))).select("doc_id", "rest", "text"))
     joined = _joined(keyed, bitmaps).select("doc_id", "rest", "text", "keep")

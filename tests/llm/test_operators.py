@@ -750,4 +750,54 @@ def test_token_count_query(spark, rows, tmp_path):
     for _ in range(60):  # the longest prefix of all, with runs of white space and special strings about
         t = "".join(rng.choice(["a", "word ", "  ", " \n\t", "don't", "é語", "!?", "<|endoftext|>", " x"], int(rng.integers(1, 60)), p=[0.12] * 7 + [0.04, 0.12]))
         for budget in (0, 1, 5, 17):
-            assert made.fitting(t, budget) == (count(t), max(k for k in range(len(t) + 1) if count(t[:k]) <= budget))
+            table = made.prefixes(t)
+            assert (table[-1], token_counts.longest_fitting(table, budget)) == (count(t), max(k for k in range(len(t) + 1) if count(t[:k]) <= budget))
+
+
+def test_digests_of_all_prefixes(spark, tmp_path):
+    """The query's digest is that of the library's counts of every prefix of every text."""
+    from riverbed.llm import queries
+    from tests.test_queries import SF
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [(r["doc_id"], (r["text"] or "")[:400]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts += [(10_000, "a<|endoftext|>"), (10_001, "<|endoftext|><|endoftext|> <|endo <|endoftext|"), (10_002, "x  \n\n <|endoftext|>  we'll don't'll 'r"), (10_003, ""), (10_004, "é語\u3000\u3000 \U0001f600" * 30)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.prefix_crc32 for r in queries.op10_token_counts(spark, str(tmp_path)).collect()}
+    for d, t in texts:
+        counts = [len(e.ids) for e in tokenizer.encode_batch([t[:k] for k in range(len(t) + 1)], add_special_tokens=False)]
+        assert got[d] == zlib.crc32(np.array(counts, "<i4").tobytes()), t
+
+
+def test_special_strings_behind_a_long_run():
+    """A special string behind half a million letters costs no more than the letters."""
+    import time
+
+    made = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    run, began = "q" * 250_000 + "z" * 250_000, time.time()
+    table = made.prefixes(run + "<|endoftext|>" + "ab")
+    assert time.time() - began < 60
+    assert table[-1] == made.prefixes(run)[-1] + 1 + made.count("ab") and table[len(run) + 5] == made.prefixes(run[-1000:] + "<|end")[-1] - made.prefixes(run[-1000:])[-1] + table[len(run)]
+
+
+def test_typographic_licenses(spark):
+    """Curly quotes, dashes and signs don't hide a license; a changed mandatory word does; base columns see the text as it is."""
+    fill = lambda m: re.sub(r"\[\[|\]\]", " ", re.sub(r"\{\{\d+\}\}", "the authors", m))
+    by = defaultdict(list)
+    for label, markup in licenses.TEMPLATES:
+        by[label].append(" ".join(fill(markup).split()))
+    plain = {k: max(v, key=len) for k, v in by.items()}
+    curly = {k: "\u00a9 2020\u2014" + v.replace("provided as is", "provided \u201cas is\u201d,").replace("express or implied", "express\u00a0or\u2009implied") for k, v in plain.items() if "provided as is" in v}
+    assert {"mit", "isc", "0bsd", "zlib", "unlicense", "bsl-1"} <= set(curly)
+    broken = {k: v.replace("\u201cas is\u201d", "\u201cas was\u201d") for k, v in curly.items()}
+    quoted = "under the \u201cmit license\u201d"
+    rows = [(n, t) for kind in (plain, curly, broken) for n, t in kind.items()] + [("quoted", quoted), (None, None)]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    at = len(plain)
+    assert all(n in got[k].labels.split(",") for k, (n, _) in enumerate(rows[: at + len(curly)]))
+    assert not any(n in got[k + at + len(curly)].labels.split(",") for k, n in enumerate(broken))
+    # the base phrase isn't there, as the marks belong to words; the method reads none either
+    assert (got[len(rows) - 2].n_base, got[len(rows) - 2].n_words) == (0, 4) and got[len(rows) - 1].n_words == 0
+    want = [len([w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))]) for _, t in rows]
+    assert [got[k].n_words for k in range(len(rows))] == want

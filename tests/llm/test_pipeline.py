@@ -69,6 +69,9 @@ def test_stages_keep_columns_and_take_anything(spark, folder, docs, rows, empty)
         made = stage(spark, docs, at)
         assert made.columns == docs.columns and 0 < made.count() <= len(rows)
         assert stage(spark, empty, at).count() == 0
+        odd = docs.withColumnsRenamed({"row": "a.b", "h": "c`d e", "label": "component_id"})
+        again = stage(spark, odd, at)
+        assert again.columns == odd.columns and again.count() == made.count()
     assert corpus_pipeline.STAGES[-1][1](spark, empty, at).count() == 0
 
 
