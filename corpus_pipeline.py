@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverbed.llm import decontamination, jaccard, line_dedup, packing, queries, toxicity
-from riverbed.llm.common import materialize, tables_for
+from riverbed.llm.common import materialize, quoted, tables_for
 from riverbed.operators.shared import shared_dir
 
 
@@ -30,7 +30,7 @@ def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
 def _without(docs: DataFrame, key: str, gone: DataFrame, columns: list[str]) -> DataFrame:
     """The rows whose ``key`` isn't among the ``doc_id`` of ``gone``."""
     gone = materialize(gone.select(F.col("doc_id").alias(key)).distinct(), "gone")
-    return docs.join(gone, key, "left_anti").select(columns)
+    return docs.join(gone, key, "left_anti").select([F.col(quoted(c)) for c in columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
