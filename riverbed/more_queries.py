@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riverbed.functions import numbers as N
 from riverbed.functions import text as T
-from riverbed.operators import joins, keyed, windows
+from riverbed.operators import history, joins, keyed, windows
+from riverbed.operators.shared import shared_dir
 from riverbed.plans import views
 from riverbed.plans.samples import conversations, table
 from riverbed.queries import query
@@ -233,12 +236,41 @@ def snk_04_report(spark, sf_dir):
     return state.report_lines(o, F.concat_ws(" ", "o_orderkey", "o_orderstatus"), [F.desc("o_totalprice"), "o_orderkey"])
 
 
+#: Users of each day as snapshots: the last of their kinds of events.
+_DAILY_SQL = "SELECT user_id, max(event_type) AS kind, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) * 86400 AS at FROM events GROUP BY user_id, CAST(ts AS DATE)"
+
+
+def _day(column):
+    return F.datediff(F.to_date(column), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+
+
+def _daily(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id", _day("ts").alias("at")).agg(F.max("event_type").alias("kind"))
+
+
 @query("SELECT event_id, user_id FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-20')")
 def src_03_previous_version(spark, sf_dir):
-    """Rows of the latest run before a given one."""
-    e = table(spark, sf_dir, "events").withColumn("run", F.to_date("ts"))
-    last = e.where("run < date '2024-01-20'").agg(F.max("run").alias("run"))
-    return e.join(F.broadcast(last), "run").select("event_id", "user_id")
+    """Rows of the latest run before a given one, read from the snapshots that were written."""
+    path = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").select("event_id", "user_id", F.concat(F.lit("run "), F.to_date("ts").cast("string")).alias("run")).write.partitionBy("run").parquet(path)
+    return state.read_snapshot(spark, path, "2024-01-20").select("event_id", "user_id")
+
+
+@query(f"""WITH s AS ({_DAILY_SQL}), r AS (SELECT at, row_number() OVER (ORDER BY at) AS run, lead(at) OVER (ORDER BY at) AS next FROM (SELECT DISTINCT at FROM s)),
+ j AS (SELECT s.*, run, next, CASE WHEN lag(run) OVER w = run - 1 AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS new FROM s JOIN r USING (at) WINDOW w AS (PARTITION BY user_id ORDER BY run)),
+ n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY run) AS n FROM j)
+ SELECT user_id, min(kind) AS kind, CAST(min(at) AS BIGINT) AS valid_from, CAST(arg_max_null(next, run) AS BIGINT) AS valid_to FROM n GROUP BY user_id, n""")
+def src_03_validity_intervals(spark, sf_dir):
+    """All daily snapshots as intervals: a user's row anew only where it changes, goes or comes back."""
+    return history.validity_intervals(_daily(spark, sf_dir), ["user_id"], "at", ["kind"])
+
+
+@query(f"""WITH s AS ({_DAILY_SQL}) SELECT event_id, kind, count(*) AS users FROM events e JOIN s ON s.at = date_diff('day', DATE '1970-01-01', CAST(e.ts AS DATE)) * 86400 WHERE event_id % 10 = 3 GROUP BY event_id, kind""")
+def win_05_states_at(spark, sf_dir):
+    """Users by kind at the instants of every tenth event, from the intervals of change alone."""
+    made = history.validity_intervals(_daily(spark, sf_dir), ["user_id"], "at", ["kind"])
+    instants = table(spark, sf_dir, "events").where("event_id % 10 = 3").select("event_id", (_day("ts") + F.hour("ts") * 3600 + F.minute("ts") * 60).alias("instant"))
+    return history.states_at(made, instants, "instant").groupBy("event_id", "kind").agg(F.count("*").alias("users"))
 
 
 @query("SELECT 'customer' AS origin, c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, NULL FROM supplier")
