@@ -8,23 +8,48 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riverbed.operators.shared import checkpointed
 
-def block_pairs(df: DataFrame, block: list[str], order: str, near: dict[str, float] | None = None) -> DataFrame:
+
+#: Pairs of one key that a task makes at most, where keys are dealt out.
+HEAVY_PAIRS = 1 << 26
+
+
+def dealt_join(one: DataFrame, two: DataFrame, keys: list[str], most: int = HEAVY_PAIRS) -> DataFrame:
+    """``one`` and ``two`` joined by equal ``keys``, those with more than ``most`` pairs in several tasks.
+
+    Rows of such a key are counted and cut by a hash of all their columns into parts on either side, and each pair of parts is a
+    key of its own. A row so goes to as many tasks as the other side has parts. All other keys are joined as they are.
+    """
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    both = count(one, "_p").join(count(two, "_q"), keys).where(F.col("_p") * F.col("_q") > most)
+    side = max(1, int(most**0.5))
+    heavy = checkpointed(both.select(*keys, *[F.ceil(F.col(n) / side).cast("int").alias(n) for n in ("_p", "_q")]))
+    if heavy.isEmpty():
+        return one.join(two, keys)
+
+    def cut(df: DataFrame, own: str, other: str) -> DataFrame:
+        rows = df.join(heavy, keys, "left")
+        part = F.pmod(F.xxhash64(*df.columns), F.coalesce(F.col(own), F.lit(1))).cast("int")
+        return rows.withColumns({f"{own}i": part, f"{other}i": F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))}).drop("_p", "_q")
+
+    return cut(one, "_p", "_q").join(cut(two, "_q", "_p"), [*keys, "_pi", "_qi"]).drop("_pi", "_qi")
+
+
+def block_pairs(df: DataFrame, block: list[str], order: str, near: dict[str, float] | None = None, most: int | None = None) -> DataFrame:
     """Pairs ``a``, ``b`` of rows of one block with ``a.order < b.order``.
 
-    ``near`` limits how far numeric columns may differ. The first of them also splits the block into bands of that width,
-    so that a large block is compared band against neighbouring bands only and its rows spread over tasks.
+    ``near`` limits how far numeric columns may differ. All of them split the block into cells of that width, so that a large
+    block is compared cell against neighbouring cells only and its rows spread over tasks. Where rows crowd in one cell, ``most``
+    says how many pairs a task may make: see :func:`dealt_join`.
     """
     near = near or {}
-    fields = [F.struct(*df.columns)]
-    if near:
-        band, width = next(iter(near.items()))
-        cell = F.floor(F.col(band) / width)
-        left = df.select(*block, fields[0].alias("a"), cell.alias("_cell"))
-        right = df.select(*block, fields[0].alias("b"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
-        pairs = left.join(right, [*block, "_cell"])
-    else:
-        pairs = df.select(*block, fields[0].alias("a")).join(df.select(*block, fields[0].alias("b")), block)
+    one, two = df.select(*block, F.struct(*df.columns).alias("a")), df.select(*block, F.struct(*df.columns).alias("b"))
+    keys = list(block)
+    for k, (c, w) in enumerate(near.items()):
+        one, two = one.withColumn(f"_c{k}", F.floor(F.col(f"a.{c}") / w)), two.withColumn(f"_c{k}", band_cells(F.col(f"b.{c}"), w))
+        keys.append(f"_c{k}")
+    pairs = dealt_join(one, two, keys, most) if most else one.join(two, keys)
     tests = [F.col(f"a.{order}") < F.col(f"b.{order}"), *[F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= w for c, w in near.items()]]
     return pairs.where(reduce(lambda x, y: x & y, tests)).select(*block, "a", "b")
 

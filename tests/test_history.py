@@ -103,8 +103,14 @@ def test_groups_kept_up_to_date(spark):
         groups = spark.createDataFrame(groups.collect(), groups.schema)
         edges = edges - gone | new
         assert {tuple(r) for r in known.collect()} == edges
-        full = graph.components(frame(edges)).join(graph.first_fit_clusters(frame(edges)), "node").select("node", "component", "cluster")
-        assert sorted(map(tuple, groups.collect())) == sorted(map(tuple, full.collect()))
+        first, lowest = {}, {}
+        for node in sorted({x for e in edges for x in e}):  # first fit: the smallest cluster of an earlier neighbour
+            first[node] = min([first[a] for a, b in edges if b == node], default=node)
+            lowest[node] = node
+        for _ in range(len(lowest)):
+            for a, b in edges:
+                lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+        assert {tuple(r) for r in groups.collect()} == {(n, lowest[n], first[n]) for n in first}
 
 
 FEED = "id string, source string, price double, at timestamp, gone boolean, baseline_ready boolean"
