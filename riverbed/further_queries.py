@@ -45,14 +45,16 @@ def src_03_snk_01_snapshots(spark, sf_dir):
     return last.unionByName(state.read_snapshot(spark, path, "r2").withColumn("version", F.lit("before")))
 
 
-@query("""SELECT 'groups' AS part, count(DISTINCT o_custkey) AS n FROM orders UNION ALL SELECT 'comparisons', count(*) FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'header', 1""")
+@query("""SELECT 'groups' AS part, o_custkey AS id, array_to_string(list(DISTINCT o_orderstatus ORDER BY o_orderstatus), '+') AS content FROM orders GROUP BY o_custkey
+ UNION ALL SELECT 'comparisons', o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'header', count(*) FILTER (WHERE o_orderstatus = 'F'), 'F' FROM orders""")
 def snk_02_export(spark, sf_dir):
-    """Groups, comparisons and their header as three tables, written and read back."""
+    """Groups, comparisons and their header as three tables, written and read back; all their rows."""
     o, path = table(spark, sf_dir, "orders"), _place(spark, "export")
-    parts = {"groups": o.select("o_custkey").distinct(), "comparisons": o.where("o_orderstatus = 'P'"), "header": views.header(o, "o_orderstatus", {"n_f": "F"})}
-    state.write_export(parts, path)
-    counts = [spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name in parts]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    groups = o.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("sources"))
+    state.write_export({"groups": groups, "comparisons": o.where("o_orderstatus = 'P'"), "header": views.header(o, "o_orderstatus", {"n_f": "F"})}, path)
+    contents = {"groups": ("o_custkey", F.array_join("sources", "+")), "comparisons": ("o_orderkey", F.col("o_orderpriority")), "header": ("n_f", F.lit("F"))}
+    rows = [spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("part"), F.col(key).cast("long").alias("id"), content.alias("content")) for name, (key, content) in contents.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("""WITH r AS (SELECT p_partkey AS ord, p_brand AS source, p_name AS title, contains(p_name, 'red') AS matched, row_number() OVER (ORDER BY contains(p_name, 'red') DESC, p_partkey) AS n FROM part),

@@ -237,7 +237,7 @@ def snk_04_report(spark, sf_dir):
 
 
 #: Users of each day as snapshots: the last of their kinds of events.
-_DAILY_SQL = "SELECT user_id, max(event_type) AS kind, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) * 86400 AS at FROM events GROUP BY user_id, CAST(ts AS DATE)"
+_DAILY_SQL = "SELECT user_id, max(event_type) AS kind, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) * 86400 AS moment FROM events GROUP BY user_id, CAST(ts AS DATE)"
 
 
 def _day(column):
@@ -256,16 +256,16 @@ def src_03_previous_version(spark, sf_dir):
     return state.read_snapshot(spark, path, "2024-01-20").select("event_id", "user_id")
 
 
-@query(f"""WITH s AS ({_DAILY_SQL}), r AS (SELECT at, row_number() OVER (ORDER BY at) AS run, lead(at) OVER (ORDER BY at) AS next FROM (SELECT DISTINCT at FROM s)),
- j AS (SELECT s.*, run, next, CASE WHEN lag(run) OVER w = run - 1 AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS new FROM s JOIN r USING (at) WINDOW w AS (PARTITION BY user_id ORDER BY run)),
+@query(f"""WITH s AS ({_DAILY_SQL}), r AS (SELECT moment, row_number() OVER (ORDER BY moment) AS run, lead(moment) OVER (ORDER BY moment) AS next FROM (SELECT DISTINCT moment FROM s)),
+ j AS (SELECT s.*, run, next, CASE WHEN lag(run) OVER w = run - 1 AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS new FROM s JOIN r USING (moment) WINDOW w AS (PARTITION BY user_id ORDER BY run)),
  n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY run) AS n FROM j)
- SELECT user_id, min(kind) AS kind, CAST(min(at) AS BIGINT) AS valid_from, CAST(arg_max_null(next, run) AS BIGINT) AS valid_to FROM n GROUP BY user_id, n""")
+ SELECT user_id, min(kind) AS kind, CAST(min(moment) AS BIGINT) AS valid_from, CAST(arg_max_null(next, run) AS BIGINT) AS valid_to FROM n GROUP BY user_id, n""")
 def src_03_validity_intervals(spark, sf_dir):
     """All daily snapshots as intervals: a user's row anew only where it changes, goes or comes back."""
     return history.validity_intervals(_daily(spark, sf_dir), ["user_id"], "at", ["kind"])
 
 
-@query(f"""WITH s AS ({_DAILY_SQL}) SELECT event_id, kind, count(*) AS users FROM events e JOIN s ON s.at = date_diff('day', DATE '1970-01-01', CAST(e.ts AS DATE)) * 86400 WHERE event_id % 10 = 3 GROUP BY event_id, kind""")
+@query(f"""WITH s AS ({_DAILY_SQL}) SELECT event_id, kind, count(*) AS users FROM events e JOIN s ON s.moment = date_diff('day', DATE '1970-01-01', CAST(e.ts AS DATE)) * 86400 WHERE event_id % 10 = 3 GROUP BY event_id, kind""")
 def win_05_states_at(spark, sf_dir):
     """Users by kind at the instants of every tenth event, from the intervals of change alone."""
     made = history.validity_intervals(_daily(spark, sf_dir), ["user_id"], "at", ["kind"])
