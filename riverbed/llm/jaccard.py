@@ -24,10 +24,14 @@ from riverbed.llm import kernels as K
 from riverbed.llm.common import materialize
 from riverbed.llm.components import connected_components
 
-#: Counters of a Bloom filter, in bits of their index; cells of a set's suffix signature; slices of a sketch.
-BLOOM_BITS, CELLS, SLICES = 23, 64, 64
+#: Bits of a Bloom filter, as bits of their index: the least, and the most (32 MB); bits for each key.
+BLOOM_BITS, MOST_BLOOM_BITS, KEY_BITS = 23, 28, 16
+#: Cells of a set's suffix signature; slices of a sketch; tasks' slices that are put together in a first step, in one task.
+CELLS, SLICES, FIRST_STEP = 64, 64, 64
 #: Counters of the frequency sketch, in bits: the least and the most (64 MB); rows of ``docs`` for which the least will do.
 LEAST_BITS, MOST_BITS, BITS_ROWS = 20, 24, 1 << 18
+#: Tasks that read the keys of a Bloom filter at most.
+BLOOM_TASKS = 256
 #: Texts with one shingle beyond which its posting list is dealt out to several tasks.
 HOT_TEXTS = 1 << 15
 #: Widths of the bitmaps of sets (eight bits a shingle; larger sets have none); rows of a list that meet in one task.
@@ -85,22 +89,46 @@ _NAMES = ["doc_id", "hi", "lo", "n", "cells", "bitmap", "slice", "counts"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
 
 
-def _add_slices(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, x in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            x = np.frombuffer(x, np.int32).astype(np.int64)
-            sums[k] = sums[k] + x if k in sums else x
-    for k, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["slice", "counts"])
+def _put_together(kind: str, put) -> Callable:
+    """Slices of several tasks to one of each number, by ``put``."""
 
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                x = np.frombuffer(x, kind)
+                sums[k] = put(sums[k], x) if k in sums else x
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "counts"])
+
+    return run
+
+
+def _plus(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.minimum(x.astype(np.int64) + y, 2**31 - 1).astype(np.int32)
+
+
+def _gather(df: DataFrame, tasks: int, put) -> dict[int, np.ndarray]:
+    """A sketch's slices (a fixed number of fixed size) on the driver.
 
-def _gather(df: DataFrame, size: int) -> np.ndarray:
-    """A sketch's slices (a fixed number of fixed size) as one array on the driver."""
-    added = df.repartition(8, "slice").mapInArrow(_add_slices, "slice int, counts binary")
+    ``df`` has those of each of ``tasks`` tasks. Each slice is put together by a task of its own, first in several parts if
+    there are many, so that no task reads more than some :data:`FIRST_STEP` of them.
+    """
+    run, kind = _put_together("<i4", put), "slice int, counts binary"
+    for _ in range(4):
+        if tasks <= FIRST_STEP:
+            break
+        parts = -(-tasks // FIRST_STEP)
+        df = df.withColumn("part", F.expr(f"pmod(monotonically_increasing_id() div {SLICES} + spark_partition_id(), {parts})"))
+        df, tasks = df.repartition(parts * SLICES, "slice", "part").select("slice", "counts").mapInArrow(run, kind), parts
+    return {r["slice"]: np.frombuffer(r["counts"], np.int32) for r in df.repartition(SLICES, "slice").mapInArrow(run, kind).collect()}
+
+
+def _whole(rows: dict[int, np.ndarray], size: int) -> np.ndarray:
+    """Slices as one array of ``size``; those that aren't there are zero."""
     out = np.zeros((SLICES, size // SLICES), np.int32)
-    for row in added.collect():
-        out[row["slice"]] = np.frombuffer(row["counts"], np.int32)
+    for k, x in rows.items():
+        out[k] = x
     return out.ravel()
 
 
@@ -109,6 +137,8 @@ def _prefixes(n: int, num: int, den: int, counts, bits: int) -> Callable:
 
     def run(batches):
         frequency, seen = counts.value, set()
+        # what a counter has by chance, as several shingles share it: lots go by what is above that
+        shared = int(frequency.mean(dtype=np.float64) + 6 * frequency.mean(dtype=np.float64) ** 0.5)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for _, h in _sets(batch, n):
@@ -127,7 +157,7 @@ def _prefixes(n: int, num: int, den: int, counts, bits: int) -> Callable:
                 else:
                     best = np.arange(len(h))
                 best = best[np.lexsort((h[best], rank[best]))][:size]
-                lots = (order[best] // np.uint64(HOT_TEXTS)).astype(np.int64)
+                lots = np.maximum(order[best].astype(np.int64) - shared, 0) // HOT_TEXTS
                 lot = np.where(lots > 0, 1 + (key[1] & 0x7FFFFFFF) % (lots + 1), 0).astype(np.int32)  # 0: not a hot one
                 for x, y in zip(out, (h[best], np.full(size, key[1], np.int64), np.full(size, len(h), np.int32), np.arange(size, dtype=np.int32), lot), strict=True):
                     x.append(y)
@@ -138,33 +168,27 @@ def _prefixes(n: int, num: int, den: int, counts, bits: int) -> Callable:
     return run
 
 
-def _bloom_bits(keys: np.ndarray) -> list[np.ndarray]:
+def _bloom_bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     h = K.mix(keys.view(np.uint64))
-    return [((h >> np.uint64(s)) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64) for s in (0, 13, 27, 39)]
+    return [((h >> np.uint64(s)) & np.uint64((1 << bits) - 1)).astype(np.int64) for s in (0, 11, 22, 33)]
 
 
-def _bloom(batches):
+def _bloom(size: int) -> Callable:
     """Bits of a task's keys, as slices."""
-    bits = np.zeros(1 << BLOOM_BITS, bool)
-    for batch in batches:
-        for x in _bloom_bits(batch["e"].to_numpy()):
-            bits[x] = True
-    packed = np.packbits(bits).view(np.int32).reshape(SLICES, -1)
-    full = [k for k in range(SLICES) if packed[k].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([packed[k].tobytes() for k in full], pa.binary())], ["slice", "counts"])
-
-
-def _or_slices(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, x in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            x = np.frombuffer(x, np.int32)
-            sums[k] = sums[k] | x if k in sums else x
-    for k, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "counts"])
-
-
-def _wanted_sets(n: int, bits) -> Callable:
+
+    def run(batches):
+        bits = np.zeros(1 << size, bool)
+        for batch in batches:
+            for x in _bloom_bits(batch["e"].to_numpy(), size):
+                bits[x] = True
+        packed = np.packbits(bits).view(np.int32).reshape(SLICES, -1)
+        full = [k for k in range(SLICES) if packed[k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([packed[k].tobytes() for k in full], pa.binary())], ["slice", "counts"])
+
+    return run
+
+
+def _wanted_sets(n: int, bits, size: int) -> Callable:
     def run(batches):
         bloom, seen = bits.value, set()
         for batch in batches:
@@ -172,7 +196,7 @@ def _wanted_sets(n: int, bits) -> Callable:
             for _, h in _sets(batch, n):
                 if not len(h) or (key := _prints(h)) in seen:
                     continue
-                if all(bloom[x[0] >> 3] >> (7 - (x[0] & 7)) & 1 for x in _bloom_bits(np.array([key[1]], np.int64))):
+                if all(bloom[x[0] >> 3] >> (7 - (x[0] & 7)) & 1 for x in _bloom_bits(np.array([key[1]], np.int64), size)):
                     if len(seen) > 1 << 17:
                         seen.clear()
                     seen.add(key)
@@ -331,7 +355,8 @@ class _Join:
         self.bits = min(MOST_BITS, LEAST_BITS + max(0, int(np.ceil(np.log2(max(1, docs.count()) / BITS_ROWS)))))
         made = materialize(self.docs.mapInArrow(_digest(n, self.bits), "doc_id long, hi long, lo long, n long, cells binary, bitmap binary, slice int, counts binary"), "digest")
         self.digest = made.where("slice is null").select("doc_id", "hi", "lo", "n")
-        self.counts = self.spark.sparkContext.broadcast(_gather(made.where("slice is not null").select("slice", "counts"), 1 << self.bits))
+        slices = made.where("slice is not null").select("slice", "counts")
+        self.counts = self.spark.sparkContext.broadcast(_whole(_gather(slices, -(-slices.count() // SLICES), _plus), 1 << self.bits))
         self.signatures = made.where("slice is null").groupBy(F.col("lo").alias("e")).agg(F.max("cells").alias("cells"), F.max("bitmap").alias("bitmap"))
         self.cells = self.signatures.select("e", "cells")
         #: Entities and their smallest document.
@@ -350,13 +375,12 @@ class _Join:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Pairs ``a < b`` of entities (each once) that link, as edges between their smallest documents."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("e"))
-        bits = ends.mapInArrow(_bloom, "slice int, counts binary").repartition(8, "slice").mapInArrow(_or_slices, "slice int, counts binary").collect()
-        bloom = np.zeros((SLICES, (1 << BLOOM_BITS) // 32 // SLICES), np.int32)
-        for row in bits:
-            bloom[row["slice"]] = np.frombuffer(row["counts"], np.int32)
-        shared = self.spark.sparkContext.broadcast(bloom.ravel().view(np.uint8))
-        sets = materialize(self.docs.select("text").mapInArrow(_wanted_sets(self.n, shared), "hi long, e long, words binary").dropDuplicates(["hi", "e"]), "sets")
+        size = min(MOST_BLOOM_BITS, max(BLOOM_BITS, int(np.ceil(np.log2(max(1, 2 * pairs.count()) * KEY_BITS)))))
+        # few tasks, each with many keys: every one of them has a filter of its own
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("e")).coalesce(BLOOM_TASKS)
+        bloom = _whole(_gather(ends.mapInArrow(_bloom(size), "slice int, counts binary"), ends.rdd.getNumPartitions(), np.bitwise_or), (1 << size) // 32)
+        shared = self.spark.sparkContext.broadcast(bloom.view(np.uint8))
+        sets = materialize(self.docs.select("text").mapInArrow(_wanted_sets(self.n, shared, size), "hi long, e long, words binary").dropDuplicates(["hi", "e"]), "sets")
         left = sets.select(F.col("hi").alias("hi_a"), F.col("e").alias("a"), "words")
         right = sets.select(F.col("hi").alias("hi_b"), F.col("e").alias("b"), F.col("words").alias("other"))
         good = pairs.join(left, "a").join(right, "b").select("hi_a", "a", "hi_b", "b", "words", "other").mapInArrow(_verified(self.num, self.den), "hi_a long, a long, hi_b long, b long")

@@ -801,3 +801,22 @@ def test_typographic_licenses(spark):
     assert (got[len(rows) - 2].n_base, got[len(rows) - 2].n_words) == (0, 4) and got[len(rows) - 1].n_words == 0
     want = [len([w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))]) for _, t in rows]
     assert [got[k].n_words for k in range(len(rows))] == want
+
+
+def test_jaccard_with_a_crowded_sketch(spark, monkeypatch):
+    """Where each counter stands for many shingles, lists of one text are still left out, and the groups are the same."""
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(150)]
+    texts += [t + " more" for t in texts[:40]]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name, value in (("LEAST_BITS", 8), ("MOST_BITS", 8), ("HOT_TEXTS", 10), ("FIRST_STEP", 2), ("BLOOM_BITS", 11), ("MOST_BLOOM_BITS", 12), ("SLICES", 8)):
+        monkeypatch.setattr(jaccard, name, value)
+    lists = jaccard._Join(docs, 3, 90, 100).lists().collect()
+    entities, hot = defaultdict(set), {r.h for r in lists if r.lot}
+    for r in lists:
+        entities[r.h].add(r.e)
+    assert sum(r.lot > 0 for r in lists) < 0.05 * len(lists) and all(len(e) > 1 for h, e in entities.items() if h not in hot)
+    got = collected(jaccard.ngram_jaccard_join(docs, 3, 90), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(brute_components(rows, 3, 90), key=repr)
