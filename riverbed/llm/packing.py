@@ -35,6 +35,15 @@ def _ends_plainly(stem: bytes) -> bool:
     return last < "\u0250" and last.isalpha()
 
 
+def _leaves_letters(tokenizer) -> bool:
+    """Whether small ASCII letters come to the model as they are, so that it can be asked for a word of them by itself."""
+    text = string.ascii_lowercase
+    if tokenizer.normalizer:
+        text = tokenizer.normalizer.normalize_str(text)
+    pieces = tokenizer.pre_tokenizer.pre_tokenize_str(text) if tokenizer.pre_tokenizer else [(text, None)]
+    return [p for p, _ in pieces] == [string.ascii_lowercase]
+
+
 class WordEncoder:
     """Token ids of texts through a cache by word.
 
@@ -46,6 +55,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model if _leaves_letters(self.tokenizer) else None
+        self.raw = [x.tobytes() for x in np.arange(self.tokenizer.get_vocab_size(), dtype="<u4")]
         self.end = np.uint32(end).astype("<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
@@ -59,8 +70,14 @@ class WordEncoder:
                 parts |= {stem, tail}
             else:
                 parts.add(w)
-        self._encode(list(parts.difference(self.known)))
-        known = self.known
+        known, raw, left = self.known, self.raw, []
+        tokenize = self.model.tokenize if self.model else None
+        for w in parts.difference(known):
+            if tokenize and w.isalpha() and w.islower():  # bytes: ASCII letters only
+                known[w] = b"".join([raw[t.id] for t in tokenize(w.decode())])
+            else:
+                left.append(w)
+        self._encode(left)
         for w, stem, tail in cut:
             known[w] = known[stem] + known[tail]
 
