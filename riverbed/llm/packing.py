@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 #: Rests of documents that are packed together, on average.
 GROUP_PIECES = 4096
-#: Words whose ids a task remembers at most; beyond that it forgets and starts again.
-CACHE_WORDS = 1 << 20
+#: Words whose ids a Python worker remembers at most, with their stems; beyond that it forgets and starts again. Some 200 bytes each.
+CACHE_WORDS = 1 << 19
+#: Words of all texts that are looked at together; longer texts go in parts of half as many.
+WORDS_AT_ONCE = 1 << 19
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot long"
 
 
@@ -100,10 +102,10 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text, the end id last. New words of all texts are learnt together."""
         # letters' case only matters where it may tell a special string from plain text
         lists = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if sum(map(len, lists)) > CACHE_WORDS // 2:  # long texts: one after the other, in parts
-            return [b"".join([self.ids([b" ".join(w[s : s + CACHE_WORDS // 4])])[0][:-4] for s in range(0, len(w), CACHE_WORDS // 4)]) + self.end for w in lists]
+        if sum(map(len, lists)) > WORDS_AT_ONCE:  # long texts: one after the other, in parts
+            return [b"".join([self.ids([b" ".join(w[s : s + WORDS_AT_ONCE // 2])])[0][:-4] for s in range(0, len(w), WORDS_AT_ONCE // 2)]) + self.end for w in lists]
         new = set().union(*lists).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) + 2 * len(new) > CACHE_WORDS:
             self.known.clear()
             new = set().union(*lists)
         if new:

@@ -194,6 +194,7 @@ def test_packing(docs, rows, empty):
 
 def test_word_encoder_forgets(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 8)
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 4)
     path = public_tokenizers.path("word_bpe_49k.json")
     text = " ".join(f"word{k}, It's" for k in range(50))
     ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
