@@ -270,7 +270,7 @@ def win_05_states_at(spark, sf_dir):
     """Users by kind at the instants of every tenth event, from the intervals of change alone."""
     made = history.validity_intervals(_daily(spark, sf_dir), ["user_id"], "at", ["kind"])
     instants = table(spark, sf_dir, "events").where("event_id % 10 = 3").select("event_id", (_day("ts") + F.hour("ts") * 3600 + F.minute("ts") * 60).alias("instant"))
-    return history.states_at(made, instants, "instant").groupBy("event_id", "kind").agg(F.count("*").alias("users"))
+    return history.counts_at(made, instants, "instant", ["kind"], "users").select("event_id", "kind", "users")
 
 
 @query("SELECT 'customer' AS origin, c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, NULL FROM supplier")

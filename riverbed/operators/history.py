@@ -86,3 +86,16 @@ def states_at(intervals: DataFrame, instants: DataFrame, instant: str) -> DataFr
     one = intervals.withColumn("_b", F.explode(blocks))
     two = instants.withColumn("_b", F.explode(instant_blocks(F.col(instant))))
     return two.join(one, "_b").drop("_b", "valid_from", "valid_to")
+
+
+def counts_at(intervals: DataFrame, instants: DataFrame, instant: str, by: list[str], count: str) -> DataFrame:
+    """Each row of ``instants`` with the number of rows that held then, by their columns ``by`` (no row where none did).
+
+    As :func:`states_at`, with the rows of a block counted before they meet instants, and equal instants met once: what is
+    joined grows with blocks and instants, not with their pairs.
+    """
+    blocks = interval_blocks(F.greatest(F.col("valid_from"), F.lit(0)), F.coalesce("valid_to", F.lit(FOREVER)))
+    held = intervals.select(*by, F.explode(blocks).alias("_b")).groupBy("_b", *by).agg(F.count("*").alias("_n"))
+    moments = instants.select(F.col(instant).alias("_t")).where("_t is not null").distinct()
+    found = moments.select("_t", F.explode(instant_blocks(F.col("_t"))).alias("_b")).join(held, "_b").groupBy("_t", *by).agg(F.sum("_n").alias(count))
+    return instants.join(found.withColumnRenamed("_t", instant), instant)
