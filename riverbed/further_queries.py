@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riverbed.functions import numbers as N
 from riverbed.functions import text as T
 from riverbed.operators import entities, guards, joins, keyed, snapshots, windows
-from riverbed.operators.shared import shared_dir
+from riverbed.operators.shared import shared_dir, spread
 from riverbed.plans import views
 from riverbed.plans.samples import LISTINGS_SQL, conversations, listings, table
 from riverbed.queries import query
@@ -356,7 +356,7 @@ def htm_04_06_cards(spark, sf_dir):
     k = F.col("p_partkey")
     card = F.concat(F.lit('<li><a href="/house/'), k, F.lit('">'), "p_name", F.lit("</a> 新北市光復街 公寓 30年 建坪 "), "p_size", F.lit(".5 3/12樓 1,2"), F.lpad((k % 7).cast("string"), 2, "0"), F.lit("</li>"))
     page = F.concat(F.lit("<div><div>"), card, F.lit('<p>more of it</p></div><section><a href="/house/999999999">x</a> 新北市光復街 建坪</section></div>'))
-    cards = table(spark, sf_dir, "part").select(k, F.explode(html_pages.smallest_cards(page, r"/house/(\d+)", ("新北市光復街", "建坪"))).alias("c")).where("c.id <> '999999999'")
+    cards = spread(table(spark, sf_dir, "part")).select(k, F.explode(html_pages.smallest_cards(page, r"/house/(\d+)", ("新北市光復街", "建坪"))).alias("c")).where("c.id <> '999999999'")
     record = html_pages.card_record(F.col("c.text"), "新北市光復街")
     return cards.select("p_partkey", "c.id", *[v.alias(c) for c, v in record.items()])
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from riverbed import further_queries
 from riverbed.sources import json_tables
 
 
@@ -21,3 +22,8 @@ def test_json_is_read_by_parts(spark):
     found = rows.select("t", json_tables._by_parts(F.col("t"), of, json_tables.OBJECTS, json_tables._OBJECTS).alias("o")).collect()
     assert all(r.o[0].object == r.t for r in found) and len(found) == 1000
     assert max(int(r.o[0].path) for r in found) <= 2 * json_tables.TEXTS_AT_ONCE
+
+
+def test_pages_of_a_small_file_go_to_all_cores(spark):
+    cards = further_queries.htm_04_06_cards(spark, "/root/testdata/sf0.001")
+    assert cards.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
