@@ -20,13 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riverbed.llm.packing import _encoder
+from riverbed.llm.packing import _encoder, text_slices
 from riverbed.operators.shared import shared_dir
 
 TOKENS = "doc_id long, file int, at long, n_tokens long, ids array<int>"
 FILES = "file int, n_docs long, n_ids long, start long, first_doc long, last_doc long"
-#: Texts whose ids are handed on together.
-BATCH_DOCS = 256
 
 
 @dataclass(frozen=True)
@@ -54,14 +52,13 @@ def _encoded(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file, at = _encoder(path, end), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for s in range(0, batch.num_rows, BATCH_DOCS):
-                part = batch.slice(s, BATCH_DOCS)
-                made = encoder.ids(part["text"].cast(pa.binary()).to_pylist())
-                size = np.array([len(x) // 4 for x in made], np.int64)
-                ends = np.cumsum(size)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(made), "<i4")))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.full(len(size), file, np.int32)), pa.array(at + ends - size), pa.array(size), ids], ["doc_id", "file", "at", "n_tokens", "ids"])
-                at += int(ends[-1])
+            row = 0
+            for texts in text_slices(batch["text"]):
+                bounds, made = encoder.encode(texts)
+                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(made))
+                docs = batch["doc_id"].slice(row, len(texts))
+                yield pa.RecordBatch.from_arrays([docs, pa.array(np.full(len(texts), file, np.int32)), pa.array(at + bounds[:-1]), pa.array(np.diff(bounds)), ids], ["doc_id", "file", "at", "n_tokens", "ids"])
+                row, at = row + len(texts), at + len(made)
 
     return run
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -201,6 +202,41 @@ def test_word_encoder_forgets(monkeypatch):
     assert packing.WordEncoder(path, 1).ids([text.encode(), b""]) == [np.array([*ids, 1], "<u4").tobytes(), np.array([1], "<u4").tobytes()]
 
 
+def test_word_encoder_on_odd_words():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.WordEncoder(path, 1)
+    odd = [chr(c) for c in (*range(0x250), 0x301, 0x345, 0x37E, 0x3A3, 0x110B, 0x1161, 0x200D, 0x212A, 0x3000, 0xAC00, 0xFB01, 0x1D400)]
+    texts = [t for c in odd for t in (c, f"{c}.", f"a{c}!", f"{c}A?!", f"a.{c}", f"Wo{c}rt's, ")]
+    want = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    assert [t for t, ids, x in zip(texts, encoder.ids([t.encode() for t in texts]), want, strict=True) if ids != x] == []
+
+
+def test_word_encoder_learns_a_word_once(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, asked = packing.WordEncoder(path, 1), []
+    monkeypatch.setattr(encoder, "_encode", lambda words, encode=encoder._encode: (asked.extend(words), encode(words)))
+    marks = [",", ".", "!", "...", ""]
+    encoder.ids([f"Wort{m} \u00e9t\u00e9{m}".encode() for m in marks])
+    assert {w for w in encoder.known if w} == {b"wort", "\u00e9t\u00e9".encode(), *(m.encode() for m in marks if m)}  # not with each mark again
+    assert sorted(asked) == sorted(m.encode() for m in marks if m)  # letters, accents too, go straight to the model
+
+
+@pytest.mark.parametrize("words", [1, 3])
+def test_word_encoder_takes_words_in_parts(monkeypatch, words):
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", words)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", "  ", " one two, ", "\u3000 \u3000 \u3000 \u3000", "a b c d e f g", "", "<|endoftext|> END", None]
+    want = [np.array([*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    assert packing.WordEncoder(path, 1).ids(pa.array(texts)) == want
+    assert packing.WordEncoder(path, 1).ids([]) == []
+
+
+def test_texts_are_sliced_by_bytes():
+    texts = pa.array(["abc", None, "", "defgh", "ij", "k" * 50, "l"], pa.string())
+    assert [x.to_pylist() for x in packing.text_slices(texts, 6)] == [["abc", None, ""], ["defgh"], ["ij"], ["k" * 50], ["l"]]
+    assert list(packing.text_slices(texts.slice(0, 0), 6)) == []
+
+
 # language model
 
 
