@@ -262,6 +262,12 @@ def test_lm_joined_words(docs, monkeypatch):
         assert (r.n_known, round(r.base_score, 6)) == (n, round(base, 6)) and score == pytest.approx(r.score, rel=1e-4)
 
 
+def test_lm_scores_wait_for_no_small_table(docs):
+    """What the driver knows stands in the plan: a table of it would be a job behind the tasks of a long stage, and run out of time."""
+    plan = lm_scores.LanguageModel(docs).scores(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
+
 def test_lm_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     counts = np.full(lm_scores.UNITS, 1000.0)
